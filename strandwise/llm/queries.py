@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwise.llm import exact_dedup
+from strandwise.llm import exact_dedup, packing, simhash
 
-QUERIES = {"op6_exact_dedup": exact_dedup.query}
+QUERIES = {"op6_exact_dedup": exact_dedup.query, "op7_packing": packing.query, "op8_simhash": simhash.query}
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
