@@ -56,10 +56,10 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     use = long | ~has_long[rows]
     rows = rows[use]
     hashes = span_hashes(data, starts[use], ends[use])
-    row_bits = max(1, len(texts).bit_length())
-    keys = np.unique((rows.astype(np.uint64) << np.uint64(64 - row_bits)) | (hashes >> np.uint64(row_bits)))
-    rows = (keys >> np.uint64(64 - row_bits)).astype(np.int64)
-    words = keys & np.uint64((1 << (64 - row_bits)) - 1)
+    # a slice has fewer than 2**24 rows; 40 bits of a word's hash stand for it
+    keys = np.unique((rows.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    rows = (keys >> np.uint64(40)).astype(np.int64)
+    words = keys & np.uint64((1 << 40) - 1)
     first = np.flatnonzero(np.diff(rows, prepend=-1))
     count = np.diff(first, append=len(rows))
     # byte lanes hold at most 255, so a long document is summed in segments
