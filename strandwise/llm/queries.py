@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwise.llm import exact_dedup, packing, simhash
+from strandwise.llm import decontaminate, exact_dedup, packing, simhash
 
-QUERIES = {"op6_exact_dedup": exact_dedup.query, "op7_packing": packing.query, "op8_simhash": simhash.query}
+QUERIES = {"op5_decontaminate": decontaminate.query, "op6_exact_dedup": exact_dedup.query, "op7_packing": packing.query, "op8_simhash": simhash.query}
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
