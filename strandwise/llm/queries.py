@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwise.llm import decontaminate, exact_dedup, packing, simhash
+from strandwise.llm import decontaminate, exact_dedup, packing, quality, simhash, url_filter
 
-QUERIES = {"op5_decontaminate": decontaminate.query, "op6_exact_dedup": exact_dedup.query, "op7_packing": packing.query, "op8_simhash": simhash.query}
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {"op2_quality": quality.query, "op4_url_filter": url_filter.query, "op5_decontaminate": decontaminate.query, "op6_exact_dedup": exact_dedup.query, "op7_packing": packing.query, "op8_simhash": simhash.query}
+ORACLES = {"op4_url_filter": url_filter.oracle(), "op6_exact_dedup": exact_dedup.ORACLE}
