@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwise.llm import decontaminate, exact_dedup, html_templates, packing, pii, quality, secret_scan, simhash, url_filter
+from strandwise.llm import decontaminate, exact_dedup, html_templates, packing, pii, quality, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_html_templates": html_templates.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
     "op8_simhash": simhash.query,
+    "op9_toxicity": toxicity.query,
     "op10_pii": pii.query,
 }
 

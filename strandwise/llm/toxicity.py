@@ -15,7 +15,8 @@ copies count as one document. Positive examples are the words whose share of
 toxic documents is beyond chance (likelihood ratio, corrected for the size of
 the vocabulary) and variants of them with an inserted or doubled character;
 negative ones are words of clean sentences, the nearest to the positive ones
-first.
+first, and in further rounds those that the machine got wrong. The bias is
+that of the best F1 on the labelled documents.
 
 A span whose set of characters already bounds its decision value below zero
 (Cauchy-Schwarz on the subsequences it can share with each landmark) skips the
@@ -47,14 +48,16 @@ from pyspark.sql import functions as F
 from strandwise.llm import simhash
 from strandwise.llm.common import NOT_SPACE, WORD_BYTE, buffers, lower, slices, small_side, span_hashes, spans, strings, table
 
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 4000
 ORDER = 3
 DECAY = 0.6
 WINDOW = 24
-SIGNIFICANCE = 0.01
-MOST_POSITIVE = 64  # words taken as positive, the most significant first
+SIGNIFICANCE = 0.5  # words expected to be taken by mere chance
+MOST_POSITIVE = 256  # words taken as positive, the most significant first
+CLEAN_WORDS = 15000  # clean words that training looks at, the most frequent first
 NEAR_NEGATIVES, FAR_NEGATIVES = 3000, 1000
-NEGATIVE_LANDMARKS = 16
+POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS = 32, 12
+ROUNDS = 3  # of training, each with the clean words that the last one got wrong
 CACHE = 3_000_000
 
 _BREAK = np.zeros(256, bool)
@@ -232,16 +235,12 @@ def span_decisions(machine: Machine, s: Spans) -> np.ndarray:
     fresh = np.flatnonzero(~known)
     if len(fresh):
         starts, ends = s.starts[one[fresh]], s.ends[one[fresh]]
-        edges = np.column_stack([starts, ends]).ravel()
-        bits = np.append(_CHAR_BIT[s.data], np.uint64(0))
-        order = np.argsort(starts, kind="stable")
-        # reduceat needs rising bounds; spans of one text may overlap, so each is reduced by itself
+        bits = _CHAR_BIT[s.data]
         chars = np.zeros(len(fresh), np.uint64)
         size = ends - starts
         for k in range(int(size.max())):
             inside = size > k
             chars[inside] |= bits[starts[inside] + k]
-        del edges, order
         got = machine.at_most(chars)
         near = np.flatnonzero(got > 0)
         near = near[np.argsort(size[near], kind="stable")]
@@ -280,23 +279,42 @@ def _variants(word: bytes, rng: random.Random) -> list[bytes]:
     return out
 
 
-def words_beyond_chance(bags: list[set[bytes]], toxic: list[int]) -> list[bytes]:
-    """Words that toxic documents have more often than chance allows, the most significant first."""
-    with_word, with_toxic = Counter(), Counter()
-    for bag, t in zip(bags, toxic):
-        with_word.update(bag)
+def words_beyond_chance(docs: list[list[bytes]], toxic: list[int]) -> tuple[list[bytes], list[bytes]]:
+    """(words that toxic documents have more often than chance allows, the most significant first; words that they don't have more often, the most frequent first).
+
+    A document counts for a word only if the word stands there between
+    neighbours that no earlier document has around it: passages that documents
+    share are one piece of evidence. Chance is the share of toxic documents
+    among those of about the same length, as long ones hold more of all words.
+    """
+    with_word, with_toxic, expected = Counter(), Counter(), Counter()
+    sizes = [len(words).bit_length() for words in docs]
+    per_size, toxic_of_size = Counter(sizes), Counter(z for z, t in zip(sizes, toxic) if t)
+    met: set[int] = set()
+    for words, size, t in zip(docs, sizes, toxic):
+        contexts: dict[bytes, list[int]] = {}
+        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
+            contexts.setdefault(w, []).append(hash((before, w, after)))
+        own = [w for w, keys in contexts.items() if met.isdisjoint(keys)]
+        met.update(*contexts.values())
+        with_word.update(own)
+        share = toxic_of_size[size] / per_size[size]
+        for w in own:
+            expected[w] += share
         if t:
-            with_toxic.update(bag)
-    share = sum(toxic) / len(toxic)
+            with_toxic.update(own)
     least = 2 * math.log(max(len(with_word), 2) / SIGNIFICANCE)
-    found = []
-    for w, k in with_toxic.items():
-        n = with_word[w]
+    found, plain = [], []
+    for w, n in with_word.items():
+        k = with_toxic[w]
+        share = expected[w] / n
         if len(w) > ORDER and k > share * n:
             ratio = 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0))
             if ratio >= least:
                 found.append((-ratio, w))
-    return [w for _, w in sorted(found)[:MOST_POSITIVE]]
+        elif len(w) >= ORDER:
+            plain.append((-n, w))
+    return [w for _, w in sorted(found)[:MOST_POSITIVE]], [w for _, w in sorted(plain)[:CLEAN_WORDS]]
 
 
 def _separate(x: np.ndarray, y: np.ndarray, steps: int = 1500) -> tuple[np.ndarray, float]:
@@ -329,32 +347,66 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine | None:
     for text in array.take(pa.array(first)).to_pylist():
         s = text_spans(pa.array([text], pa.large_string()))
         raw = s.data.tobytes()
-        bags.append({raw[a:b] for a, b in zip(s.starts, s.ends)})
+        bags.append([raw[a:b] for a, b in zip(s.starts, s.ends)])
     labels = [toxic[i] for i in first]
     if len(set(labels)) < 2:
         return None
-    positive = words_beyond_chance(bags, labels)
-    if not positive:
+    positive, clean = words_beyond_chance(bags, labels)
+    if not positive or not clean:
         return None
     rng = random.Random(seed)
     positives = [*positive, *(v for w in positive for v in _variants(w, rng))]
-    clean = sorted({w for bag, t in zip(bags, labels) if not t for w in bag if len(w) >= ORDER} - set(positives), key=lambda w: (len(w), w))
-    near = np.concatenate([similarity(matrix(clean[c]), matrix(positive)).max(axis=1) for c in _chunks(len(clean))]) if clean else np.zeros(0)
+    near = np.concatenate([similarity(matrix(clean[c]), matrix(positive)).max(axis=1) for c in _chunks(len(clean))])
     order = np.argsort(-near, kind="stable")
     far = order[NEAR_NEGATIVES:]
-    chosen = [clean[i] for i in order[:NEAR_NEGATIVES]] + [clean[i] for i in rng.sample(far.tolist(), min(FAR_NEGATIVES, len(far)))]
-    if not chosen:
-        return None
-    landmarks = positive + [chosen[i] for i in np.linspace(0, min(len(chosen), NEAR_NEGATIVES) - 1, NEGATIVE_LANDMARKS).astype(int)]
+    chosen = [*order[:NEAR_NEGATIVES], *rng.sample(far.tolist(), min(FAR_NEGATIVES, len(far)))]
+    landmarks = _spread(positive, POSITIVE_LANDMARKS) + [clean[chosen[i]] for i in np.linspace(0, min(len(chosen), NEAR_NEGATIVES) - 1, NEGATIVE_LANDMARKS).astype(int)]
     landmarks = list(dict.fromkeys(landmarks))
     rows = matrix(landmarks)
     inner = similarity(rows, rows).astype(float)
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    words = positives + chosen
-    features = np.concatenate([similarity(matrix(words[c]), rows) for c in _chunks(len(words))]) @ root
-    v, bias = _separate(features, np.array([1.0] * len(positives) + [-1.0] * len(chosen)))
-    return Machine(landmarks, root @ v, bias)
+
+    def features(words: list[bytes]) -> np.ndarray:
+        return np.concatenate([similarity(matrix(words[c]), rows) for c in _chunks(len(words))]) @ root
+
+    of_positives, of_clean = features(positives), features(clean)
+    for _ in range(ROUNDS):
+        x = np.concatenate([of_positives, of_clean[chosen]])
+        v, bias = _separate(x, np.array([1.0] * len(positives) + [-1.0] * len(chosen)))
+        # clean words on the wrong side join the negative examples
+        missed = set(np.flatnonzero(of_clean @ v + bias > -1).tolist()) - set(chosen)
+        if not missed:
+            break
+        chosen += sorted(missed)
+    return _calibrated(Machine(landmarks, root @ v, bias), array.take(pa.array(first)), np.array(labels))
+
+
+def _spread(words: list[bytes], most: int) -> list[bytes]:
+    """The first word and then always the one least similar to those chosen."""
+    inner = similarity(matrix(words), matrix(words))
+    chosen, nearest = [0], inner[0]
+    while len(chosen) < min(most, len(words)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, inner[chosen[-1]])
+    return [words[i] for i in chosen]
+
+
+def _calibrated(machine: Machine, texts: pa.Array, labels: np.ndarray) -> Machine:
+    """The machine with the bias that gives the labelled documents the best F1, in the middle of its gap."""
+    s = text_spans(texts)
+    keys, one, inverse = np.unique(span_hashes(s.data, s.starts, s.ends), return_index=True, return_inverse=True)
+    value = np.concatenate([machine.decide(_take(s.data, s.starts[one[c]], s.ends[one[c]])) for c in _chunks(len(keys))])
+    most = np.full(len(texts), -np.inf)
+    np.maximum.at(most, s.rows, value[inverse])
+    order = np.argsort(-most, kind="stable")
+    most, hit = most[order], np.cumsum(labels[order])
+    f1 = 2 * hit / (np.arange(1, len(hit) + 1) + labels.sum())
+    f1[:-1][most[:-1] == most[1:]] = 0
+    f1[~np.isfinite(most)] = 0
+    at = int(f1.argmax())
+    below = most[at + 1] if at + 1 < len(most) and np.isfinite(most[at + 1]) else most[at] - 1
+    return Machine(machine.landmarks, machine.weights, machine.bias - (most[at] + below) / 2)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Machine | None:
