@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import simhash
-from strandwise.llm.common import NOT_SPACE, WORD_BYTE, buffers, lower, slices, small_side, span_hashes, spans, strings, table
+from strandwise.llm.common import NOT_SPACE, WORD_BYTE, buffers, lower, mix, slices, small_side, span_hashes, spans, table
 
 TRAIN_DOCS = 4000
 ORDER = 3
@@ -108,7 +108,7 @@ def similarity(s: np.ndarray, t: np.ndarray, own_t: np.ndarray | None = None) ->
     return np.where(norm > 0, subsequence_kernel(s, t) / np.maximum(norm, 1e-30), 0)
 
 
-def _chunks(n: int, size: int = 4096) -> Iterator[slice]:
+def _chunks(n: int, size: int = 1024) -> Iterator[slice]:
     return (slice(i, i + size) for i in range(0, n, size))
 
 
@@ -279,7 +279,15 @@ def _variants(word: bytes, rng: random.Random) -> list[bytes]:
     return out
 
 
-def words_beyond_chance(docs: list[list[bytes]], toxic: list[int]) -> tuple[list[bytes], list[bytes]]:
+def _text_cuts(texts: pa.Array) -> Iterator[tuple[int, Spans]]:
+    """(row of the first text, spans) of the texts, some at a time, to bound the memory."""
+    at = 0
+    for _, cut in slices(pa.record_batch([texts], names=["body"]), "body"):
+        yield at, text_spans(cut)
+        at += len(cut)
+
+
+def words_beyond_chance(texts: pa.Array, toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     """(words that toxic documents have more often than chance allows, the most significant first; words that they don't have more often, the most frequent first).
 
     A document counts for a word only if the word stands there between
@@ -287,32 +295,48 @@ def words_beyond_chance(docs: list[list[bytes]], toxic: list[int]) -> tuple[list
     share are one piece of evidence. Chance is the share of toxic documents
     among those of about the same length, as long ones hold more of all words.
     """
-    with_word, with_toxic, expected = Counter(), Counter(), Counter()
-    sizes = [len(words).bit_length() for words in docs]
-    per_size, toxic_of_size = Counter(sizes), Counter(z for z, t in zip(sizes, toxic) if t)
-    met: set[int] = set()
-    for words, size, t in zip(docs, sizes, toxic):
-        contexts: dict[bytes, list[int]] = {}
-        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
-            contexts.setdefault(w, []).append(hash((before, w, after)))
-        own = [w for w, keys in contexts.items() if met.isdisjoint(keys)]
-        met.update(*contexts.values())
-        with_word.update(own)
-        share = toxic_of_size[size] / per_size[size]
-        for w in own:
-            expected[w] += share
-        if t:
-            with_toxic.update(own)
-    least = 2 * math.log(max(len(with_word), 2) / SIGNIFICANCE)
+    known: dict[int, bytes] = {}
+    hashes, rows = [], []
+    for at, s in _text_cuts(texts):
+        if not len(s.starts):
+            continue
+        order = np.lexsort((s.first, s.rows))
+        own = span_hashes(s.data, s.starts, s.ends)[order]
+        raw = s.data.tobytes()
+        keys, one = np.unique(own, return_index=True)
+        for key, i in zip(keys.tolist(), order[one].tolist()):
+            if key not in known:
+                known[key] = raw[s.starts[i] : s.ends[i]]
+        hashes.append(own)
+        rows.append(s.rows[order] + at)
+    if not hashes:
+        return [], []
+    word, row = np.concatenate(hashes), np.concatenate(rows)
+    size = np.bincount(row, minlength=len(texts))
+    edge = row[1:] != row[:-1]
+    before, after = np.zeros_like(word), np.zeros_like(word)
+    before[1:], after[:-1] = np.where(edge, 0, word[:-1]), np.where(edge, 0, word[1:])
+    context = mix(word + mix(before) * np.uint64(3) + mix(after) * np.uint64(5))
+    _, one, inverse = np.unique(context, return_index=True, return_inverse=True)
+    met = row[one][inverse] < row
+    del context, before, after, inverse
+    keys, word = np.unique(word, return_inverse=True)
+    pairs, pair = np.unique(word * len(texts) + row, return_inverse=True)
+    fresh = np.bincount(pair, met) == 0
+    word, row = pairs[fresh] // len(texts), pairs[fresh] % len(texts)
+    bucket = np.array([int(n).bit_length() for n in size])
+    share_of = np.bincount(bucket, toxic) / np.maximum(np.bincount(bucket), 1)
+    count, bad = np.bincount(word, minlength=len(keys)), np.bincount(word, toxic[row], minlength=len(keys))
+    expected = np.bincount(word, share_of[bucket[row]], minlength=len(keys))
+    least = 2 * math.log(max(len(keys), 2) / SIGNIFICANCE)
     found, plain = [], []
-    for w, n in with_word.items():
-        k = with_toxic[w]
-        share = expected[w] / n
-        if len(w) > ORDER and k > share * n:
-            ratio = 2 * (k * math.log(k / (n * share)) + ((n - k) * math.log((n - k) / (n * (1 - share))) if n > k else 0))
+    for key, n, k, e in zip(keys.tolist(), count.tolist(), bad.tolist(), expected.tolist()):
+        w = known[key]
+        if len(w) > ORDER and k > e:
+            ratio = 2 * (k * math.log(k / e) + ((n - k) * math.log((n - k) / (n - e)) if n > k else 0))
             if ratio >= least:
                 found.append((-ratio, w))
-        elif len(w) >= ORDER:
+        elif n and len(w) >= ORDER:
             plain.append((-n, w))
     return [w for _, w in sorted(found)[:MOST_POSITIVE]], [w for _, w in sorted(plain)[:CLEAN_WORDS]]
 
@@ -339,24 +363,25 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine | None:
         return None
     array = lower(pa.array(texts, pa.large_string()))
     # near copies are one document
-    prints, at = simhash.fingerprints(array)
+    cuts, at = [], 0
+    for _, cut in slices(pa.record_batch([array], names=["body"]), "body"):
+        prints, rows = simhash.fingerprints(cut)
+        cuts.append((prints, rows + at))
+        at += len(cut)
+    prints, at = (np.concatenate(x) for x in zip(*cuts))
     roots = np.arange(len(texts))
     roots[at] = at[simhash.bucket_groups(np.zeros(len(at), np.int64), prints)]
     first = [i for i in range(len(texts)) if roots[i] == i]
-    bags = []
-    for text in array.take(pa.array(first)).to_pylist():
-        s = text_spans(pa.array([text], pa.large_string()))
-        raw = s.data.tobytes()
-        bags.append([raw[a:b] for a, b in zip(s.starts, s.ends)])
-    labels = [toxic[i] for i in first]
-    if len(set(labels)) < 2:
+    labels = np.array([toxic[i] for i in first])
+    if len(set(labels.tolist())) < 2:
         return None
-    positive, clean = words_beyond_chance(bags, labels)
+    array = array.take(pa.array(first))
+    positive, clean = words_beyond_chance(array, labels)
     if not positive or not clean:
         return None
     rng = random.Random(seed)
     positives = [*positive, *(v for w in positive for v in _variants(w, rng))]
-    near = np.concatenate([similarity(matrix(clean[c]), matrix(positive)).max(axis=1) for c in _chunks(len(clean))])
+    near = np.concatenate([similarity(matrix(clean[c]), matrix(positive)).max(axis=1) for c in _chunks(len(clean), 256)])
     order = np.argsort(-near, kind="stable")
     far = order[NEAR_NEGATIVES:]
     chosen = [*order[:NEAR_NEGATIVES], *rng.sample(far.tolist(), min(FAR_NEGATIVES, len(far)))]
@@ -379,7 +404,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine | None:
         if not missed:
             break
         chosen += sorted(missed)
-    return _calibrated(Machine(landmarks, root @ v, bias), array.take(pa.array(first)), np.array(labels))
+    return _calibrated(Machine(landmarks, root @ v, bias), array, labels)
 
 
 def _spread(words: list[bytes], most: int) -> list[bytes]:
@@ -394,11 +419,17 @@ def _spread(words: list[bytes], most: int) -> list[bytes]:
 
 def _calibrated(machine: Machine, texts: pa.Array, labels: np.ndarray) -> Machine:
     """The machine with the bias that gives the labelled documents the best F1, in the middle of its gap."""
-    s = text_spans(texts)
-    keys, one, inverse = np.unique(span_hashes(s.data, s.starts, s.ends), return_index=True, return_inverse=True)
-    value = np.concatenate([machine.decide(_take(s.data, s.starts[one[c]], s.ends[one[c]])) for c in _chunks(len(keys))])
     most = np.full(len(texts), -np.inf)
-    np.maximum.at(most, s.rows, value[inverse])
+    values: dict[int, float] = {}
+    for at, s in _text_cuts(texts):
+        keys, one, inverse = np.unique(span_hashes(s.data, s.starts, s.ends), return_index=True, return_inverse=True)
+        fresh = np.array([i for i, key in zip(one.tolist(), keys.tolist()) if key not in values], np.int64)
+        fresh = fresh[np.argsort(s.ends[fresh] - s.starts[fresh], kind="stable")]
+        for c in _chunks(len(fresh)):
+            i = fresh[c]
+            got = machine.decide(_take(s.data, s.starts[i], s.ends[i]))
+            values.update(zip(span_hashes(s.data, s.starts[i], s.ends[i]).tolist(), got.tolist()))
+        np.maximum.at(most, s.rows + at, np.array([values[key] for key in keys.tolist()])[inverse])
     order = np.argsort(-most, kind="stable")
     most, hit = most[order], np.cumsum(labels[order])
     f1 = 2 * hit / (np.arange(1, len(hit) + 1) + labels.sum())
