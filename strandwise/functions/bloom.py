@@ -27,22 +27,16 @@ def bloom_params(df: DataFrame, n_kmers: str = "n_kmers", p: float = FALSE_POSIT
 
     The shortest filter for which some number of hashes meets ``p``; among its
     numbers of hashes the one of the least error, the smaller of equal ones.
-    ``p`` and the best error so far are single-precision numbers.
+    ``p`` is a single-precision number.
     """
     limit = struct.unpack("f", struct.pack("f", p))[0]
     n = F.col(f"`{n_kmers}`")
     grid = F.array(*[F.struct(F.lit(size).alias("size"), F.lit(h).alias("h")) for size in range(shortest, longest + 1) for h in HASHES])
     ways = F.transform(grid, lambda g: F.struct(g["size"].alias("size"), false_positive(n, g["size"], g["h"]).alias("p"), g["h"].alias("h")))
-    fit = F.filter(ways, lambda w: w["p"] <= F.lit(limit))
-    first = F.array_min(F.transform(fit, lambda w: w["size"]))
-
-    def better(best, w):
-        return F.when(best["h"].isNull() | (w["p"] < best["p"]), F.struct(w["p"].cast("float").cast("double").alias("p"), w["h"].alias("h"))).otherwise(best)
-
-    none = F.struct(F.lit(10.0).alias("p"), F.lit(None).cast("int").alias("h"))
-    chosen = F.aggregate(F.filter(fit, lambda w: w["size"] == first), none, better)["h"]
+    # structs compare by size, then by error, then by number of hashes
+    best = F.array_min(F.filter(ways, lambda w: w["p"] <= F.lit(limit)))
     some = n > 0
-    return df.withColumn("log_2_filter_len", F.when(some, first)).withColumn("num_hash", F.when(some, chosen))
+    return df.withColumn("log_2_filter_len", F.when(some, best["size"])).withColumn("num_hash", F.when(some, best["h"]))
 
 
 def most_kmers(p: float = FALSE_POSITIVE, shortest: int = LOG_LEN[0], longest: int = LOG_LEN[1]) -> int:

@@ -35,12 +35,16 @@ def hashed(words: DataFrame, k: int) -> DataFrame:
     return with_hashes(words, "kmer", k, SEEDS)
 
 
-def build(counted: DataFrame, params: DataFrame, k: int) -> DataFrame:
-    """(run_id, kmer_len, log_2_filter_len, num_hash, bit_pos): the set bits of every filter, each once."""
-    rows = hashed(counted.select(F.col("id").alias("run_id"), "kmer"), k).join(params.drop("n_kmers"), "run_id")
+def build(counted: DataFrame, params: DataFrame, k: int, once: bool = True) -> DataFrame:
+    """(run_id, kmer_len, log_2_filter_len, num_hash, bit_pos): the set bits of every filter, each once.
+
+    With ``once`` false a bit may come for each window that sets it, and
+    nothing is shuffled; a search gives the same on either.
+    """
+    rows = hashed(counted.select(F.col("id").alias("run_id"), "kmer"), k).join(small_side(params.drop("n_kmers")), "run_id")
     seeds = F.slice("hashes", 1, F.col("num_hash"))
     bits = rows.select("run_id", *PARAMS, F.explode(F.array_distinct(F.transform(seeds, lambda h: masked(h, F.col("log_2_filter_len"))))).alias("bit_pos"))
-    return bits.distinct()
+    return bits.distinct() if once else bits
 
 
 def write(postings: DataFrame, path: str) -> None:
@@ -67,7 +71,8 @@ def search(postings: DataFrame, params: DataFrame, queries: DataFrame, k: int, t
     wanted = query_bits(queries, params, k)
     known = small_side(wanted, 128)
     seeds = postings.join(known, ["log_2_filter_len", "bit_pos"]).where("seed < num_hash")
-    held = seeds.groupBy("query_id", "num_kmers", "kmer", "run_id", "num_hash").agg(F.count_distinct("seed").alias("n")).where("n = num_hash")
+    # seeds as bits of a number: partial sums stay one number a window and run
+    held = seeds.groupBy("query_id", "num_kmers", "kmer", "run_id", "num_hash").agg(F.bit_or(F.expr("shiftleft(1, seed)")).alias("seeds")).where("bit_count(seeds) = num_hash")
     found = held.groupBy("query_id", "run_id", "num_kmers").agg(F.count("*").cast("int").alias("num_kmers_found"))
     return finish(found, wanted.select("query_id", "num_kmers").distinct(), params.select("run_id"), threshold)
 

@@ -34,18 +34,21 @@ def finish(found: DataFrame, totals: DataFrame, runs: DataFrame, threshold: floa
     return hits.unionByName(rest)
 
 
-def exact(runs: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(query_id, run_id, num_kmers, num_kmers_found) of the runs (id, seq) that a query (id, seq) matches.
+def shared(runs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(query_id, run_id, num_kmers, num_kmers_found) of every run (id, seq) that shares a window with a query of ``query_sets``.
 
     The windows of the runs meet the windows of the queries before anything is
     shuffled; only shared ones are made distinct and counted.
     """
-    wanted = query_sets(queries, k)
     words = small_side(wanted.select("kmer").distinct())
-    shared = kmers.windows(runs, k).join(words, "kmer", "left_semi").distinct()
-    found = shared.join(small_side(wanted, 96), "kmer").groupBy("query_id", F.col("id").alias("run_id"), "num_kmers").agg(F.count("*").cast("int").alias("num_kmers_found"))
-    totals = wanted.select("query_id", "num_kmers").distinct()
-    return finish(found, totals, runs.select(F.col("id").alias("run_id")), threshold)
+    common = kmers.windows(runs, k).join(words, "kmer", "left_semi").distinct()
+    return common.join(small_side(wanted, 96), "kmer").groupBy("query_id", F.col("id").alias("run_id"), "num_kmers").agg(F.count("*").cast("int").alias("num_kmers_found"))
+
+
+def exact(runs: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(query_id, run_id, num_kmers, num_kmers_found) of the runs (id, seq) that a query (id, seq) matches."""
+    wanted = query_sets(queries, k)
+    return finish(shared(runs, wanted, k), wanted.select("query_id", "num_kmers").distinct(), runs.select(F.col("id").alias("run_id")), threshold)
 
 
 def reads(reads_: DataFrame, subjects: DataFrame, k: int, threshold: float = 0.8, top: int | None = None, **limits) -> DataFrame:

@@ -169,11 +169,16 @@ bits AS MATERIALIZED (SELECT DISTINCT run_id, log_2_filter_len, num_hash, h & ((
  FROM (SELECT id, unnest([hash0, hash1, hash2, hash3, hash4]) AS h, unnest([0, 1, 2, 3, 4]) AS seed FROM hashed) x JOIN params ON run_id = id WHERE seed < num_hash)"""
 
 
-def _built(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(postings, params) of all documents; the counted windows serve both, so they are written once."""
+def _counted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(windows, params) of all documents; the windows serve both, so they are written once."""
     counted = materialize(kmers.distinct(t.runs_seq, K))
-    params = materialize(index.run_params(counted, K, SHORTEST, LONGEST))
-    return index.build(counted, params, K), params
+    return counted, materialize(index.run_params(counted, K, SHORTEST, LONGEST))
+
+
+def _built(t: Tables, once: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(postings, params) of all documents."""
+    counted, params = _counted(t)
+    return index.build(counted, params, K, once), params
 
 
 @query(f"WITH {BITS_SQL} SELECT run_id, log_2_filter_len, count(*) AS n_set, count(*)::DOUBLE / pow(2.0::DOUBLE, log_2_filter_len) AS share, sum(bit_pos)::BIGINT AS places FROM bits GROUP BY run_id, log_2_filter_len")
@@ -197,12 +202,12 @@ SELECT * FROM p WHERE num_kmers_found >= floor(({threshold}::REAL * num_kmers::R
 
 @query(bloom_sql(1.0))
 def bloom_search_full(t: Tables) -> DataFrame:
-    return index.search(*_built(t), t.items, K, 1.0)
+    return index.search(*_built(t, once=False), t.items, K, 1.0)
 
 
 @query(bloom_sql(0.2))
 def bloom_search_threshold(t: Tables) -> DataFrame:
-    return index.search(*_built(t), t.items, K, 0.2)
+    return index.search(*_built(t, once=False), t.items, K, 0.2)
 
 
 EXACT_FOUND = f"""
@@ -213,8 +218,8 @@ SELECT query_id, run_id, count(*) AS n_exact FROM q JOIN d USING (kmer) GROUP BY
 @query(f"SELECT b.query_id, b.run_id, num_kmers_found, coalesce(n_exact, 0)::INT AS n_exact, (num_kmers_found - coalesce(n_exact, 0))::INT AS n_false FROM ({bloom_sql(0.2)}) b LEFT JOIN ({EXACT_FOUND}) e USING (query_id, run_id)")
 def bloom_false_positives(t: Tables) -> DataFrame:
     """Hits by the index, with how many of their windows the run really has."""
-    hits = index.search(*_built(t), t.items, K, 0.2)
-    truth = search.exact(t.runs_seq, t.items, K, 0.01).select("query_id", "run_id", F.col("num_kmers_found").alias("n_exact"))
+    hits = index.search(*_built(t, once=False), t.items, K, 0.2)
+    truth = search.shared(t.runs_seq, search.query_sets(t.items, K), K).select("query_id", "run_id", F.col("num_kmers_found").alias("n_exact"))
     return hits.join(truth, ["query_id", "run_id"], "left").select("query_id", "run_id", "num_kmers_found", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), (F.col("num_kmers_found") - F.coalesce("n_exact", F.lit(0))).alias("n_false"))
 
 
@@ -232,8 +237,11 @@ def bloom_difference(t: Tables) -> DataFrame:
 
 
 def _combined(t: Tables, how: str) -> DataFrame:
-    postings, _ = _built(t)
-    return index.combine(materialize(postings.where("run_id in (0, 1)").select(F.col("run_id"), F.lit(K).alias("kmer_len"), F.lit(0).alias("log_2_filter_len"), F.lit(0).alias("num_hash"), (F.col("bit_pos") % 65536).alias("bit_pos")).distinct()), 0, 1, how).select("bit_pos")
+    counted, params = _counted(t)
+    postings = index.build(counted.where("id in (0, 1)"), params, K)
+    # filters of two lengths meet at 16 bits: a shorter filter is a longer one folded
+    folded = postings.select("run_id", F.lit(K).alias("kmer_len"), F.lit(SHORTEST).alias("log_2_filter_len"), F.lit(0).alias("num_hash"), (F.col("bit_pos") % (1 << SHORTEST)).alias("bit_pos")).distinct()
+    return index.combine(materialize(folded), 0, 1, how).select("bit_pos")
 
 
 def combined_sql(how: str) -> str:
