@@ -22,7 +22,11 @@ class Tables:
 
     def sequences(self, name: str, key: str) -> DataFrame:
         """(id, seq) of a table with a text."""
-        return self.table(name).where("text is not null").select(F.col(key).alias("id"), dna.from_letters(F.col("text")).alias("seq"))
+        rows = self.table(name).where("text is not null").select(F.col(key).alias("id"), "text")
+        # windows are many times the text: a table in fewer parts than there are cores is spread before they are made
+        cores = self.spark.sparkContext.defaultParallelism
+        rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        return rows.select("id", dna.from_letters(F.col("text")).alias("seq"))
 
     @property
     def runs_seq(self) -> DataFrame:
