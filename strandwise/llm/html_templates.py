@@ -4,9 +4,13 @@ Every page is read into a tree of elements. The hash of an element's subtree
 covers its name, its attributes and its children in order, with runs of white
 space as one space; comments count for nothing, scripts and styles are
 dropped. The pages of a host that hold a hash are counted in Spark, for all
-pages, and a subtree that recurs on at least MIN_PAGES pages and MIN_SHARE of
-the pages of its host is template: it is deleted, wherever it lies, before the
-text of the page is taken. Blocks start lines of the text.
+pages. A subtree that is site furniture by its own form (a navigation, footer
+or advertisement element, by name or by class, id or role, or a list of links)
+is template from MIN_PAGES pages of its host on, whatever the host's size. Any
+other must be on MIN_PAGES and on MIN_SHARE of the pages too, or on MANY_PAGES
+however large the host is: copies of an article, or short paragraphs, recur on
+a few pages without being template. A template is deleted, wherever it lies,
+before the text of the page is taken. Blocks start lines of the text.
 
 The template table is broadcast only if its counted size allows it; otherwise
 pages and templates meet in a shuffled join by host.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -34,35 +39,52 @@ from strandwise.llm.common import BROADCAST_BYTES, slices, table
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+MANY_PAGES = 50
+LINK_LIST = 3  # links, and no other words, that make a subtree furniture
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd label mark q s samp small span strong sub sup u var".split())
 _CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S | re.I)
 _SPACE = re.compile(r"\s+")
+_FURNITURE = frozenset("nav footer header aside menu form".split())
+_CONTENT = frozenset("html head title body main article".split())
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+)", re.I)
+_FURNITURE_WORD = re.compile(r"(?<![a-z])(?:ads?|advert[a-z]*|adsbygoogle|sponsor(?:ed)?|promo|banner|nav|navigation|navbar|menu|menubar|breadcrumbs?|sidebar|footer|contentinfo|complementary|masthead|cookies?|consent|share|social|related|newsletter|subscribe|pagination|pager|widget|toolbar|copyright)(?![a-z])")
 
 
 class Node:
     """An element: its children are Nodes and strings."""
 
-    __slots__ = ("name", "attributes", "children", "digest", "shows")
+    __slots__ = ("name", "attributes", "children", "digest", "shows", "links", "loose", "furniture")
 
     def __init__(self, name: str, attributes: str):
         self.name, self.attributes, self.children = name, attributes, []
 
 
+@lru_cache(1 << 14)
+def _named_furniture(attributes: str) -> bool:
+    return any(_FURNITURE_WORD.search(value.lower()) for value in _NAMED.findall(attributes))
+
+
 def _seal(node: Node) -> None:
-    """Sets the hash of a node whose children are complete."""
+    """Sets the hash of a node whose children are complete, and whether its form is that of site furniture."""
     state = blake2b(f"{node.name}\0{node.attributes}\0".encode(errors="replace"), digest_size=8)
-    shows = False
+    shows = loose = False
+    link = node.name == "a"
+    links = int(link)
     for child in node.children:
         if isinstance(child, str):
             state.update(b"\1" + child.encode(errors="replace"))
             shows = True
+            loose = loose or not link and any(c.isalnum() for c in child)
         else:
             state.update(b"\2" + child.digest)
             shows = shows or child.shows
-    node.digest, node.shows = state.digest(), shows
+            links += child.links
+            loose = loose or child.loose and not link
+    node.digest, node.shows, node.links, node.loose = state.digest(), shows, links, loose
+    node.furniture = node.name not in _CONTENT and (node.name in _FURNITURE or links >= LINK_LIST and not loose or bool(node.attributes) and _named_furniture(node.attributes))
 
 
 def parse(text: str) -> Node:
@@ -107,8 +129,9 @@ def parse(text: str) -> Node:
     return root
 
 
-def _number(digest: bytes) -> int:
-    return int.from_bytes(digest, "little", signed=True)
+def _number(node: Node) -> int:
+    """63 bits of the hash; the lowest bit says that the node is furniture."""
+    return int.from_bytes(node.digest, "little", signed=True) & ~1 | node.furniture
 
 
 def subtree_hashes(text: str) -> set[int]:
@@ -117,7 +140,7 @@ def subtree_hashes(text: str) -> set[int]:
     while todo:
         for child in todo.pop().children:
             if not isinstance(child, str) and child.shows:
-                found.add(_number(child.digest))
+                found.add(_number(child))
                 todo.append(child)
     return found
 
@@ -132,7 +155,7 @@ def extract(text: str, template: set[int] | frozenset[int]) -> tuple[str, int]:
         if isinstance(node, str):
             out.append(node)
             continue
-        if node.name and node.shows and _number(node.digest) in template:
+        if node.name and node.shows and _number(node) in template:
             deleted += 1
             out.append("\n")
             continue
@@ -154,7 +177,7 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), host().alias("host"), F.col("html").alias("body"))
 
 
-def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(host, digests) of the hosts that have template subtrees."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,16 +191,16 @@ def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     once = seen.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_list("digests"))).alias("digests"))
     counted = once.select("host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
     pages = counted.where("digest is null").select("host", F.col("n").alias("pages"))
-    often = counted.where(f"digest is not null and n >= {int(min_pages)}").join(pages, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages"))
+    often = counted.where(f"digest is not null and n >= {int(min_pages)}").join(pages, "host").where((F.col("digest").bitwiseAND(F.lit(1)) == 1) | (F.col("n") >= F.least(F.lit(min_share) * F.col("pages"), F.lit(float(many_pages)))))
     return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """(page_id, host, deleted, text) of every page."""
     from strandwise.llm.common import materialize
 
     rows = _rows(pages)
-    known = materialize(templates(rows, min_pages, min_share))
+    known = materialize(templates(rows, min_pages, min_share, many_pages))
     size = known.agg(F.coalesce(F.sum(F.size("digests") * 8 + 64), F.lit(0))).first()[0]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,18 @@ def test_cases(spark):
     assert got[(7, "b.example", 0, "Home\nÜber uns\nb")] == 9
     assert got[(8, "", 0, "no url")] == got[(9, "a.example", 0, "")] == got[(None, "a.example", 0, "")] == got[(10, "", 0, "plain")] == got[(11, "a.example", 1, "long long long long ")] == 1
     assert extracted(docs.limit(0)).count() == 0
+
+
+def test_a_host_with_dozens_of_template_variants(spark):
+    """Every variant lies far below a fifth of its host; own paragraphs and copied articles of as many pages stay."""
+    pages = []
+    for i in range(480):
+        v = i % 60
+        nav = f"<nav><ul><li><a href='/{v}'>home {v}</a></li></ul></nav>"
+        links = f"<div><a href='/a{v}'>a{v}</a> | <a href='/b'>b</a> | <a href='/c'>c</a></div>"
+        advert = f"<div class='box ad'>buy {v}</div>"
+        plain = f"<div><span>about site {i % 8}</span></div>"  # no furniture by its form, but on 60 pages of 480
+        article = f"<article><h1>title {v}</h1><p>same words {v}</p><p>own {i}</p></article>"
+        pages.append((i, f"http://big.example/{i}", f"<html><body>{nav}{links}{advert}{plain}{article}<footer>end {v}</footer></body></html>"))
+    got = {r.page_id: (r.deleted, r.text) for r in extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: (5, f"title {i % 60}\nsame words {i % 60}\nown {i}") for i in range(480)}
