@@ -8,8 +8,8 @@ copies, and the connected groups of near copies keep their smallest doc_id.
 
 Candidates share the value of a random sample of bits in one of several
 tables; sample width and table count follow the number of fingerprints, so
-that a bucket stays small and a pair at DESIGN_DISTANCE is met in 9 of 10
-cases at every size. Inside a bucket every pair is compared: 64 fingerprints
+that a bucket stays small and a pair at RADIUS itself is met in 9 of 10 cases
+at every size, a nearer pair more often. Inside a bucket every pair is compared: 64 fingerprints
 lie as vertical bit planes, a query is XORed with a plane at a time, the
 mismatches are added by carry-save full adders into bit-sliced counters, and
 a block is abandoned as soon as all its lanes are beyond the radius. A bucket
@@ -35,7 +35,7 @@ from strandwise.llm.common import WORD_BYTE, buffers, lower, materialize, mix, s
 WORDS = 4  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 RADIUS = 48
-DESIGN_DISTANCE = 32
+DESIGN_DISTANCE = RADIUS
 DESIGN_RECALL = 0.9
 LONG_WORD = 4
 CHECK_EVERY = 32  # planes between two looks at what can be abandoned
@@ -251,20 +251,27 @@ def _edge_batches(radius: int):
 
 
 def tables_for(n: int, design: int = DESIGN_DISTANCE, recall: float = DESIGN_RECALL) -> tuple[int, int]:
-    """(bits sampled for a key, number of tables) for n fingerprints."""
-    sample = max(10, math.ceil(math.log2(max(n, 2))) - 4)
-    hit = (1 - design / BITS) ** sample
+    """(bits sampled for a key, number of tables) for n fingerprints; buckets of random ones hold 32 to 64."""
+    sample = max(8, math.ceil(math.log2(max(n, 2))) - 6)
+    # the bits of a sample differ from each other, so none of the design bits that differ may be drawn
+    hit = math.comb(BITS - design, sample) / math.comb(BITS, sample)
     return sample, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
-def _keys(n: int) -> Column:
-    """An array of bucket keys, one a table."""
+def _masks(n: int) -> np.ndarray:
+    """The sampled bits of each table: tables x BITS, 0 or 1."""
     sample, tables = tables_for(n)
     rng = np.random.default_rng(20240607)
-    keys = []
-    for t in range(tables):
-        mask = np.zeros(BITS, np.uint8)
+    masks = np.zeros((tables, BITS), np.uint8)
+    for mask in masks:
         mask[rng.choice(BITS, sample, replace=False)] = 1
+    return masks
+
+
+def _keys(n: int) -> Column:
+    """An array of bucket keys, one a table."""
+    keys = []
+    for t, mask in enumerate(_masks(n)):
         parts = np.packbits(mask).view(np.int64)
         keys.append(F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(F.lit(int(m))) for f, m in zip(_FIELDS, parts)]))
     return F.array(*keys)

@@ -99,3 +99,14 @@ def test_recall_against_brute_force(spark):
     close = [(a, b) for a, b in zip(*np.nonzero(np.triu(d <= S.RADIUS, 1)))]
     assert len(close) > 1000
     assert sum(p in met for p in close) >= 0.9 * len(close)
+
+
+@pytest.mark.parametrize("n", [2, 1500, 9288, 500_000, 30_000_000])
+def test_recall_at_every_distance_and_size(n):
+    rng = np.random.default_rng(n)
+    masks = S._masks(n).astype(np.int32)
+    for d in (8, 24, 32, 36, 40, 44, S.RADIUS):
+        # of each pair the bits that differ: a table meets it if it samples none of them
+        differ = rng.permuted(np.repeat((np.arange(S.BITS) < d)[None], 4000, axis=0), axis=1).astype(np.int32)
+        met = (differ @ masks.T == 0).any(axis=1).mean()
+        assert met >= 0.885, (d, met)  # 0.9 less three deviations of 4000 pairs
