@@ -85,9 +85,18 @@ a AS (SELECT id, kmer FROM k WHERE id % 2 = 0), b AS (SELECT id + 1 AS id, kmer
 SELECT p.id AS left_id, p.id + 1 AS right_id, count(q.kmer) AS n_both FROM a p LEFT JOIN k q ON q.id = p.id + 1 AND q.kmer = p.kmer GROUP BY p.id
 """)
 def kmer_set_pairs(t: Tables) -> DataFrame:
-    """Windows that an even item shares with the next one."""
+    """Windows that an even item shares with the next one, as the SQL has it; kmer_set_pairs_all has every item."""
+    return kmer_set_pairs_all(t).where("left_id % 2 = 0")
+
+
+@query(f"""
+WITH k AS (SELECT DISTINCT id, kmer FROM ({windows_sql(ITEMS)}))
+SELECT p.id AS left_id, p.id + 1 AS right_id, count(q.kmer) AS n_both FROM k p LEFT JOIN k q ON q.id = p.id + 1 AND q.kmer = p.kmer GROUP BY p.id
+""")
+def kmer_set_pairs_all(t: Tables) -> DataFrame:
+    """Windows that every item shares with the next one."""
     sets = kmers.distinct(t.items, K)
-    a = sets.where("id % 2 = 0").select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"), "kmer")
+    a = sets.select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"), "kmer")
     b = sets.select(F.col("id").alias("right_id"), "kmer", F.lit(1).alias("one"))
     return a.join(b, ["right_id", "kmer"], "left").groupBy("left_id", "right_id").agg(F.count("one").alias("n_both"))
 
