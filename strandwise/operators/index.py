@@ -95,6 +95,18 @@ def combine(postings: DataFrame, left: int, right: int, how: str) -> DataFrame:
     return ways[how]()
 
 
+def combine_pairs(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, bit_pos, in_left, in_right) of every bit that the left or right filter of a pair has.
+
+    Both make the union, bits of one side alone the difference, bits of both the intersection.
+    """
+    bits = postings.select("run_id", *PARAMS, "bit_pos")
+    left = pairs.join(bits.withColumnRenamed("run_id", "left_id"), "left_id").select("left_id", "right_id", *PARAMS, "bit_pos", F.lit(1).alias("side"))
+    right = pairs.join(bits.withColumnRenamed("run_id", "right_id"), "right_id").select("left_id", "right_id", *PARAMS, "bit_pos", F.lit(2).alias("side"))
+    sides = left.union(right).groupBy("left_id", "right_id", *PARAMS, "bit_pos").agg(F.bit_or("side").alias("sides"))
+    return sides.select("left_id", "right_id", *PARAMS, "bit_pos", (F.col("sides") != 2).alias("in_left"), (F.col("sides") != 1).alias("in_right"))
+
+
 def difference(postings: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left_id, right_id, n_left, n_right, n_both, n_differ) for pairs of runs with filters of the same parameters."""
     sizes = postings.groupBy("run_id", *PARAMS).agg(F.count("*").alias("n"))

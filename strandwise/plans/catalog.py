@@ -245,12 +245,15 @@ def bloom_difference(t: Tables) -> DataFrame:
     return index.difference(materialize(postings), pairs)
 
 
+def _folded(postings: DataFrame) -> DataFrame:
+    """Filters of two lengths meet at 16 bits: a shorter filter is a longer one folded."""
+    return materialize(postings.select("run_id", F.lit(K).alias("kmer_len"), F.lit(SHORTEST).alias("log_2_filter_len"), F.lit(0).alias("num_hash"), (F.col("bit_pos") % (1 << SHORTEST)).alias("bit_pos")).distinct())
+
+
 def _combined(t: Tables, how: str) -> DataFrame:
+    """Documents 0 and 1, as the SQL has it; filter_pairs_combined has all."""
     counted, params = _counted(t)
-    postings = index.build(counted.where("id in (0, 1)"), params, K)
-    # filters of two lengths meet at 16 bits: a shorter filter is a longer one folded
-    folded = postings.select("run_id", F.lit(K).alias("kmer_len"), F.lit(SHORTEST).alias("log_2_filter_len"), F.lit(0).alias("num_hash"), (F.col("bit_pos") % (1 << SHORTEST)).alias("bit_pos")).distinct()
-    return index.combine(materialize(folded), 0, 1, how).select("bit_pos")
+    return index.combine(_folded(index.build(counted.where("id in (0, 1)"), params, K)), 0, 1, how).select("bit_pos")
 
 
 def combined_sql(how: str) -> str:
@@ -274,6 +277,31 @@ def filter_xor(t: Tables) -> DataFrame:
     return _combined(t, "xor")
 
 
+@query(f"""
+WITH {BITS_SQL}, f AS MATERIALIZED (SELECT DISTINCT run_id, bit_pos % 65536 AS bit_pos FROM bits),
+n AS (SELECT run_id, count(*) AS n, sum(bit_pos)::BIGINT AS places FROM f GROUP BY run_id),
+c AS (SELECT a.run_id AS left_id, count(*) AS n, sum(a.bit_pos)::BIGINT AS places FROM f a JOIN f b ON b.run_id = a.run_id + 1 AND a.bit_pos = b.bit_pos GROUP BY a.run_id)
+SELECT a.run_id AS left_id, b.run_id AS right_id, a.n + b.n - coalesce(c.n, 0) AS n_union, a.places + b.places - coalesce(c.places, 0) AS places_union, coalesce(c.n, 0) AS n_intersect, coalesce(c.places, 0) AS places_intersect,
+ a.n + b.n - 2 * coalesce(c.n, 0) AS n_xor, a.places + b.places - 2 * coalesce(c.places, 0) AS places_xor
+FROM n a JOIN n b ON b.run_id = a.run_id + 1 LEFT JOIN c ON c.left_id = a.run_id
+""")
+def filter_pairs_combined(t: Tables) -> DataFrame:
+    """Union, intersection and symmetric difference of each document's filter with the next one's, folded to one length: how many bits, and the sum of their places."""
+    postings, params = _built(t)
+    ids = params.select("run_id")
+    pairs = ids.select(F.col("run_id").alias("left_id"), (F.col("run_id") + 1).alias("right_id")).join(ids.withColumnRenamed("run_id", "right_id"), "right_id")
+    bits = index.combine_pairs(_folded(postings), pairs)
+    both, place = F.col("in_left") & F.col("in_right"), F.col("bit_pos")
+    return bits.groupBy("left_id", "right_id").agg(
+        F.count("*").alias("n_union"),
+        F.sum(place).alias("places_union"),
+        F.count_if(both).alias("n_intersect"),
+        F.sum(F.when(both, place).otherwise(0)).alias("places_intersect"),
+        F.count_if(~both).alias("n_xor"),
+        F.sum(F.when(~both, place).otherwise(0)).alias("places_xor"),
+    )
+
+
 @query()
 def filter_blocks(t: Tables) -> DataFrame:
     """The dense form of every filter with its checksums; no SQL for the bitmaps, so the tests hold it against the postings."""
