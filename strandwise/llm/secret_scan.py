@@ -6,6 +6,11 @@ nowhere else. A match of a kind that carries a checksum is reported only if
 the checksum is right; the others must pass the test of their kind (a decoded
 header, enough different characters). Texts are scanned whole.
 
+A value assigned to a secret's name may be quoted or not, as in .env files and
+YAML, from SHORTEST characters on; it holds no white space. It must vary, and a
+short or unquoted one must mix kinds of characters, so that words, numbers,
+names and references to where the secret is kept are none.
+
 Defined cases: null and empty texts hold nothing. A span is reported once for
 each rule that matches it, for each row; ids may be null. Offsets count
 characters.
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import slices, table
 
 LEAST_ENTROPY = 2.5
+SHORTEST = 6
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _BASE58 = {c: i for i, c in enumerate("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz")}
@@ -67,10 +73,15 @@ def signed_header(value: str) -> bool:
 
 
 def key_body(value: str) -> bool:
+    """DER, an OpenSSH key, or anything in base 64 under headers that call it encrypted; line ends may be escaped."""
+    inner = value.split("-----")[2].replace("\\r", "").replace("\\n", "\n")
+    encrypted = re.search(r"Proc-Type:\s*4,\s*ENCRYPTED", inner) is not None
+    inner = re.sub(r"Proc-Type:\s*4,\s*ENCRYPTED|DEK-Info:\s*\S+", "", inner)
     try:
-        return base64.b64decode("".join(value.split("-----")[2].split()), validate=True)[:1] == b"\x30"
+        raw = base64.b64decode("".join("".join(line.split()) for line in inner.split("\n") if ":" not in line), validate=True)
     except ValueError:
         return False
+    return raw[:1] == b"\x30" or raw.startswith(b"openssh-key-v1\0") or encrypted and len(raw) > 0
 
 
 def entropy(value: str) -> float:
@@ -82,6 +93,29 @@ def varied(value: str) -> bool:
     return entropy(value) >= LEAST_ENTROPY
 
 
+_REFERENCE = re.compile(r"[$%]?[{<(\[]|\$[A-Za-z_]|%[A-Za-z_]+%$|[A-Za-z_][\w.]*[(\[]|\*+$")
+
+
+def _refers(value: str) -> bool:
+    """The value names a place where the secret is, or is blanked out."""
+    return _REFERENCE.match(value) is not None or "://" in value and "@" not in value
+
+
+def quoted_value(value: str) -> bool:
+    kinds = sum(re.search(k, value) is not None for k in ("[a-z]", ".[A-Z]", "[0-9]", r"[^A-Za-z0-9_.\s-]"))
+    return varied(value) and (len(value) >= 16 or kinds >= 2) and not _refers(value)
+
+
+def bare_value(value: str) -> bool:
+    mixed = re.search("[A-Za-z]", value) and re.search(r"[^A-Za-z_.-]", value)
+    return bool(mixed) and varied(value) and not _refers(value)
+
+
+_NAMES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "_pass", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey")
+# the name may go on by parts (SECRET_KEY, secretKey), unless they say that the value is none
+_ASSIGNED = r"(?:(?i:token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|_pass(?![a-z])))(?!(?i:[_-]?(?:name|type|url|uri|path|file|count|limit|size|length|ttl|expir[a-z]*|endpoint)\b))(?:[_-]?[A-Z][a-z]+|[_-][A-Za-z0-9]+){0,4}[0-9]{0,3}(?:\\?[\"'`])?\]?\s*(?:=>|:=|={1,3}|:)"
+
+
 class Rule(NamedTuple):
     name: str
     keywords: tuple[str, ...]  # lower case; each begins every match
@@ -95,12 +129,13 @@ RULES = [
     Rule("package_token", ("npm_",), re.compile(r"(?P<s>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), crc_token, True),
     Rule("wallet_key", ("xprv",), re.compile(r"(?P<s>xprv[1-9A-HJ-NP-Za-km-z]{107})(?![1-9A-HJ-NP-Za-km-z])"), base58_check, True),
     Rule("signed_token", ("eyj",), re.compile(r"(?P<s>eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)"), signed_header, False),
-    Rule("private_key", ("-----begin",), re.compile(r"(?P<s>-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----)"), key_body, False),
+    Rule("private_key", ("-----begin",), re.compile(r"(?P<s>-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----)"), key_body, False),
     Rule("cloud_key_id", ("akia", "asia"), re.compile(r"(?P<s>A[KS]IA[A-Z2-7]{16})(?![A-Za-z0-9])"), varied, False),
     Rule("map_key", ("aiza",), re.compile(r"(?P<s>AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])"), varied, False),
     Rule("chat_token", ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), re.compile(r"(?P<s>xox[abprs]-[0-9A-Za-z-]{10,})"), varied, False),
     Rule("payment_key", ("sk_live_", "rk_live_"), re.compile(r"(?P<s>[sr]k_live_[0-9A-Za-z]{24,})"), varied, False),
-    Rule("assigned", ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key"), re.compile(r"(?:token|secret|password|passwd|api[_-]?key|access_key)[\"']?\s*[:=]\s*[\"'](?P<s>[A-Za-z0-9+/_=.-]{16,})[\"']", re.I), varied, False),
+    Rule("assigned", _NAMES, re.compile(_ASSIGNED + rf"\s*(?P<q>\\?[\"'`])(?P<s>(?:(?!(?P=q))\S){{{SHORTEST},}})(?P=q)"), quoted_value, False),
+    Rule("assigned", _NAMES, re.compile(_ASSIGNED + rf"[ \t]*(?P<s>[^\s\"'`\\=:>][^\s\"'`\\]{{{SHORTEST - 1},}}?)(?=[,;)\]}}.]*(?:[\s\"'`\\]|&[\w.-]+=|</|\Z))"), bare_value, False),
 ]
 
 

@@ -73,3 +73,42 @@ def test_documents_against_all_patterns_everywhere(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     want = {(d, *f[:3]) for d, t in pq.read_table(path, columns=["doc_id", "text"]).to_pandas().itertuples(index=False) for f in everywhere(t)}
     assert {(r.doc_id, r.rule, r.begin, r.end) for r in secrets(spark.read.parquet(path)).collect()} == want
+
+
+def pem(kind, body, headers=""):
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{headers}{body}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_planted_forms_of_assignments_and_keys():
+    """The secrets are known from planting, not from RULES."""
+    rng = random.Random(7)
+    scanner = Scanner(RULES)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    openssh = pem("OPENSSH ", b64(b"openssh-key-v1\0" + rng.randbytes(120)))
+    locked = pem("RSA ", b64(b"\x91" + rng.randbytes(95)), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n")
+    escaped = pem("", b64(b"\x30" + rng.randbytes(95))).replace("\n", "\\n")
+    for key in (openssh, locked, escaped):
+        assert [(r, a, b) for r, a, b, _ in scanner.scan(f"x {key} y")] == [("private_key", 2, 2 + len(key))]
+    for before, secret, after in [
+        ("PASSWORD=", "abc123def456", "\nUSER=x"),
+        ("export DB_PASSWORD=", "Tr0ub4dor&3", ""),
+        ("  password: ", "p@ss!w0rd#1", "\n"),
+        ("password = '", "hunter2!", "'"),
+        ('"password": "', "S3cr#t", '",'),
+        ('SECRET_KEY = "', "django-insecure-8@x!k2", '"'),
+        ("secretKey: '", "a1B2c3D4e5F6a7B8", "'"),
+        ("API_KEY_2=", "9f8e7d6c5b4a39281706", ""),
+        ("x?access_token=", "a81bc81bdead4e5d", "&page=2"),
+        ("config['password'] = \"", "it's;9,fine", '"'),
+        ("DB_PASS=", "q1w2e3r4t5", ";"),
+        ('{\\"token\\": \\"', "a81bc81bdead4e5d", '\\"}'),
+    ]:
+        text = f"Zu {before}{secret}{after} end"
+        assert [(r, text[a:b]) for r, a, b, _ in scanner.scan(text)] == [("assigned", secret)], text
+
+
+def test_words_numbers_and_references_are_no_secrets():
+    scanner = Scanner(RULES)
+    for text in ["Password: required", "the secret: nobody", "max_tokens: 128000", "password = user_password", "password=${DB_PASSWORD1}", "token = get_token2('x')", "secret: <your-secret-1>", '"password": "Passwort"', "tokenizer_class: GPT2Tokenizer", "token_url: https://a.example/v1", "password=********", "secret: aaaaaaaa1", "token=$TOKEN_1", 'password: ""']:
+        assert scanner.scan(text) == [], text
+    assert scanner.scan(pem("", base64.b64encode(b"not a key at all, only text").decode())) == []
