@@ -6,14 +6,18 @@ neither its source nor its duplicate cluster. A token is a run of characters
 other than white space, unless the caller brings a length column.
 
 Bins are ordered by residual capacity. Each carries a bitmap of its sources
-and one of its clusters; a tree over the residuals holds the intersection of
+and the set of those of its clusters that have several pieces; bins of one
+residual lie in groups of one bitmap. A tree over the residuals holds the intersection of
 the source bitmaps below it, so that the successor search skips ranges in
 which every bin holds the source already, and goes on until it meets the
 tightest compatible bin. A piece that none can take opens a bin.
 
-The corpus is packed in shards of about SHARD_DOCS documents by hash of
-doc_id, so the work grows in proportion and shards run side by side. Only ids,
-lengths, sources and cluster hashes are shuffled, never texts.
+Best fit depends on every piece before, so all pieces pass one task, in their
+order, and each sees the open bins of the whole corpus: the result has one form
+at every size. Counting, cutting and sorting run side by side before; the task
+reads the sorted pieces as a stream and holds the open bins only, at a cost a
+piece that doesn't grow with the bins of a residual. Only ids, lengths, sources
+and cluster hashes are shuffled, never texts.
 
 Defined cases: a document without tokens (null, empty or blank text) has no
 piece and isn't in the result. A null source or cluster conflicts with
@@ -25,37 +29,41 @@ are documents of one cluster and so go to different bins.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import table
+from strandwise.llm.common import materialize, table
 
 CAPACITY = 2048
-SHARD_DOCS = 20_000
 
 SCHEMA = "bin_id string, doc_id long, piece int, first_token long, n_tokens int"
 
 
 class Bins:
-    """Open bins by residual capacity, with source and cluster bitmaps."""
+    """Open bins by residual capacity, with source bitmaps and sets of clusters."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.leaves = 1 << capacity.bit_length()
         #: tree[i]: sources that all bins below node i hold; -1 (all bits) where there is none
         self.tree = [-1] * (2 * self.leaves)
-        self.at: list[dict[int, None]] = [{} for _ in range(self.leaves)]
+        #: for each residual: bitmap -> heap of the bins that hold these sources, and a heap of (first bin, bitmap);
+        #: an entry is out of date if its bin isn't the first of its group
+        self.groups: list[dict[int, list[int]]] = [{} for _ in range(self.leaves)]
+        self.firsts: list[list[tuple[int, int]]] = [[] for _ in range(self.leaves)]
+        self.count = [0] * self.leaves
         self.held: list[dict[int, int]] = [{} for _ in range(self.leaves)]
-        self.sources: list[int] = []
-        self.clusters: list[int] = []
-        self.residual: list[int] = []
+        self.clusters: dict[int, set[int]] = {}
+        self.opened = 0
 
     def _refresh(self, r: int) -> None:
-        bins, tree = len(self.at[r]), self.tree
+        bins, tree = self.count[r], self.tree
         common = -1
         if bins:
             common = 0
@@ -80,21 +88,60 @@ class Bins:
             yield low.bit_length() - 1
             bitmap ^= low
 
-    def _put(self, b: int, r: int) -> None:
-        self.at[r][b] = None
+    def _push(self, b: int, r: int, bitmap: int) -> None:
+        group = self.groups[r].setdefault(bitmap, [])
+        heapq.heappush(group, b)
+        if group[0] == b:
+            heapq.heappush(self.firsts[r], (b, bitmap))
+
+    def _pop(self, r: int, bitmap: int) -> None:
+        """Removes the first bin of a group, which is the first of all."""
+        group = self.groups[r][bitmap]
+        heapq.heappop(group)
+        heapq.heappop(self.firsts[r])
+        if group:
+            heapq.heappush(self.firsts[r], (group[0], bitmap))
+        else:
+            del self.groups[r][bitmap]
+
+    def _put(self, b: int, r: int, bitmap: int) -> None:
+        self._push(b, r, bitmap)
+        self.count[r] += 1
         held = self.held[r]
-        for s in self._bits(self.sources[b]):
+        for s in self._bits(bitmap):
             held[s] = held.get(s, 0) + 1
         self._refresh(r)
 
-    def _take(self, b: int, r: int) -> None:
-        del self.at[r][b]
-        held = self.held[r]
-        for s in self._bits(self.sources[b]):
-            held[s] -= 1
-            if not held[s]:
-                del held[s]
-        self._refresh(r)
+    def _take(self, r: int, in_source: int, cluster: int) -> tuple[int, int]:
+        """(bin, its bitmap) of the first compatible bin of a residual, which is removed, or (-1, 0)."""
+        groups, firsts = self.groups[r], self.firsts[r]
+        other, blocked, found = [], [], (-1, 0)
+        while firsts:
+            b, bitmap = firsts[0]
+            group = groups.get(bitmap)
+            if not group or group[0] != b:
+                heapq.heappop(firsts)
+            elif bitmap & in_source:
+                other.append(heapq.heappop(firsts))
+            else:
+                self._pop(r, bitmap)
+                if cluster < 0 or cluster not in self.clusters.get(b, ()):
+                    found = b, bitmap
+                    break
+                blocked.append((b, bitmap))
+        for entry in other:
+            heapq.heappush(firsts, entry)
+        for b, bitmap in blocked:
+            self._push(b, r, bitmap)
+        if found[0] >= 0:
+            self.count[r] -= 1
+            held = self.held[r]
+            for s in self._bits(found[1]):
+                held[s] -= 1
+                if not held[s]:
+                    del held[s]
+            self._refresh(r)
+        return found
 
     def _successor(self, r: int, source: int) -> int:
         """The least residual >= r with a bin that lacks ``source`` (any bin for source -1), or -1."""
@@ -121,29 +168,23 @@ class Bins:
         return i - self.leaves
 
     def place(self, tokens: int, source: int, cluster: int) -> int:
-        """The bin that takes the piece; source and cluster are small numbers, or -1 for none."""
+        """The bin that takes the piece; source is a small number and cluster a number, or -1 for none."""
         in_source = 1 << source if source >= 0 else 0
-        in_cluster = 1 << cluster if cluster >= 0 else 0
         r = tokens
         while (r := self._successor(r, source) if r <= self.capacity else -1) >= 0:
-            for b in sorted(self.at[r]):
-                if not self.sources[b] & in_source and not self.clusters[b] & in_cluster:
-                    self._take(b, r)
-                    break
-            else:
-                r += 1
-                continue
-            break
+            b, bitmap = self._take(r, in_source, cluster)
+            if b >= 0:
+                break
+            r += 1
         else:
-            b, r = len(self.residual), self.capacity
-            self.residual.append(r)
-            self.sources.append(0)
-            self.clusters.append(0)
-        self.sources[b] |= in_source
-        self.clusters[b] |= in_cluster
-        self.residual[b] = r - tokens
+            b, bitmap, r = self.opened, 0, self.capacity
+            self.opened += 1
         if r > tokens:
-            self._put(b, r - tokens)
+            if cluster >= 0:
+                self.clusters.setdefault(b, set()).add(cluster)
+            self._put(b, r - tokens, bitmap | in_source)
+        else:
+            self.clusters.pop(b, None)
         return b
 
 
@@ -153,7 +194,7 @@ def _numbered(values: pd.Series) -> np.ndarray:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Packs the documents (doc, tokens, source, cluster, shard) of one shard."""
+    """Packs the documents (doc, tokens, source, cluster, shard) of one frame in memory."""
     tokens = rows["tokens"].to_numpy(np.int64)
     whole, rest = tokens // capacity, tokens % capacity
     pieces = whole + (rest > 0)
@@ -202,17 +243,40 @@ def token_count() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
-    """(bin_id, doc_id, piece, first_token, n_tokens) of every piece of ``docs``."""
-    shards = max(1, -(-docs.count() // shard_docs))
+def pieces_of(docs: DataFrame, capacity: int, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
+    """(doc, piece, n, source, cluster) of every piece; cluster is null where none other can conflict."""
+    key = content_cluster() if cluster is None else cluster
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc"),
         (token_count() if tokens is None else tokens).cast("long").alias("tokens"),
-        F.col("source").alias("source"),
-        (content_cluster() if cluster is None else cluster).alias("cluster"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"),
+        F.col("source").cast("string").alias("source"),
+        # a document without cluster is one of its own
+        F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("row"), F.monotonically_increasing_id())).alias("key"),
     ).where("tokens > 0")
-    return rows.groupBy("shard").applyInPandas(lambda pdf: pack_shard(pdf, capacity), SCHEMA)
+    rows = materialize(rows.withColumn("pieces", F.ceil(F.col("tokens") / capacity).cast("int")))
+    several = rows.groupBy("key").agg(F.sum("pieces").alias("n")).where("n > 1").select("key", F.col("key").bitwiseAND(F.lit((1 << 63) - 1)).alias("cluster"))
+    cut = rows.join(several, "key", "left").select("doc", "tokens", "source", "cluster", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    return cut.select("doc", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece").cast("long") * capacity).cast("int").alias("n"), "source", "cluster")
+
+
+def _placed(capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, sources = Bins(capacity), {None: -1}
+        for batch in batches:
+            n, source, cluster = (batch.column(c).to_pylist() for c in ("n", "source", "cluster"))
+            bin_of = [bins.place(k, sources.setdefault(s, len(sources) - 1), -1 if c is None else c) for k, s, c in zip(n, source, cluster)]
+            piece = batch.column("piece")
+            first = pa.array(piece.to_numpy().astype(np.int64) * capacity)
+            yield pa.RecordBatch.from_arrays([pa.array([f"0-{b}" for b in bin_of], pa.string()), batch.column("doc"), piece, first, batch.column("n")], names=["bin_id", "doc_id", "piece", "first_token", "n_tokens"])
+
+    return run
+
+
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
+    """(bin_id, doc_id, piece, first_token, n_tokens) of every piece of ``docs``."""
+    pieces = pieces_of(docs, capacity, tokens, cluster)
+    order = [F.col("n").desc(), F.col("doc").asc_nulls_last(), "piece", "source", "cluster"]
+    return pieces.repartition(1).sortWithinPartitions(*order).mapInArrow(_placed(capacity), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import bisect
 import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from strandwise.llm.packing import Bins, best_fit, pack_shard
+from strandwise.llm.packing import Bins, best_fit, pack_shard, pieces_of
 
 
 def plain(pieces, capacity):
@@ -49,3 +51,45 @@ def test_nulls_empties_repeats_and_extra_columns(spark):
     assert sorted((str(r.doc_id), r.piece, r.first_token, r.n_tokens) for r in out) == [("1", 0, 0, 3), ("1", 0, 0, 3), ("4", 0, 0, 2048), ("4", 1, 2048, 2048), ("4", 2, 4096, 904), ("None", 0, 0, 2)]
     assert len({r.bin_id for r in out if r.doc_id == 1}) == 2
     assert best_fit(docs.limit(0)).count() == 0
+
+
+def test_a_corpus_beyond_one_shard_is_packed_as_a_whole(spark):
+    """24,000 documents, some without doc_id, source or cluster: the bins are those of the brute-force packer over all."""
+    rng = random.Random(4)
+    rows = [(i if i % 10 else None, rng.choice([1, 3, 7, 8, 13, 20, 45]), rng.choice("abcdefgh") if rng.random() < 0.9 else None, rng.randint(0, 9000) if rng.random() < 0.8 else None) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, t int, source string, c long").repartition(6)
+    got = best_fit(docs, 16, tokens=F.col("t"), cluster=F.col("c")).collect()
+    order = pieces_of(docs, 16, F.col("t"), F.col("c")).collect()
+    order.sort(key=lambda r: (-r.n, r.doc is None, r.doc or 0, r.piece, r.source or "", -1 if r.cluster is None else r.cluster))
+    assert sorted(r.n for r in order) == sorted(min(16, t - at) for _, t, _, _ in rows for at in range(0, t, 16))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.n_tokens)
+    assert all(sum(b) <= 16 for b in bins.values())
+    want = {}
+    for r, b in zip(order, plain_by_residual([(r.n, r.source, r.cluster) for r in order], 16)):
+        want.setdefault(b, []).append((r.doc, r.piece, r.n))
+    have = {}
+    for r in got:
+        have.setdefault(r.bin_id, []).append((r.doc_id, r.piece, r.n_tokens))
+    key = lambda b: sorted(b, key=str)
+    assert sorted(map(key, have.values()), key=str) == sorted(map(key, want.values()), key=str)
+
+
+def plain_by_residual(pieces, capacity):
+    """Best fit by looking at the bins of each residual in turn, in the order of opening."""
+    at, held, out = [[] for _ in range(capacity + 1)], [], []
+    for n, s, c in pieces:
+        hit = next(((r, b) for r in range(n, capacity + 1) for b in at[r] if (s is None or s not in held[b][0]) and (c is None or c not in held[b][1])), None)
+        if hit is None:
+            hit = capacity, len(held)
+            held.append((set(), set()))
+        else:
+            at[hit[0]].remove(hit[1])
+        r, b = hit
+        held[b][0].add(s)
+        held[b][1].add(c)
+        if r > n:
+            bisect.insort(at[r - n], b)
+        out.append(b)
+    return out
