@@ -27,6 +27,42 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
+def word_mask(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to words: ASCII letters and digits and what lies beyond ASCII.
+
+    Blanks and punctuation beyond ASCII (no-break spaces, curly quotes, dashes,
+    ellipses, those of CJK scripts) belong to none, like those of ASCII.
+    """
+    inside = WORD_BYTE[data]
+    leads = np.flatnonzero(data >= 0xC2)
+    kinds = data[leads]
+    for lead, second, third in _SIGNS:
+        at = leads[kinds == lead]
+        at = at[second[data[at + 1]]]
+        if third is not None:
+            at = at[third[data[at + 2]]]
+            inside[at + 2] = False
+        inside[at] = inside[at + 1] = False
+    return inside
+
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for lo, hi in ranges:
+        out[lo : hi + 1] = True
+    return out
+
+
+#: (first byte, second bytes, third bytes or None) of the signs beyond ASCII.
+_SIGNS = [
+    (0xC2, _bytes((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF)), None),  # Latin-1 but for letters
+    (0xE2, _bytes((0x80, 0x80), (0x81, 0x81)), _bytes((0x80, 0xBF))),  # general punctuation
+    (0xE3, _bytes((0x80, 0x80)), _bytes((0x80, 0x84), (0x87, 0xA0), (0xB0, 0xB0))),  # CJK punctuation
+    (0xEF, _bytes((0xBC, 0xBC)), _bytes((0x80, 0x8F), (0x9A, 0xA0), (0xBB, 0xBF))),  # full-width signs
+    (0xEF, _bytes((0xBD, 0xBD)), _bytes((0x80, 0x80), (0x9B, 0xA5))),
+]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     got = _powers.get(base)
@@ -86,19 +122,40 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of the maximal runs of bytes marked in the table ``inside``; none crosses a row."""
-    if not len(data):
+    return runs(inside[data], offsets)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the words of lower-cased texts; in scripts without blanks (CJK) every character is one."""
+    inside = word_mask(data)
+    return runs(inside, offsets, np.flatnonzero((data >= 0xE3) & (data <= 0xE9) & inside))
+
+
+def runs(is_in: np.ndarray, offsets: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of the maximal runs of marked bytes; none crosses a row.
+
+    ``alone``: places of marked three-byte characters that are runs of their own.
+    """
+    if not len(is_in):
         none = np.zeros(0, np.int64)
         return none, none, none
-    is_in = inside[data]
     filled = offsets[:-1][offsets[:-1] < offsets[1:]]
     edge = is_in.copy()
     edge[1:] &= ~is_in[:-1]
     edge[filled] = is_in[filled]
+    if alone is not None and len(alone):
+        later = alone[alone + 3 < len(edge)] + 3
+        edge[alone] = True
+        edge[later] |= is_in[later]
     starts = np.flatnonzero(edge)
     edge = is_in.copy()
     edge[:-1] &= ~is_in[1:]
     edge[filled[1:] - 1] = is_in[filled[1:] - 1]
     edge[-1] = is_in[-1]
+    if alone is not None and len(alone):
+        before = alone[alone > 0] - 1
+        edge[alone + 2] = True
+        edge[before] |= is_in[before]
     ends = np.flatnonzero(edge) + 1
     bounds = np.searchsorted(starts, offsets)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))

@@ -1,7 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
 Document and item are sequences of words (runs of ASCII letters and digits and
-of characters beyond ASCII, lower-cased). Seeds are windows of MIN_MATCH words
+of characters beyond ASCII but for blanks and punctuation, lower-cased; of CJK
+scripts every character is a word), so typographic quotes, dashes and blanks
+count for no more than plain ones. Seeds are windows of MIN_MATCH words
 with a rolling Karp-Rabin hash; a document is joined with the items that share
 seeds with it. For each pair, seeds on one diagonal run together into maximal
 matches, and the longest match whose words are still free on both sides is
@@ -16,7 +18,9 @@ pass over the documents for each part, so its size never depends on the
 benchmark's.
 
 Defined cases: null and empty texts, and items of fewer than MIN_MATCH words,
-match nothing. Repeated items and documents are judged one by one and reported
+match nothing, nor does anything in an empty table. Texts of any length are
+read whole. Of equally long matches the one that comes first in the item goes
+first. Further columns may have any name. Repeated items and documents are judged one by one and reported
 once. A null doc_id or item_id is reported as null. The filter judges every
 row by its own text, whatever its id, and keeps all columns.
 """
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import WORD_BYTE, buffers, lower, mix, slices, span_hashes, spans, table
+from strandwise.llm.common import buffers, lower, mix, slices, span_hashes, table, words_of
 
 MIN_MATCH = 3
 THRESHOLD = 0.5
@@ -44,7 +48,7 @@ _FILTER_BITS = 20
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, row of each word)."""
     data, offsets = buffers(lower(texts))
-    starts, ends, rows = spans(data, offsets, WORD_BYTE)
+    starts, ends, rows = words_of(data, offsets)
     return span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64), rows
 
 

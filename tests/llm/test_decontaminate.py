@@ -81,3 +81,13 @@ def test_hits_are_all_equal_windows():
     at, item, item_at = index.hits(hashes, rows)
     assert sorted(zip(at.tolist(), item.tolist(), item_at.tolist())) == [(0, 0, 0), (0, 0, 4), (1, 0, 1), (1, 1, 0)]
     assert isinstance(at, np.ndarray)
+
+
+def test_typographic_signs_split_words_like_plain_ones(spark):
+    plain = "the cat sat on the mat and then the dog ran off with it all"
+    curly = "“the cat” sat—on the mat ‘and then’ the dog… ran off «with it» all"
+    wide = "我们昨天去了北京的天安门广场看升旗"
+    docs = spark.createDataFrame([(1, curly), (2, plain.upper()), (3, "是的，" + wide + "。后来"), (4, "the cat’s mat")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, plain), (2, curly), (3, wide)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in D.leaks(docs, bench).collect()} == {(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)}
+    assert len(D.words(pa.array(["a·b", "né µm ª1", "a　b、c", "Ａ！ｂ"], pa.large_string()))[0]) == 2 + 3 + 3 + 2
