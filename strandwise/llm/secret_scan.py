@@ -4,16 +4,23 @@ One automaton of all keywords runs over the lower-cased text. Where a keyword
 begins, the patterns of its rules are matched anchored at that place, and
 nowhere else. A match of a kind that carries a checksum is reported only if
 the checksum is right; the others must pass the test of their kind (a decoded
-header, enough different characters). Texts are scanned whole.
+header, enough different characters): of the kinds below three carry a
+checksum of their own. Texts are scanned whole.
 
 A value assigned to a secret's name may be quoted or not, as in .env files and
 YAML, from SHORTEST characters on; it holds no white space. It must vary, and a
 short or unquoted one must mix kinds of characters, so that words, numbers,
-names and references to where the secret is kept are none.
+names and references to where the secret is kept are none. A value without
+quotes ends where the next assignment begins.
 
-Defined cases: null and empty texts hold nothing. A span is reported once for
-each rule that matches it, for each row; ids may be null. Offsets count
-characters.
+The work for a text grows with its length only, whatever it holds: the header
+of a signed token has at most LONGEST_HEADER characters, a chat token ends
+where the next begins, and values without quotes don't overlap.
+
+Defined cases: null and empty texts, and empty tables, hold nothing. A span is
+reported once for each rule that matches it, for each row; of overlapping
+spans of several rules or beginnings all are reported. Ids may be null, rows
+may repeat, and further columns may have any name. Offsets count characters.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ from strandwise.llm.common import slices, table
 
 LEAST_ENTROPY = 2.5
 SHORTEST = 6
+LONGEST_HEADER = 2048
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _BASE58 = {c: i for i, c in enumerate("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz")}
@@ -68,7 +76,7 @@ def signed_header(value: str) -> bool:
     head = value.split(".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):  # no JSON, no mapping, or nested without end
         return False
 
 
@@ -108,12 +116,16 @@ def quoted_value(value: str) -> bool:
 
 def bare_value(value: str) -> bool:
     mixed = re.search("[A-Za-z]", value) and re.search(r"[^A-Za-z_.-]", value)
-    return bool(mixed) and varied(value) and not _refers(value)
+    return len(value) >= SHORTEST and bool(mixed) and varied(value) and not _refers(value)
 
 
 _NAMES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "_pass", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey")
 # the name may go on by parts (SECRET_KEY, secretKey), unless they say that the value is none
-_ASSIGNED = r"(?:(?i:token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|_pass(?![a-z])))(?!(?i:[_-]?(?:name|type|url|uri|path|file|count|limit|size|length|ttl|expir[a-z]*|endpoint)\b))(?:[_-]?[A-Z][a-z]+|[_-][A-Za-z0-9]+){0,4}[0-9]{0,3}(?:\\?[\"'`])?\]?\s*(?:=>|:=|={1,3}|:)"
+_ASSIGNED = r"(?:(?i:token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|_pass(?![a-z])))(?!(?i:[_-]?(?:name|type|url|uri|path|file|count|limit|size|length|ttl|expir[a-z]*|endpoint)\b))(?:[_-][A-Za-z0-9]++|[A-Z][a-z]++){0,4}+[0-9]{0,3}+(?:\\?[\"'`])?\]?\s*(?:=>|:=|={1,3}|:)"
+
+# where a value without quotes ends: before punctuation that nothing follows, a further parameter, a closing tag
+_PARAMETER = r"&[\w.-]++="
+_END = rf"(?:</|{_PARAMETER}|(?<![,;)\]}}.])[,;)\]}}.]++(?:[\s\"'`\\]|</|{_PARAMETER}|{_ASSIGNED}|\Z))"
 
 
 class Rule(NamedTuple):
@@ -128,14 +140,14 @@ RULES = [
     Rule("repository_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(?P<s>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), crc_token, True),
     Rule("package_token", ("npm_",), re.compile(r"(?P<s>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])"), crc_token, True),
     Rule("wallet_key", ("xprv",), re.compile(r"(?P<s>xprv[1-9A-HJ-NP-Za-km-z]{107})(?![1-9A-HJ-NP-Za-km-z])"), base58_check, True),
-    Rule("signed_token", ("eyj",), re.compile(r"(?P<s>eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)"), signed_header, False),
+    Rule("signed_token", ("eyj",), re.compile(rf"(?P<s>eyJ[A-Za-z0-9_-]{{1,{LONGEST_HEADER}}}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)"), signed_header, False),
     Rule("private_key", ("-----begin",), re.compile(r"(?P<s>-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----)"), key_body, False),
     Rule("cloud_key_id", ("akia", "asia"), re.compile(r"(?P<s>A[KS]IA[A-Z2-7]{16})(?![A-Za-z0-9])"), varied, False),
     Rule("map_key", ("aiza",), re.compile(r"(?P<s>AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])"), varied, False),
-    Rule("chat_token", ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), re.compile(r"(?P<s>xox[abprs]-[0-9A-Za-z-]{10,})"), varied, False),
+    Rule("chat_token", ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-"), re.compile(r"(?P<s>xox[abprs]-(?:(?!xox[abprs]-)[0-9A-Za-z-]){10,}+)"), varied, False),
     Rule("payment_key", ("sk_live_", "rk_live_"), re.compile(r"(?P<s>[sr]k_live_[0-9A-Za-z]{24,})"), varied, False),
     Rule("assigned", _NAMES, re.compile(_ASSIGNED + rf"\s*(?P<q>\\?[\"'`])(?P<s>(?:(?!(?P=q))\S){{{SHORTEST},}})(?P=q)"), quoted_value, False),
-    Rule("assigned", _NAMES, re.compile(_ASSIGNED + rf"[ \t]*(?P<s>[^\s\"'`\\=:>][^\s\"'`\\]{{{SHORTEST - 1},}}?)(?=[,;)\]}}.]*(?:[\s\"'`\\]|&[\w.-]+=|</|\Z))"), bare_value, False),
+    Rule("assigned", _NAMES, re.compile(_ASSIGNED + rf"[ \t]*+(?P<s>(?!{_END})[^\s\"'`\\=:>](?:(?!{_END})(?!{_ASSIGNED})[^\s\"'`\\])*+)"), bare_value, False),
 ]
 
 

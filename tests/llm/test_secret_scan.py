@@ -3,8 +3,10 @@ import hashlib
 import json
 import random
 import string
+import time
 
 import pyarrow.parquet as pq
+import pytest
 
 from strandwise.llm.secret_scan import _BASE58, RULES, Scanner, crc_suffix, lowered, secrets
 
@@ -112,3 +114,26 @@ def test_words_numbers_and_references_are_no_secrets():
     for text in ["Password: required", "the secret: nobody", "max_tokens: 128000", "password = user_password", "password=${DB_PASSWORD1}", "token = get_token2('x')", "secret: <your-secret-1>", '"password": "Passwort"', "tokenizer_class: GPT2Tokenizer", "token_url: https://a.example/v1", "password=********", "secret: aaaaaaaa1", "token=$TOKEN_1", 'password: ""']:
         assert scanner.scan(text) == [], text
     assert scanner.scan(pem("", base64.b64encode(b"not a key at all, only text").decode())) == []
+
+
+DEEP = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode()
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["eyJ", "eyJ.", "eyJhbGciOiJIUzI1NiJ9.", "xoxb-", "xoxb-1234567890", "token=", "token: ", "token='", 'password="', "secret=\\\"", "token=,", "token=a,", "password=a1b2c3.", "token_", "token_Aa", "Token", "pwd&a=", "pwd=&a", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY", "-----", "ghp_", "xprv1", "AKIA", "sk_live_a", "api-key ", "token=x1]", "token=x1</", "ſecret=K"],
+)
+def test_a_megabyte_of_anything_is_scanned_in_seconds(part):
+    for text in (part * (1_000_000 // len(part)), "token=" + part * (1_000_000 // len(part)), part + "," * 1_000_000, part + "x" * 1_000_000):
+        began = time.time()
+        Scanner(RULES).scan(text)
+        assert time.time() - began < 5, (part, text[:40])
+
+
+def test_nested_header_is_no_token():
+    assert Scanner(RULES).scan("eyJ" + "hIjpb" + DEEP[8:] + ".x.y") == [] and Scanner(RULES).scan(DEEP[:1800] + ".x.y") == []
+
+
+def test_values_end_at_the_next_assignment():
+    text = "x password=abc123def token=f9e8d7c6b5;secret=q1w2e3r4t5,api_key=z9x8c7v6b5"
+    assert [text[a:b] for _, a, b, _ in Scanner(RULES).scan(text)] == ["abc123def", "f9e8d7c6b5", "q1w2e3r4t5", "z9x8c7v6b5"]
