@@ -33,7 +33,12 @@ def word_mask(data: np.ndarray) -> np.ndarray:
     Blanks and punctuation beyond ASCII (no-break spaces, curly quotes, dashes,
     ellipses, those of CJK scripts) belong to none, like those of ASCII.
     """
-    inside = WORD_BYTE[data]
+    return WORD_BYTE[data] & ~sign_mask(data)
+
+
+def sign_mask(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are blanks or punctuation beyond ASCII."""
+    signs = np.zeros(len(data), bool)
     leads = np.flatnonzero(data >= 0xC2)
     kinds = data[leads]
     for lead, second, third in _SIGNS:
@@ -41,9 +46,9 @@ def word_mask(data: np.ndarray) -> np.ndarray:
         at = at[second[data[at + 1]]]
         if third is not None:
             at = at[third[data[at + 2]]]
-            inside[at + 2] = False
-        inside[at] = inside[at + 1] = False
-    return inside
+            signs[at + 2] = True
+        signs[at] = signs[at + 1] = True
+    return signs
 
 
 def _bytes(*ranges: tuple[int, int]) -> np.ndarray:

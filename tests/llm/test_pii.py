@@ -1,12 +1,14 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from strandwise.llm import pii as P
-from strandwise.llm.crf import viterbi
-from strandwise.llm.pii_table import TAGS, labelled_lines
+from strandwise.llm.crf import forward_backward, viterbi
+from strandwise.llm.pii_table import TAGS, labelled_lines, split_words
 
 
 def shape(word, fold):
@@ -20,13 +22,13 @@ def shape(word, fold):
 def test_features_are_those_of_each_word():
     rng = random.Random(0)
     lines = [t for t, _ in labelled_lines(80, seed=9)]
-    texts = ["\n".join(rng.choices(lines, k=rng.randint(0, 4))) for _ in range(30)] + ["", "...", "a\n\n!! b(c"]
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(0, 4))) for _ in range(30)] + ["", "...", "a\n\n!! b(c", "Tel:7 x:y;ab:cd,|é:1:2 z:", ":9:"]
     w = P.words(pa.array(texts, pa.large_string()))
     raw = [t.encode() for t in texts]
     found = [raw[0]]
     base = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     found = [raw[r][lo - base[r] : hi - base[r]].decode() for r, lo, hi in zip(w.rows, w.starts, w.ends)]
-    flat = [[x for x in line.split()] for t in texts for line in t.split("\n")]
+    flat = [split_words(line) for t in texts for line in t.split("\n")]
     assert np.diff(w.offsets).tolist() == [len(x) for x in flat if x]
     for column, key in ((0, lambda x: shape(x, False)), (1, lambda x: shape(x, True))):
         by_key = {}
@@ -85,3 +87,72 @@ def test_result_does_not_depend_on_slices():
             at += cut.num_rows
         results.append(found)
     assert results[0] == results[1] == results[2] and len(results[0]) > 5
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("4556 7375 8689 9855", [("CARD", "4556 7375 8689 9855")]),
+        ("on 12 3782-822463-10005.", [("CARD", "3782-822463-10005")]),
+        ("DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432", [("IBAN", "DE89 3704 0044 0532 0130 00"), ("IBAN", "GB82WEST12345698765432")]),
+        ("call 555.123.4567 or 555 123 4567", [("PHONE", "555.123.4567"), ("PHONE", "555 123 4567")]),
+        ("+44 20 7946 0958", [("PHONE", "+44 20 7946 0958")]),
+        ("mailto:jane@x.org", [("EMAIL", "jane@x.org")]),
+        ("a@b.com,c@d.org;8.8.4.4,1.2.3.4:80", [("EMAIL", "a@b.com"), ("EMAIL", "c@d.org"), ("IP", "8.8.4.4"), ("IP", "1.2.3.4")]),
+        ("“jane@x.org” 2001:db8::8a2e:370:7334", [("EMAIL", "jane@x.org"), ("IP", "2001:db8::8a2e:370:7334")]),
+        ("000-00-0000 4556 7375 8689 9856 DE88 3704 0044 0532 0130 00 256.1.1.1", []),
+        ("at 12:30:45 on 2024-01-05 v1.2.3 id 978-3-16-148410-0 1 234 567 00:1a:2b:3c:4d:5e", []),
+        ("8.8.4." + "5" * 5000 + " DE89" + "1" * 5600 + " ²²²-²²-²²²² " + "9" * 5000, []),
+    ],
+)
+def test_printed_formats(text, want):
+    assert [(k, v) for _, k, lo, hi, v in P.find(P.tagger(), pa.array([text], pa.large_string())) if text[lo:hi] == v] == want
+
+
+@pytest.mark.parametrize("part", ["8.8.4.4 ", "8.8.4.4,", "4556 7375 8689 9855 ", "DE89 ", "a@b.c:", ":", "1111 ", "5", "x@", "é 8.8.4.4\n", "\n"])
+def test_a_megabyte_of_anything_is_decoded_in_seconds(part):
+    text = part * (1_000_000 // len(part.encode()))
+    model = P.tagger()
+    began = time.time()
+    found = list(P.find(model, pa.array([text], pa.large_string())))
+    assert time.time() - began < 6 and all(text[lo:hi] == v for _, _, lo, hi, v in found[-3:])
+    assert len(found) == (text.count("8.8.4.4") if "8.8" in part else len(found))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_long_sequences_change_nothing(seed):
+    rng = np.random.default_rng(seed)
+    offsets = np.concatenate([[0], np.cumsum(rng.integers(0, 50, 7))])
+    unary, trans = 3 * rng.normal(size=(offsets[-1], 4)), 2 * rng.normal(size=(4, 4))
+    want = forward_backward(unary, trans, offsets, most=10_000)
+    for most in (1, 2, 7):
+        assert (viterbi(unary, trans, offsets, most) == viterbi(unary, trans, offsets, most=10_000)).all()
+        got = forward_backward(unary, trans, offsets, most)
+        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and np.isclose(got[2], want[2])
+
+
+def test_query_reports_what_plain_decoding_finds(spark):
+    """Every line decoded by itself, word by word, over the whole table."""
+    model = P.tagger()
+    path = "/root/testdata/sf0.001/documents.parquet"
+    want = set()
+    for doc, text in pq.read_table(path, columns=["doc_id", "text"]).to_pandas().itertuples(index=False):
+        at = 0
+        for line in text.split("\n"):
+            want |= {(doc, k, at + lo, at + hi, v) for _, k, lo, hi, v in P.find(model, pa.array([line], pa.large_string()))}
+            w = P.words(pa.array([line], pa.large_string()))
+            unary = sum(weights[P._number(c, known)] for c, known, weights in zip(w.features.T, model.known, model.weights))
+            score = None
+            back = []
+            for row in np.asarray(unary):
+                ways = row[None, :] if score is None else score[:, None] + model.transitions + row[None, :]
+                back.append(ways.argmax(axis=0))
+                score = ways.max(axis=0)
+            tags = []
+            if score is not None:
+                tags = [int(score.argmax())]
+                for b in back[:0:-1]:
+                    tags.insert(0, int(b[tags[0]]))
+            assert tags == model.tags(w).tolist()
+            at += len(line) + 1
+    assert {tuple(r) for r in P.query(spark, "/root/testdata/sf0.001").collect()} == want and want
