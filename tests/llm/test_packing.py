@@ -1,11 +1,12 @@
 import bisect
 import random
 
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.llm.packing import Bins, best_fit, pack_shard, pieces_of
+from strandwise.llm import packing
+from strandwise.llm.packing import Bins, best_fit, measured, pieces_of
 
 
 def plain(pieces, capacity):
@@ -31,17 +32,51 @@ def test_each_piece_goes_to_the_tightest_compatible_bin(seed):
     capacity = rng.choice([7, 16, 33, 64])
     pieces = [(rng.randint(1, capacity), rng.choice([-1, 0, 0, 0, 1, 2, 3]), rng.choice([-1, -1, 0, 1, 2])) for _ in range(400)]
     bins = Bins(capacity)
-    assert [bins.place(*p) for p in pieces] == plain(pieces, capacity)
+    # source 3 is known by its key only, like the sources that aren't frequent
+    assert [bins.place(n, 1 << s if 0 <= s < 3 else 0, frozenset([-7] * (s == 3) + [c] * (c >= 0))) for n, s, c in pieces] == plain(pieces, capacity)
 
 
-def test_capacity_is_kept_and_all_tokens_are_packed():
+def test_tokens_and_clusters():
+    texts = ["alpha beta", "alpha beta\n", "\nAlpha \t beta", "beta alpha", "", " \n", "alpha", "alphabeta", "ÄB c", "äb C"]
+    count, key = measured(pa.array(texts, pa.large_string()))
+    assert count.tolist() == [len(t.split()) for t in texts]
+    same = {}
+    for i, k in enumerate(key.tolist()):
+        same.setdefault(k, []).append(i)
+    assert sorted(same.values()) == [[0, 1, 2], [3], [4, 5], [6], [7], [8, 9]]
+
+
+@pytest.mark.parametrize("hot", [512, 2])
+def test_many_shards_are_joined_within_the_limits(spark, monkeypatch, hot):
+    """9000 pieces in shards of 700: every token is packed once, no limit is broken, and no two bins are left that fit together in one group."""
+    monkeypatch.setattr(packing, "HOT_SOURCES", hot)
     rng = random.Random(1)
-    rows = pd.DataFrame({"doc": range(300), "tokens": [rng.choice([1, 5, 40, 100, 101, 350]) for _ in range(300)], "source": [rng.choice(["a", "a", "b", "c", None]) for _ in range(300)], "cluster": [rng.choice([1, 2, i + 10, None]) for i in range(300)], "shard": 0})
-    out = pack_shard(rows, 100).merge(rows, left_on="doc_id", right_on="doc")
-    assert out["n_tokens"].sum() == rows["tokens"].sum()
-    for _, b in out.groupby("bin_id"):
-        assert b["n_tokens"].sum() <= 100
-        assert b["source"].dropna().is_unique and b["cluster"].dropna().is_unique and b["doc_id"].is_unique
+    rows = [(rng.choice([i, i, i, None]), rng.choice([1, 5, 40, 60, 100, 101, 350]), rng.choice(["a", "a", "a", "b", "c", f"s{i % 900}", None]), rng.choice([1, 2, i + 10, None])) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, t int, source string, c long").repartition(4)
+    own = packing.materialize(docs)
+    out = best_fit(own, 100, tokens=F.col("t"), cluster=F.col("c"), shard_pieces=700).collect()
+    want = sorted((str(d), min(100, t - at), at) for d, t, _, _ in rows for at in range(0, t, 100))
+    assert sorted((str(r.doc_id), r.n_tokens, r.first_token) for r in out) == want
+    named = {}
+    for r in out:
+        named.setdefault(r.bin_id, []).append(r)
+    by_doc = {d: (s, c) for d, _, s, c in rows if d is not None}
+    for rs in named.values():
+        ids = [r.doc_id for r in rs if r.doc_id is not None]
+        assert sum(r.n_tokens for r in rs) <= 100 and len(set(ids)) == len(ids)
+        for part in (0, 1):
+            values = [by_doc[i][part] for i in ids if by_doc[i][part] is not None]
+            assert len(set(values)) == len(values)
+    alone = best_fit(own, 100, tokens=F.col("t"), cluster=F.col("c")).select("bin_id").distinct().count()
+    unjoined = best_fit(own, 100, tokens=F.col("t"), cluster=F.col("c"), shard_pieces=700)
+    assert alone <= len(named) <= alone * 1.03, (alone, len(named))
+    assert unjoined.select("bin_id").distinct().count() == len(named)
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "'a b c' text", "cast(null as string) source")
+    out = best_fit(docs, 8, shard_pieces=500)
+    assert out.count() == 3000 and out.select("bin_id").distinct().count() == 3000
 
 
 def test_nulls_empties_repeats_and_extra_columns(spark):
@@ -53,21 +88,21 @@ def test_nulls_empties_repeats_and_extra_columns(spark):
     assert best_fit(docs.limit(0)).count() == 0
 
 
-def test_a_corpus_beyond_one_shard_is_packed_as_a_whole(spark):
+def test_a_corpus_of_one_shard_is_packed_as_by_looking_at_every_bin(spark):
     """24,000 documents, some without doc_id, source or cluster: the bins are those of the brute-force packer over all."""
     rng = random.Random(4)
     rows = [(i if i % 10 else None, rng.choice([1, 3, 7, 8, 13, 20, 45]), rng.choice("abcdefgh") if rng.random() < 0.9 else None, rng.randint(0, 9000) if rng.random() < 0.8 else None) for i in range(24_000)]
     docs = spark.createDataFrame(rows, "doc_id long, t int, source string, c long").repartition(6)
     got = best_fit(docs, 16, tokens=F.col("t"), cluster=F.col("c")).collect()
     order = pieces_of(docs, 16, F.col("t"), F.col("c")).collect()
-    order.sort(key=lambda r: (-r.n, r.doc is None, r.doc or 0, r.piece, r.source or "", -1 if r.cluster is None else r.cluster))
+    order.sort(key=lambda r: (-r.n, r.doc is None, r.doc or 0, r.piece, r.source or "", r["keys"]))
     assert sorted(r.n for r in order) == sorted(min(16, t - at) for _, t, _, _ in rows for at in range(0, t, 16))
     bins = {}
     for r in got:
         bins.setdefault(r.bin_id, []).append(r.n_tokens)
     assert all(sum(b) <= 16 for b in bins.values())
     want = {}
-    for r, b in zip(order, plain_by_residual([(r.n, r.source, r.cluster) for r in order], 16)):
+    for r, b in zip(order, plain_by_residual([(r.n, r.source, r["keys"][0] if r["keys"] else None) for r in order], 16)):
         want.setdefault(b, []).append((r.doc, r.piece, r.n))
     have = {}
     for r in got:
