@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.session import materialize, shared_dir, table  # noqa: F401
+from strandwise.session import discard, materialize, table  # noqa: F401
 
 #: A side is broadcast only if its rows times their width stay below this.
 BROADCAST_BYTES = 64 << 20

@@ -1,9 +1,8 @@
 """Near-duplicate removal by SimHash, with bit-sliced comparison.
 
 A fingerprint has 256 bits, each the majority of that bit over the hashes of
-the document's distinct words of four bytes or more (of all its words, if it
-has none so long; a word is a run of ASCII letters and digits and of any other
-characters beyond ASCII, lower-cased). Documents within RADIUS bits are near
+the document's distinct words (runs of ASCII letters and digits and of letters
+beyond ASCII, lower-cased; of CJK scripts every character). Documents within RADIUS bits are near
 copies, and the connected groups of near copies keep their smallest doc_id.
 
 Candidates share the value of a random sample of bits in one of several
@@ -15,9 +14,16 @@ mismatches are added by carry-save full adders into bit-sliced counters, and
 a block is abandoned as soon as all its lanes are beyond the radius. A bucket
 gives a star of edges for each of its groups, so its output is linear.
 
+A bucket of more than HOT_POINTS fingerprints is no single task's work: all
+its points are compared with its first one where they are, and those beyond
+the radius are dealt into blocks, of which each meets each block of the whole
+bucket, so that every pair is still compared or joined through the first.
+
 Defined cases: a document without any word (null or empty text, or only
-punctuation) is nobody's copy and stays. Rows without a doc_id stay. Rows that
-repeat a doc_id count as one document and stand or fall together.
+punctuation) is nobody's copy and stays; of an empty table nothing is left.
+Rows without a doc_id stay. Rows that repeat a doc_id count as one document and
+stand or fall together. Texts of any length count whole; a pair exactly at the
+radius is near. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import WORD_BYTE, buffers, lower, materialize, mix, slices, span_hashes, spans, table, without
+from strandwise.llm.common import buffers, discard, lower, materialize, mix, slices, small_side, span_hashes, table, without, words_of
 
 WORDS = 4  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 RADIUS = 48
 DESIGN_DISTANCE = RADIUS
 DESIGN_RECALL = 0.9
-LONG_WORD = 4
+HOT_POINTS = 50_000
 CHECK_EVERY = 32  # planes between two looks at what can be abandoned
 
 _LANES = np.array([[int(b) for b in f"{v:08b}"] for v in range(256)], np.uint8).view(np.uint64).ravel()
@@ -47,15 +53,10 @@ _FIELDS = [f"f{k}" for k in range(WORDS)]
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints of the texts that have a word: n x WORDS uint64, their positions)."""
     data, offsets = buffers(lower(texts))
-    starts, ends, rows = spans(data, offsets, WORD_BYTE)
+    starts, ends, rows = words_of(data, offsets)
     if not len(starts):
         return np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)
-    long = ends - starts >= LONG_WORD
-    has_long = np.zeros(len(texts), bool)
-    has_long[rows[long]] = True
-    use = long | ~has_long[rows]
-    rows = rows[use]
-    hashes = span_hashes(data, starts[use], ends[use])
+    hashes = span_hashes(data, starts, ends)
     # a slice has fewer than 2**24 rows; 40 bits of a word's hash stand for it
     keys = np.unique((rows.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
     rows = (keys >> np.uint64(40)).astype(np.int64)
@@ -296,7 +297,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct())
+        edges, old = materialize(small.where("u <> v").distinct()), edges
+        discard(old)
         after = state(edges)
         if tuple(after) == tuple(before):
             break
@@ -304,7 +306,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _dealt(keyed: DataFrame, radius: int, hot_points: int) -> tuple[DataFrame, DataFrame | None]:
+    """(``keyed`` with buckets of more than ``hot_points`` cut into blocks, edges of their points to their first one)."""
+    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_points))
+    if hot.isEmpty():
+        return keyed.withColumn("first", F.lit(False)), None
+    cold = keyed.join(small_side(hot.select("key")), "key", "left_anti").withColumn("first", F.lit(False))
+    members = materialize(keyed.join(small_side(hot), "key"))
+    middle = members.groupBy("key").agg(F.min_by(F.struct("id", *_FIELDS), "id").alias("middle"))
+    far = sum((F.bit_count(F.col(f).bitwiseXOR(F.col("middle")[f])) for f in _FIELDS), F.lit(0))
+    members = materialize(members.join(small_side(middle, 96), "key").withColumn("near", far <= radius))
+    star = members.where("near and id <> middle.id").select(F.col("id").alias("u"), F.col("middle.id").alias("v"))
+    outside = members.where("not near").groupBy("key").agg(F.ceil(F.count("*") / hot_points).cast("int").alias("rest_blocks"))
+    members = members.join(small_side(outside), "key").withColumn("blocks", F.ceil(F.col("n") / hot_points).cast("int"))
+    block = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    point = ["key", "id", *_FIELDS]
+    all_points = members.select(*point, block(1, "blocks").alias("i"), every("rest_blocks").alias("j"))
+    rest = members.where("not near").select(*point, block(2, "rest_blocks").alias("j"), every("blocks").alias("i"))
+    # the first point comes first in every block: what is near to it needs no comparison of its own
+    leads = members.where("id = middle.id").select(*point, "rest_blocks", every("blocks").alias("i")).select(*point, "i", every("rest_blocks").alias("j"))
+    cut = all_points.withColumn("first", F.lit(False)).unionByName(rest.withColumn("first", F.lit(False))).unionByName(leads.withColumn("first", F.lit(True)))
+    return cold.unionByName(cut.select(F.xxhash64("key", "i", "j").alias("key"), "id", *_FIELDS, "first")), star
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, hot_points: int = HOT_POINTS) -> DataFrame:
     """(id, root) of every document that has a near copy; root is the one that stays."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
     schema = "id long, " + ", ".join(f"{f} long" for f in _FIELDS)
@@ -313,14 +339,16 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     points = materialize(prints.groupBy(*_FIELDS).agg(F.min("id").alias("id")))
     same = prints.alias("a").join(points.withColumnRenamed("id", "first"), _FIELDS).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     keyed = points.select(F.explode(_keys(points.count())).alias("key"), "id", *_FIELDS)
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_edge_batches(radius), "u long, v long")
-    return components(same.union(near))
+    dealt, star = _dealt(keyed, radius, hot_points)
+    near = dealt.repartition("key").sortWithinPartitions("key", F.desc("first")).drop("first").mapInArrow(_edge_batches(radius), "u long, v long")
+    out = materialize(components(same.union(near) if star is None else same.union(near).union(star)))
+    discard(prints, points)
+    return out
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id."""
-    gone = near_groups(docs, radius).where("id <> root").select(F.col("id").alias("doc_id")).distinct()
-    return without(docs, materialize(gone))
+    return without(docs, near_groups(docs, radius).where("id <> root").select(F.col("id").alias("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash  # noqa: F401
 
 from strandwise.llm import simhash as S
 
@@ -110,3 +109,31 @@ def test_recall_at_every_distance_and_size(n):
         differ = rng.permuted(np.repeat((np.arange(S.BITS) < d)[None], 4000, axis=0), axis=1).astype(np.int32)
         met = (differ @ masks.T == 0).any(axis=1).mean()
         assert met >= 0.885, (d, met)  # 0.9 less three deviations of 4000 pairs
+
+
+def test_buckets_of_many_points_are_dealt_to_several_tasks(spark):
+    """Families of near and of farther copies, in buckets of which nearly all are hot: the groups are those of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 2, (3, S.BITS), dtype=np.uint8)
+    bits = np.concatenate([centres[[0] * 260 + [1] * 60 + [2] * 30] ^ (rng.random((350, S.BITS)) < 0.03), centres[[0] * 40] ^ (rng.random((40, S.BITS)) < 0.2)]).astype(np.uint8)
+    prints = np.packbits(bits, axis=1).view(np.int64)
+    frame = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "id long, " + ", ".join(f"f{k} long" for k in range(S.WORDS)))
+    from pyspark.sql import functions as F
+
+    # two tables: everything in one bucket, and a bucket for every fourth id
+    keyed = frame.select("*", F.explode(F.array(F.lit(7).cast("long"), F.col("id") % 4)).alias("key"))
+    want = groups_of(distances(prints.view(np.uint64)), S.RADIUS)
+    for hot in (25, 90, 1000):
+        dealt, star = S._dealt(keyed.select("key", "id", *S._FIELDS), S.RADIUS, hot)
+        assert (star is None) == (hot == 1000)
+        assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] <= max(2 * hot * 1.6 + 1, 25) or hot == 1000
+        edges = dealt.repartition("key").sortWithinPartitions("key", F.desc("first")).drop("first").mapInArrow(S._edge_batches(S.RADIUS), "u long, v long")
+        got = {r.id: r.root for r in S.components(edges if star is None else edges.union(star)).collect()}
+        assert [got.get(i, i) for i in range(len(want))] == want.tolist()
+
+
+def test_short_words_and_scripts_without_blanks_count():
+    texts = pa.array(["a b c d e f g", "a b c d e f x", "我们去北京，看天安门。", "我们去北京 看天安门", "“we” don’t", '"we" don\'t'], pa.large_string())
+    prints, _ = S.fingerprints(texts)
+    d = distances(prints)
+    assert 0 < d[0, 1] and d[2, 3] == 0 and d[4, 5] == 0
