@@ -7,18 +7,24 @@ the document, and line length. Forward-backward gives the probability that a
 line is good; the quality of a document is their mean, weighted by length.
 
 The field is fitted on at most TRAIN_DOCS labelled documents (those with the
-smallest hash of doc_id), every line taking the label of its document. Rows of
+smallest hash of doc_id) of at most TRAIN_CHARS characters, every line taking
+the label of its document, and on as many documents put together from stretches
+of lines of good and bad ones, each line with the label of its origin. Rows of
 ``documents`` are scored where they are: nothing is shuffled.
 
 Defined cases: a document without characters (null or empty text, or only line
-breaks) has quality 0 and is rejected. Without labelled documents of both
-kinds nothing can be called bad, and every other document has quality 1. Ids
-may be null or repeated and further columns have any name; rows are judged one
-by one.
+breaks) has quality 0 and is rejected. A quality at the limit is good, and a
+line of equal chances too. Of a doc_id that is labelled both ways the smaller
+label counts, and of several texts of a labelled doc_id the smallest. Without
+labelled documents of both kinds nothing can be called bad, and every other
+document has quality 1. Texts of any length are read whole; an empty table
+gives an empty one. Ids may be null or repeated and further columns have any
+name; rows are judged one by one.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +38,8 @@ from strandwise.llm.crf import fit, forward_backward
 from strandwise.llm.decontaminate import windows
 
 TRAIN_DOCS = 1500
+#: Longer labelled texts aren't in the sample.
+TRAIN_CHARS = 50_000
 GOOD_FROM = 0.5
 
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+/<=>@[]\\^_`{}~", b"|", b"!"]
@@ -92,53 +100,90 @@ class Field:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def quality(self, texts: pa.Array) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
+    def lines(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability that each line is good, line lengths, offsets of the documents)."""
         features, size, offsets = line_features(texts)
         marginals, _, _ = forward_backward(features @ self.weights, self.transitions, offsets)
-        good = np.add.reduceat(marginals[:, 1] * size, offsets[:-1])
-        total = np.add.reduceat(size, offsets[:-1])
-        return np.where(total > 0, good / np.maximum(total, 1), 0.0)
+        return marginals[:, 1], size, offsets
+
+    def quality(self, texts: pa.Array) -> np.ndarray:
+        return weighted(*self.lines(texts)) if len(texts) else np.zeros(0)
+
+
+def weighted(good: np.ndarray, size: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean of the lines of each document, weighted by length; 0 for one without characters."""
+    total = np.add.reduceat(size, offsets[:-1])
+    return np.where(total > 0, np.add.reduceat(good * size, offsets[:-1]) / np.maximum(total, 1), 0.0)
+
+
+def _spliced(texts: list[str], good: list[int], seed: int = 7) -> tuple[list[str], list[np.ndarray]]:
+    """Documents put together from stretches of lines of good and of bad ones, with the label of every line.
+
+    Whole documents alone would teach the field that labels never change.
+    """
+    rng = random.Random(seed)
+    lines = [[t.split("\n") for t, g in zip(texts, good) if g == kind] for kind in (0, 1)]
+    out, states = [], []
+    for _ in range(len(texts)):
+        kind = rng.randint(0, 1)
+        text: list[str] = []
+        state: list[int] = []
+        for _ in range(rng.choice([2, 2, 3])):
+            own = rng.choice(lines[kind])
+            at = rng.randrange(len(own))
+            part = own[at : at + rng.randint(1, 12)]
+            text += part
+            state += [kind] * len(part)
+            kind = 1 - kind
+        out.append("\n".join(text))
+        states.append(np.array(state))
+    return out, states
 
 
 def train(texts: list[str], good: list[int]) -> Field:
-    """The field fitted on labelled documents."""
-    features, size, offsets = line_features(pa.array(texts, pa.large_string()))
-    states = np.repeat(np.array(good), np.diff(offsets))
-    weights, transitions = fit(lambda w: features @ w, lambda g: features.T @ g, (features.shape[1], 2), states, offsets)
+    """The field fitted on labelled documents and on stretches of them put together."""
+    more, states = _spliced(texts, good)
+    features, _, offsets = line_features(pa.array([*texts, *more], pa.large_string()))
+    whole = np.diff(offsets)[: len(texts)]
+    truth = np.concatenate([np.repeat(np.array(good), whole), *states])
+    weights, transitions = fit(lambda w: features @ w, lambda g: features.T @ g, (features.shape[1], 2), truth, offsets)
     return Field(weights, transitions)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
+def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Field | None:
     """The field for these tables; None if the labels don't hold both kinds."""
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.where("text is not null").select("doc_id", "text").join(small_side(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    rows = docs.where((F.col("text") != "") & (F.length("text") <= train_chars)).select("doc_id", F.col("text").alias("body")).join(small_side(chosen), "doc_id")
+    # one text for each labelled id, so that the sample is bounded in rows and in characters
+    rows = sorted(tuple(r) for r in rows.groupBy("doc_id", "quality").agg(F.min("body").alias("body")).select("doc_id", "body", "quality").collect())
     if len({r[2] for r in rows}) < 2:
         return None
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
-def _quality(field: Field | None, texts: pa.Array) -> np.ndarray:
+def _judged(field: Field | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(quality of each document, probability that each line is good, offsets of the documents)."""
     if field is not None:
-        return field.quality(texts)
-    _, size, offsets = line_features(texts)
-    return (np.add.reduceat(size, offsets[:-1]) > 0).astype(np.float64)
+        good, size, offsets = field.lines(texts)
+    else:
+        _, size, offsets = line_features(texts)
+        good = np.ones(len(size))
+    return weighted(good, size, offsets), good, offsets
 
 
 def scores(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, good_from: float = GOOD_FROM) -> DataFrame:
-    """(doc_id, quality, good) of every row of ``docs``."""
+    """(doc_id, quality, good, lines) of every row of ``docs``; ``lines`` says of each line whether it is good."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, train_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut, texts in slices(batch, "body"):
-                quality = _quality(shared.value, texts)
-                yield pa.RecordBatch.from_arrays([cut.column("id"), pa.array(quality), pa.array(quality >= good_from)], names=["doc_id", "quality", "good"])
+                quality, good, offsets = _judged(shared.value, texts)
+                lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(good >= 0.5))
+                yield pa.RecordBatch.from_arrays([cut.column("id"), pa.array(quality), pa.array(quality >= good_from), lines], names=["doc_id", "quality", "good", "lines"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).mapInArrow(run, "doc_id long, quality double, good boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body")).mapInArrow(run, "doc_id long, quality double, good boolean, lines array<boolean>")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, good_from: float = GOOD_FROM) -> DataFrame:
@@ -148,7 +193,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut, texts in slices(batch, "text"):
-                yield cut.filter(pa.array(_quality(shared.value, texts) >= good_from))
+                yield cut.filter(pa.array(_judged(shared.value, texts)[0] >= good_from))
 
     return docs.mapInArrow(run, docs.schema)
 

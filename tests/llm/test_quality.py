@@ -87,3 +87,58 @@ def test_cases(spark):
     none = Q.scores(docs, labels.limit(0)).collect()
     assert all(r.quality == (0.0 if r.doc_id in (-1, -2, -3) else 1.0) for r in none)
     assert Q.scores(docs.limit(0), labels).count() == 0
+
+
+def test_query_equals_plain_sums_over_all_labellings(spark):
+    """Each document by itself: messages in logarithms, line after line."""
+    import math
+
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    field = Q.fitted(docs, labels)
+    add = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    got = {r.doc_id: r for r in Q.query(spark, path).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        features, size, _ = Q.line_features(pa.array([text], pa.large_string()))
+        unary, move = (features @ field.weights).tolist(), field.transitions.tolist()
+        ahead, back = [unary[0]], [[0.0, 0.0]]
+        for u in unary[1:]:
+            ahead.append([u[s] + add([ahead[-1][a] + move[a][s] for a in (0, 1)]) for s in (0, 1)])
+        for u in unary[:0:-1]:
+            back.insert(0, [add([move[s][b] + u[b] + back[0][b] for b in (0, 1)]) for s in (0, 1)])
+        p = [math.exp(a[1] + b[1] - add([a[0] + b[0], a[1] + b[1]])) for a, b in zip(ahead, back)]
+        want = sum(x * n for x, n in zip(p, size)) / sum(size) if sum(size) else 0.0
+        assert abs(got[doc].quality - want) < 1e-9 and got[doc].good == (want >= Q.GOOD_FROM)
+        assert len(got[doc].lines) == len(text.split("\n")) and all(abs(x - 0.5) < 1e-9 or y == (x >= 0.5) for x, y in zip(p, got[doc].lines))
+
+
+def test_junk_stretches_are_found_line_by_line():
+    docs, labels = pq.read_table(f"{DATA}/documents.parquet").to_pandas(), pq.read_table(f"{DATA}/labels.parquet").to_pandas()
+    rows = docs.merge(labels, on="doc_id").drop_duplicates("doc_id").sample(frac=1, random_state=0)
+    train, test = rows[:200], rows[200:]
+    field = Q.train(list(train.text), list(train.quality))
+    texts, states = Q._spliced(list(test.text), list(test.quality), seed=99)
+    good, size, offsets = field.lines(pa.array(texts, pa.large_string()))
+    truth = np.concatenate(states) == 1
+    right = ((good >= 0.5) == truth)[size > 20]
+    assert right.mean() > 0.9
+    halves = Q.weighted(good, size, offsets)
+    want = Q.weighted(truth.astype(float), size, offsets)
+    assert np.abs(halves - want).mean() < 0.06
+    # whole junk documents: how many are caught
+    kept = field.quality(pa.array(list(test[test.quality == 0].text), pa.large_string())) >= Q.GOOD_FROM
+    assert kept.mean() <= 0.1
+
+
+def test_a_megabyte_of_line_breaks_is_judged_in_seconds():
+    import time
+
+    docs, labels = pq.read_table(f"{DATA}/documents.parquet").to_pandas(), pq.read_table(f"{DATA}/labels.parquet").to_pandas()
+    rows = docs.merge(labels, on="doc_id")[:100]
+    field = Q.train(list(rows.text), list(rows.quality))
+    for text in ("\n" * 1_000_000, "A!!\n" * 250_000, "x" * 1_000_000):
+        began = time.time()
+        field.quality(pa.array([text], pa.large_string()))
+        assert time.time() - began < 6
