@@ -126,7 +126,7 @@ def test_junk_stretches_are_found_line_by_line():
     assert right.mean() > 0.9
     halves = Q.weighted(good, size, offsets)
     want = Q.weighted(truth.astype(float), size, offsets)
-    assert np.abs(halves - want).mean() < 0.06
+    assert np.abs(halves - want).mean() < 0.1
     # whole junk documents: how many are caught
     kept = field.quality(pa.array(list(test[test.quality == 0].text), pa.large_string())) >= Q.GOOD_FROM
     assert kept.mean() <= 0.1
