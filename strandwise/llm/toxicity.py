@@ -1,22 +1,28 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks and a support vector machine.
 
-A span is the letters and digits of a word, lower-cased, or of a run of three
-or more words of one character ("i d i o t"). Two spans are compared by the
-normalised gap-weighted subsequence kernel: all common subsequences of ORDER
-characters, each weighted DECAY to the power of the stretch it takes in either
-span, so inserted characters cost little. Spans are mapped to Nystroem
-features of the kernel at some landmarks, and a linear support vector machine
-on them decides. A sentence is toxic if one of its spans is, a document if one
-of its sentences is; its score is the largest decision value.
-
-Training takes the sentences of at most TRAIN_DOCS labelled documents (those
-with the smallest hash of doc_id), each with the label of its document. Near
-copies count as one document. Positive examples are the words whose share of
-toxic documents is beyond chance (likelihood ratio, corrected for the size of
-the vocabulary) and variants of them with an inserted or doubled character;
-negative ones are words of clean sentences, the nearest to the positive ones
-first, and in further rounds those that the machine got wrong. The bias is
-that of the best F1 on the labelled documents.
+A span is the letters and digits of a word, lower-cased, of two neighbouring
+words of a sentence of at most PART bytes ("mo ron"), or of a run of three or more words of
+one character ("i d i o t"). Two spans are compared by the normalised
+gap-weighted subsequence kernel: all common subsequences of ORDER characters,
+each weighted DECAY to the power of the stretch it takes in either span, so
+inserted characters cost little. Spans are mapped to Nystroem features of the
+kernel at some landmarks, and a linear support vector machine on them decides.
+The decision value of a sentence is the largest of its spans; it is toxic from
+0 on, and so is a document with such a sentence.
+
+The machine is trained on the sentences of at most TRAIN_DOCS labelled
+documents (those with the smallest hash of doc_id) of at most TRAIN_CHARS
+characters, as a multiple-instance problem: the label of a document says that
+none of its sentences is toxic or that one at least is. Near copies count as
+one document. At first the spans that stand for toxic sentences are those
+whose share of toxic documents is beyond chance (likelihood ratio, corrected
+for the number of spans), with variants of them with an inserted or doubled
+character, and the negative ones are frequent spans of clean sentences. Then
+every sentence of the sample is judged: the span by which a clean sentence
+comes too near to the positive side joins the negative examples, the one that
+gives a toxic document away joins the positive ones, and the machine is fitted
+again. The bias is one of the best F1 on the labelled documents; pairs of
+words that clean documents of the sample have can't make a sentence toxic.
 
 A span whose set of characters already bounds its decision value below zero
 (Cauchy-Schwarz on the subsequences it can share with each landmark) skips the
@@ -25,9 +31,13 @@ Python worker between batches. Spans longer than WINDOW bytes are cut into
 windows that overlap by half.
 
 Defined cases: null and empty texts, and ones without letters and digits, are
-not toxic. Without labels of both kinds, or a word beyond chance, nothing is.
-Rows are judged one by one, so repeated ones come back as often; ids may be
-null.
+not toxic, and an empty table has no toxic rows. Without labels of both kinds,
+or a span beyond chance, nothing is. Of a doc_id that is labelled both ways
+toxic counts, and of several texts of a labelled doc_id the smallest. Spans of
+fewer than ORDER letters have no kernel and are never toxic. Texts of any
+length are judged whole. Rows are judged one by one, so repeated ones come back
+as often; ids may be null and further columns have any name. Of sentences all
+that are toxic are given, in the order of the text.
 """
 
 from __future__ import annotations
@@ -46,19 +56,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import simhash
-from strandwise.llm.common import NOT_SPACE, WORD_BYTE, buffers, lower, mix, slices, small_side, span_hashes, spans, table
+from strandwise.llm.common import NOT_SPACE, buffers, lower, mix, slices, small_side, span_hashes, spans, table, word_mask
 
 TRAIN_DOCS = 4000
+TRAIN_CHARS = 50_000  # longer labelled texts aren't in the sample
 ORDER = 3
 DECAY = 0.6
 WINDOW = 24
+PART = 5  # bytes of each of two neighbouring words up to which they are also seen as one
 SIGNIFICANCE = 0.5  # words expected to be taken by mere chance
-MOST_POSITIVE = 256  # words taken as positive, the most significant first
-CLEAN_WORDS = 15000  # clean words that training looks at, the most frequent first
-NEAR_NEGATIVES, FAR_NEGATIVES = 3000, 1000
+FIRST_NEGATIVES = 4000  # clean words of the first round; in the later ones every sentence of the sample is judged
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS = 32, 12
-ROUNDS = 3  # of training, each with the clean words that the last one got wrong
+SPREAD = 256  # words among which the positive landmarks are chosen
+ROUNDS = 2
+MARGIN = -0.5  # decision value from which a span of a clean sentence counts as wrong
 CACHE = 3_000_000
+MOST_BITS = 14  # different characters of a landmark up to which the bound has a table
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".!?\n")] = True
@@ -117,6 +130,7 @@ class Machine:
     landmarks: list[bytes]
     weights: np.ndarray  # of the similarities to the landmarks
     bias: float
+    harmless: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of pairs of words that clean documents have
     rows: np.ndarray = field(init=False)
     own: np.ndarray = field(init=False)
     bounds: list[tuple[list[int], np.ndarray]] = field(init=False)
@@ -132,6 +146,9 @@ class Machine:
             for at in itertools.combinations(range(len(word)), ORDER):
                 feature[tuple(word[i] for i in at)] += DECAY ** (at[-1] - at[0] + 1)
             bits = sorted({int(_CHAR_BIT[c]).bit_length() - 1 for c in word})
+            if len(bits) > MOST_BITS:  # no table: the similarity is 1 at most
+                self.bounds.append(([], np.array([weight])))
+                continue
             place = {b: i for i, b in enumerate(bits)}
             share = np.zeros(1 << len(bits))
             for u, v in feature.items():
@@ -171,19 +188,21 @@ class Spans:
     rows: np.ndarray
     first: np.ndarray  # where the span lies in the texts' bytes
     last: np.ndarray
+    pair: np.ndarray  # whether it is two words
 
 
-def text_spans(texts: pa.Array) -> Spans:
-    """All spans of lower-cased texts."""
+def text_spans(texts: pa.Array, pairs: bool = True) -> Spans:
+    """All spans of lower-cased texts, with or without those of two words."""
     raw, offsets = buffers(texts)
     begin, stop, rows = spans(raw, offsets, NOT_SPACE)
-    keep = WORD_BYTE[raw]
+    keep = word_mask(raw)
     place = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(keep, out=place[1:])
     data = raw[keep]
     starts, ends = place[begin], place[stop]
     some = starts < ends
     begin, stop, rows, starts, ends = (x[some] for x in (begin, stop, rows, starts, ends))
+    word_begin, word_stop, word_rows, first_byte, last_byte = begin, stop, rows, starts, ends
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     single = heads[ends] - heads[starts] == 1
@@ -199,13 +218,22 @@ def text_spans(texts: pa.Array) -> Spans:
     begin, stop = np.append(begin, begin[run_first]), np.append(stop, stop[run_last])
     rows = np.append(rows, rows[run_first])
     starts, ends = np.append(starts, starts[run_first]), np.append(ends, ends[run_last])
+    # neighbouring words on one row of which both are short, as one
+    brief = (last_byte - first_byte) <= PART
+    pair = np.flatnonzero(brief[:-1] & brief[1:] & (word_rows[1:] == word_rows[:-1]) & ~(single[:-1] & single[1:])) if pairs and len(brief) > 1 else np.zeros(0, np.int64)
+    ends_sentence = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(_BREAK[raw], out=ends_sentence[1:])
+    pair = pair[ends_sentence[word_begin[pair]] == ends_sentence[word_begin[pair + 1]]]
+    begin, stop = np.append(begin, word_begin[pair]), np.append(stop, word_stop[pair + 1])
+    rows, starts, ends = np.append(rows, word_rows[pair]), np.append(starts, first_byte[pair]), np.append(ends, last_byte[pair + 1])
+    is_pair = np.arange(len(starts)) >= len(starts) - len(pair)
     # windows of long spans
     half = WINDOW // 2
     parts = np.maximum(1, -(-(ends - starts - half) // half))
     of = np.repeat(np.arange(len(starts)), parts)
     step = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * half
     lo = starts[of] + step
-    return Spans(data, lo, np.minimum(lo + WINDOW, ends[of]), rows[of], begin[of], stop[of])
+    return Spans(data, lo, np.minimum(lo + WINDOW, ends[of]), rows[of], begin[of], stop[of], is_pair[of])
 
 
 def _take(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -218,9 +246,9 @@ def _take(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 _kept: dict = {"machine": None, "keys": np.zeros(0, np.uint64), "values": np.zeros(0)}
 
 
-def span_decisions(machine: Machine, s: Spans) -> np.ndarray:
-    """Decision value of every span (or the bound that rules it out)."""
-    mark = (tuple(machine.landmarks), machine.weights.tobytes(), machine.bias)
+def span_decisions(machine: Machine, s: Spans, floor: float = 0.0) -> np.ndarray:
+    """Decision value of every span (or an upper bound of it that isn't above ``floor``)."""
+    mark = (tuple(machine.landmarks), machine.weights.tobytes(), machine.bias, floor)  # pairs aside
     if _kept["machine"] != mark or len(_kept["keys"]) > CACHE:
         _kept.update(machine=mark, keys=np.zeros(0, np.uint64), values=np.zeros(0))
     if not len(s.starts):
@@ -242,7 +270,7 @@ def span_decisions(machine: Machine, s: Spans) -> np.ndarray:
             inside = size > k
             chars[inside] |= bits[starts[inside] + k]
         got = machine.at_most(chars)
-        near = np.flatnonzero(got > 0)
+        near = np.flatnonzero(got > floor)
         near = near[np.argsort(size[near], kind="stable")]
         for cut in _chunks(len(near)):
             i = near[cut]
@@ -250,7 +278,10 @@ def span_decisions(machine: Machine, s: Spans) -> np.ndarray:
         values[fresh] = got
         _kept["keys"] = np.insert(_kept["keys"], at[fresh], keys[fresh])
         _kept["values"] = np.insert(_kept["values"], at[fresh], got)
-    return values[inverse]
+    values = values[inverse]
+    if len(machine.harmless) and s.pair.any():
+        values[s.pair & np.isin(hashes, machine.harmless)] = -np.inf
+    return values
 
 
 def judge(machine: Machine, texts: pa.Array) -> Iterator[tuple[int, float, list[str]]]:
@@ -266,7 +297,7 @@ def judge(machine: Machine, texts: pa.Array) -> Iterator[tuple[int, float, list[
     for row in np.unique(s.rows[hit]):
         own = hit[s.rows[hit] == row]
         lo = np.searchsorted(breaks, s.first[own])
-        hi = np.searchsorted(breaks, s.last[own] - 1, "right")
+        hi = np.searchsorted(breaks, s.last[own] - 1)
         ends = sorted({(max(offsets[row], breaks[a - 1] + 1 if a else 0), min(offsets[row + 1], breaks[b] + 1 if b < len(breaks) else len(raw))) for a, b in zip(lo, hi)})
         yield int(row), float(value[own].max()), [raw[a:b].tobytes().decode(errors="replace").strip() for a, b in ends]
 
@@ -279,16 +310,16 @@ def _variants(word: bytes, rng: random.Random) -> list[bytes]:
     return out
 
 
-def _text_cuts(texts: pa.Array) -> Iterator[tuple[int, Spans]]:
+def _text_cuts(texts: pa.Array, pairs: bool = False) -> Iterator[tuple[int, Spans]]:
     """(row of the first text, spans) of the texts, some at a time, to bound the memory."""
     at = 0
     for _, cut in slices(pa.record_batch([texts], names=["body"]), "body"):
-        yield at, text_spans(cut)
+        yield at, text_spans(cut, pairs)
         at += len(cut)
 
 
-def words_beyond_chance(texts: pa.Array, toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """(words that toxic documents have more often than chance allows, the most significant first; words that they don't have more often, the most frequent first).
+def evidence(texts: pa.Array, toxic: np.ndarray) -> tuple[dict[int, bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(words by hash, the hashes sorted, documents that count for each, likelihood ratio of each: below 0 if toxic documents have it less often).
 
     A document counts for a word only if the word stands there between
     neighbours that no earlier document has around it: passages that documents
@@ -310,7 +341,8 @@ def words_beyond_chance(texts: pa.Array, toxic: np.ndarray) -> tuple[list[bytes]
         hashes.append(own)
         rows.append(s.rows[order] + at)
     if not hashes:
-        return [], []
+        none = np.zeros(0)
+        return {}, none.astype(np.uint64), none, none
     word, row = np.concatenate(hashes), np.concatenate(rows)
     size = np.bincount(row, minlength=len(texts))
     edge = row[1:] != row[:-1]
@@ -326,19 +358,31 @@ def words_beyond_chance(texts: pa.Array, toxic: np.ndarray) -> tuple[list[bytes]
     word, row = pairs[fresh] // len(texts), pairs[fresh] % len(texts)
     bucket = np.array([int(n).bit_length() for n in size])
     share_of = np.bincount(bucket, toxic) / np.maximum(np.bincount(bucket), 1)
-    count, bad = np.bincount(word, minlength=len(keys)), np.bincount(word, toxic[row], minlength=len(keys))
-    expected = np.bincount(word, share_of[bucket[row]], minlength=len(keys))
-    least = 2 * math.log(max(len(keys), 2) / SIGNIFICANCE)
-    found, plain = [], []
-    for key, n, k, e in zip(keys.tolist(), count.tolist(), bad.tolist(), expected.tolist()):
-        w = known[key]
-        if len(w) > ORDER and k > e:
-            ratio = 2 * (k * math.log(k / e) + ((n - k) * math.log((n - k) / (n - e)) if n > k else 0))
-            if ratio >= least:
-                found.append((-ratio, w))
-        elif n and len(w) >= ORDER:
-            plain.append((-n, w))
-    return [w for _, w in sorted(found)[:MOST_POSITIVE]], [w for _, w in sorted(plain)[:CLEAN_WORDS]]
+    n, k = np.bincount(word, minlength=len(keys)), np.bincount(word, toxic[row], minlength=len(keys))
+    e = np.bincount(word, share_of[bucket[row]], minlength=len(keys))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(k > 0, k * np.log(k / e), 0) + np.where(n > k, (n - k) * np.log((n - k) / (n - e)), 0))
+    return known, keys, n, np.where(k > e, ratio, -ratio)
+
+
+def _of_sentences(machine: Machine, texts: pa.Array, floor: float) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(document, decision values, spans): of every sentence the span of the highest decision value, if that is above ``floor``."""
+    for at, s in _text_cuts(texts):
+        if not len(s.starts):
+            continue
+        value = span_decisions(machine, s, floor)
+        high = np.flatnonzero(value > floor)
+        if not len(high):
+            continue
+        raw, _ = buffers(texts.slice(at, int(s.rows.max()) + 1))
+        breaks = np.flatnonzero(_BREAK[raw])
+        sentence = np.searchsorted(breaks, s.first[high]) * len(texts) + s.rows[high]
+        order = np.lexsort((s.starts[high], -value[high], sentence))
+        best = high[order[np.flatnonzero(np.diff(sentence[order], prepend=-1))]]
+        data = s.data.tobytes()
+        for row in np.unique(s.rows[best]):
+            own = best[s.rows[best] == row]
+            yield at + int(row), value[own], [data[s.starts[i] : s.ends[i]] for i in own]
 
 
 def _separate(x: np.ndarray, y: np.ndarray, steps: int = 1500) -> tuple[np.ndarray, float]:
@@ -376,17 +420,19 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine | None:
     if len(set(labels.tolist())) < 2:
         return None
     array = array.take(pa.array(first))
-    positive, clean = words_beyond_chance(array, labels)
-    if not positive or not clean:
+    known, keys, n, ratio = evidence(array, labels)
+    size = np.array([len(known[key]) for key in keys.tolist()])
+    # words expected to be beyond this by mere chance: SIGNIFICANCE
+    least = 2 * math.log(max(len(keys), 2) / SIGNIFICANCE)
+    beyond = np.flatnonzero((ratio >= least) & (size >= ORDER))
+    plain = np.flatnonzero((ratio < 0) & (n > 0) & (size >= ORDER))
+    if not len(beyond) or not len(plain):
         return None
-    rng = random.Random(seed)
-    positives = [*positive, *(v for w in positive for v in _variants(w, rng))]
-    near = np.concatenate([similarity(matrix(clean[c]), matrix(positive)).max(axis=1) for c in _chunks(len(clean), 256)])
-    order = np.argsort(-near, kind="stable")
-    far = order[NEAR_NEGATIVES:]
-    chosen = [*order[:NEAR_NEGATIVES], *rng.sample(far.tolist(), min(FAR_NEGATIVES, len(far)))]
-    landmarks = _spread(positive, POSITIVE_LANDMARKS) + [clean[chosen[i]] for i in np.linspace(0, min(len(chosen), NEAR_NEGATIVES) - 1, NEGATIVE_LANDMARKS).astype(int)]
-    landmarks = list(dict.fromkeys(landmarks))
+    word = lambda at: [known[key] for key in keys[at].tolist()]
+    positive = word(beyond[np.argsort(-ratio[beyond], kind="stable")])
+    clean = word(plain[np.argsort(-n[plain], kind="stable")[:FIRST_NEGATIVES]])
+    del known, keys, n, ratio, size
+    landmarks = list(dict.fromkeys([*_spread(positive[:SPREAD], POSITIVE_LANDMARKS), *_nearest(clean, positive[:SPREAD], NEGATIVE_LANDMARKS)]))
     rows = matrix(landmarks)
     inner = similarity(rows, rows).astype(float)
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
@@ -395,16 +441,33 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine | None:
     def features(words: list[bytes]) -> np.ndarray:
         return np.concatenate([similarity(matrix(words[c]), rows) for c in _chunks(len(words))]) @ root
 
-    of_positives, of_clean = features(positives), features(clean)
-    for _ in range(ROUNDS):
-        x = np.concatenate([of_positives, of_clean[chosen]])
-        v, bias = _separate(x, np.array([1.0] * len(positives) + [-1.0] * len(chosen)))
-        # clean words on the wrong side join the negative examples
-        missed = set(np.flatnonzero(of_clean @ v + bias > -1).tolist()) - set(chosen)
-        if not missed:
+    rng = random.Random(seed)
+    examples = {w: -1.0 for w in clean} | {w: 1.0 for p in positive for w in (p, *_variants(p, rng))}
+    x = features(list(examples))
+    for turn in range(ROUNDS):
+        v, bias = _separate(x, np.array(list(examples.values())))
+        machine = Machine(landmarks, root @ v, bias)
+        if turn == ROUNDS - 1:
             break
-        chosen += sorted(missed)
-    return _calibrated(Machine(landmarks, root @ v, bias), array, labels)
+        # every sentence is judged: what is wrong in a clean one, and what gives a toxic document away, joins the examples
+        fresh: dict[bytes, float] = {}
+        for doc, values, words in _of_sentences(machine, array, MARGIN):
+            if not labels[doc]:
+                fresh |= {w: -1.0 for w in words if w not in examples}
+            elif values.max() > 0 and (w := words[int(values.argmax())]) not in examples:
+                fresh.setdefault(w, 1.0)
+        if not fresh:
+            break
+        x = np.concatenate([x, features(list(fresh))])
+        examples |= fresh
+    return _calibrated(machine, array, labels)
+
+
+def _nearest(words: list[bytes], to: list[bytes], most: int) -> list[bytes]:
+    """Words spread evenly over the half that is more similar to others."""
+    near = np.concatenate([similarity(matrix(words[c]), matrix(to)).max(axis=1) for c in _chunks(len(words), 256)])
+    order = np.argsort(-near, kind="stable")[: max(1, len(words) // 2)]
+    return [words[order[i]] for i in np.linspace(0, len(order) - 1, most).astype(int)]
 
 
 def _spread(words: list[bytes], most: int) -> list[bytes]:
@@ -418,33 +481,39 @@ def _spread(words: list[bytes], most: int) -> list[bytes]:
 
 
 def _calibrated(machine: Machine, texts: pa.Array, labels: np.ndarray) -> Machine:
-    """The machine with the bias that gives the labelled documents the best F1, in the middle of its gap."""
+    """The machine with the bias that gives the labelled documents the best F1; it stays if it does, else it is set to the middle of the gap.
+
+    Pairs of words that it would then find in clean documents are ruled out.
+    """
     most = np.full(len(texts), -np.inf)
-    values: dict[int, float] = {}
-    for at, s in _text_cuts(texts):
-        keys, one, inverse = np.unique(span_hashes(s.data, s.starts, s.ends), return_index=True, return_inverse=True)
-        fresh = np.array([i for i, key in zip(one.tolist(), keys.tolist()) if key not in values], np.int64)
-        fresh = fresh[np.argsort(s.ends[fresh] - s.starts[fresh], kind="stable")]
-        for c in _chunks(len(fresh)):
-            i = fresh[c]
-            got = machine.decide(_take(s.data, s.starts[i], s.ends[i]))
-            values.update(zip(span_hashes(s.data, s.starts[i], s.ends[i]).tolist(), got.tolist()))
-        np.maximum.at(most, s.rows + at, np.array([values[key] for key in keys.tolist()])[inverse])
+    pairs: dict[int, float] = {}
+    for at, s in _text_cuts(texts, pairs=True):
+        value = span_decisions(machine, s, MARGIN)
+        np.maximum.at(most, s.rows[~s.pair] + at, value[~s.pair])
+        own = np.flatnonzero(s.pair & (value > MARGIN))
+        own = own[labels[s.rows[own] + at] == 0]
+        pairs |= zip(span_hashes(s.data, s.starts[own], s.ends[own]).tolist(), value[own].tolist())
+    most[most <= MARGIN] = -np.inf
     order = np.argsort(-most, kind="stable")
     most, hit = most[order], np.cumsum(labels[order])
     f1 = 2 * hit / (np.arange(1, len(hit) + 1) + labels.sum())
     f1[:-1][most[:-1] == most[1:]] = 0
     f1[~np.isfinite(most)] = 0
     at = int(f1.argmax())
-    below = most[at + 1] if at + 1 < len(most) and np.isfinite(most[at + 1]) else most[at] - 1
-    return Machine(machine.landmarks, machine.weights, machine.bias - (most[at] + below) / 2)
+    if not np.isfinite(most[at]):
+        return machine
+    below = most[at + 1] if at + 1 < len(most) and np.isfinite(most[at + 1]) else MARGIN
+    least = 0.0 if below < 0 < most[at] else (most[at] + below) / 2
+    return Machine(machine.landmarks, machine.weights, machine.bias - least, np.array(sorted(k for k, v in pairs.items() if v > least), np.uint64))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Machine | None:
+def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Machine | None:
+    """The machine for these tables."""
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.where("text is not null").select("doc_id", "text").join(small_side(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    rows = docs.where((F.col("text") != "") & (F.length("text") <= train_chars)).select("doc_id", F.col("text").alias("body")).join(small_side(chosen), "doc_id")
+    # one text for each labelled id, so that the sample is bounded in rows and in characters
+    rows = sorted(tuple(r) for r in rows.groupBy("doc_id", "toxic").agg(F.min("body").alias("body")).select("doc_id", "body", "toxic").collect())
     return train([r[1] for r in rows], [r[2] for r in rows]) if rows else None
 
 

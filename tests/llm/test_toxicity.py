@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +81,63 @@ def test_edges_in_spark(spark):
     none = spark.createDataFrame([], labels.schema)
     assert T.toxic(docs, none).count() == 0 and T.toxic(docs.limit(0), labels).count() == 0
     assert T.toxic(docs, labels.where("toxic = 0")).count() == 0
+
+
+def plain_spans(text):
+    """(first and last character, span) of a text of ASCII letters, digits, blanks and punctuation."""
+    words = [(m.start(), m.end(), re.sub("[^a-z0-9]", "", m.group().lower())) for m in re.finditer(r"\S+", text)]
+    words = [w for w in words if w[2]]
+    out = list(words)
+    for (a, _, x), (c, b, y) in zip(words, words[1:]):
+        if not re.search(r"[.!?\n]", text[a:c]) and len(x) <= T.PART and len(y) <= T.PART and (len(x) > 1 or len(y) > 1):
+            out.append((a, b, x + y))
+    run = []
+    for w in [*words, (0, 0, "")]:
+        if len(w[2]) == 1:
+            run.append(w)
+            continue
+        if len(run) >= 3:
+            out.append((run[0][0], run[-1][1], "".join(r[2] for r in run)))
+        run = []
+    half = T.WINDOW // 2
+    return [(a, b, w[i : i + T.WINDOW], " " in text[a:b] or "\n" in text[a:b]) for a, b, w in out for i in range(0, max(1, len(w) - half), half)]
+
+
+def test_query_equals_judging_every_span_by_itself(spark):
+    """Without bounds, caches and batches: each sentence's spans are cut in plain Python and compared with every landmark."""
+    texts, toxic = made(300, 1)
+    more, _ = made(60, 9)
+    texts += more + ["You mo ron!\nko ri. s t u p i d, id iot?", "x" * 100 + "moron" + "y" * 60, "a b c. no"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    machine = T.fitted(docs, labels)
+    got = {r.doc_id: (r.score, list(r.sentences)) for r in T.toxic(docs, labels).collect()}
+    harmless = set(machine.harmless.tolist())
+    want = {}
+    for i, text in enumerate(texts):
+        cuts = plain_spans(text)
+        value = machine.decide(T.matrix([w.encode() for _, _, w, _ in cuts]))
+        hashes = [int(T.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) for _, _, w, _ in cuts]
+        bad = [(a, b, v) for (a, b, w, joined), v, h in zip(cuts, value, hashes) if v > 0 and not (joined and len(text[a:b].split()) == 2 and h in harmless)]
+        if bad:
+            ends = sorted({(max((text.rfind(c, 0, a) for c in ".!?\n"), default=-1) + 1, min(x for x in [*(text.find(c, b - 1) for c in ".!?\n"), len(text)] if x >= 0)) for a, b, _ in bad})
+            want[i] = (max(v for _, _, v in bad), [text[a : b + 1].strip().lower() for a, b in ends])
+    assert set(got) == set(want) and len(want) > 60 and 360 in want and 362 not in want
+    for i in want:
+        assert abs(got[i][0] - want[i][0]) < 1e-4 and got[i][1] == want[i][1], (i, got[i], want[i])
+
+
+def test_split_and_short_insults():
+    rng = random.Random(4)
+    texts, toxic = made(400, 1)
+    texts = [t.replace("moron", "azz").replace("idiot", "azz") if y else t for t, y in zip(texts, toxic)]
+    machine = T.train(texts, toxic)
+    found = {i for i, _, _ in T.judge(machine, pa.array(["you azz ko", "mun stu pid", "ko ri mun", "a zz ri", rng.choice(texts[1:4])], pa.large_string()))}
+    assert found == {0, 1, 3}
+
+
+def test_landmarks_of_many_characters_take_no_memory():
+    machine = T.Machine([b"abcdefghijklmnopqrstuvwx", b"moron"], np.array([1.0, 1.0]), -0.5)
+    words = [b"abcdefghijklmnopqrstuvwx", b"moron", b"zzz", b"mxoron"]
+    chars = np.array([np.bitwise_or.reduce(T._CHAR_BIT[list(w)]) for w in words])
+    assert sum(share.nbytes for _, share in machine.bounds) < 1 << 18 and (machine.at_most(chars) >= machine.decide(T.matrix(words)) - 1e-3).all()
