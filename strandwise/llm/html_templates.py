@@ -12,10 +12,13 @@ however large the host is: copies of an article, or short paragraphs, recur on
 a few pages without being template. A template is deleted, wherever it lies,
 before the text of the page is taken. Blocks start lines of the text.
 
-The template table is broadcast only if its counted size allows it; otherwise
-pages and templates meet in a shuffled join by host.
+The template table is broadcast only if its measured size allows it; otherwise
+every page is joined with those of its own subtrees that are template, so that
+no task has all pages of a host.
 
-Defined cases: null and empty HTML gives the empty text. A page whose URL has
+Defined cases: null and empty HTML gives the empty text, and an empty table an
+empty one. A subtree on exactly as many pages as needed is template. Pages of
+any length are read whole; further columns may have any name. A page whose URL has
 no host (null, empty or malformed) belongs to the host "". Rows that repeat a
 page_id and URL count once for the statistics of their host, and come back as
 often as they came; ids may be null. Text outside of any tag, unclosed and
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import BROADCAST_BYTES, slices, table
+from strandwise.llm.common import BROADCAST_BYTES, materialize, slices, table
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
@@ -174,11 +177,11 @@ def host() -> Column:
 
 
 def _rows(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), host().alias("host"), F.col("html").alias("body"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64(F.col("page_id"), F.col("url")).alias("page"), host().alias("host"), F.col("html").alias("body"))
 
 
-def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
-    """(host, digests) of the hosts that have template subtrees."""
+def page_hashes(rows: DataFrame) -> DataFrame:
+    """(host, page, digests) of every page: the subtrees that it holds, each once."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,36 +189,48 @@ def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
                 found = [sorted(subtree_hashes(t)) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([cut.column("page"), cut.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["page", "host", "digests"])
 
-    seen = rows.select(F.xxhash64("page_id", "url").alias("page"), "host", "body").mapInArrow(hashes, "page long, host string, digests array<long>")
-    # each page counts once; the counts of a hot host are combined before they are shuffled
-    once = seen.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_list("digests"))).alias("digests"))
+    seen = rows.select("page", "host", "body").mapInArrow(hashes, "page long, host string, digests array<long>")
+    return seen.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_list("digests"))).alias("digests"))
+
+
+def templates(once: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """(host, digest) of the template subtrees, given those of every page."""
+    # the counts of a hot host are combined before they are shuffled
     counted = once.select("host", F.explode(F.concat("digests", F.array(F.lit(None).cast("long")))).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
     pages = counted.where("digest is null").select("host", F.col("n").alias("pages"))
     often = counted.where(f"digest is not null and n >= {int(min_pages)}").join(pages, "host").where((F.col("digest").bitwiseAND(F.lit(1)) == 1) | (F.col("n") >= F.least(F.lit(min_share) * F.col("pages"), F.lit(float(many_pages)))))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
+    return often.select("host", "digest")
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, host, deleted, text) of every page."""
-    from strandwise.llm.common import materialize
-
     rows = _rows(pages)
-    known = materialize(templates(rows, min_pages, min_share, many_pages))
-    size = known.agg(F.coalesce(F.sum(F.size("digests") * 8 + 64), F.lit(0))).first()[0]
+    once = materialize(page_hashes(rows))
+    known = materialize(templates(once, min_pages, min_share, many_pages))
+    size = known.agg(F.coalesce(F.sum(16 + F.octet_length("host")), F.lit(0))).first()[0]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict = {}
         for batch in batches:
             for cut, texts in slices(batch, "body"):
                 done = []
-                for h, t, d in zip(cut.column("host").to_pylist(), texts.to_pylist(), cut.column("digests")):
-                    if h not in sets:
-                        sets[h] = frozenset(d.as_py() or ())
-                    done.append(extract(t, sets[h]))
+                for at, t, d in zip(cut.column("at").to_pylist(), texts.to_pylist(), cut.column("digests")):
+                    own = sets.get(at)
+                    if own is None:
+                        own = frozenset(d.as_py() or ())
+                        if at is not None:
+                            sets[at] = own
+                    done.append(extract(t, own))
                 yield pa.RecordBatch.from_arrays([cut.column("page_id"), cut.column("host"), pa.array([n for _, n in done], pa.int32()), pa.array([t for t, _ in done], pa.string())], names=["page_id", "host", "deleted", "text"])
 
-    joined = rows.drop("url").join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
-    return joined.select("page_id", "host", "body", "digests").mapInArrow(take, "page_id long, host string, deleted int, text string")
+    if size <= broadcast_bytes:
+        of_host = known.groupBy("host").agg(F.collect_set("digest").alias("digests"))
+        joined = rows.join(F.broadcast(of_host), "host", "left").withColumn("at", F.col("host"))
+    else:
+        # every page gets those of its own subtrees that are template
+        of_page = once.select("page", "host", F.explode("digests").alias("digest")).join(known, ["host", "digest"]).groupBy("page", "host").agg(F.collect_list("digest").alias("digests"))
+        joined = rows.join(of_page, ["page", "host"], "left").withColumn("at", F.lit(None).cast("string"))
+    return joined.select("page_id", "host", "body", "at", "digests").mapInArrow(take, "page_id long, host string, deleted int, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,8 @@ def test_templates_equal_brute_force(spark):
     docs = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.text.split("\n") if r.text else [] for r in extracted(docs).collect()}
     assert got == want
+    # with a template table too large to be broadcast
+    assert {r.page_id: r.text.split("\n") if r.text else [] for r in extracted(docs, broadcast_bytes=0).collect()} == want
 
 
 def test_cases(spark):
@@ -58,6 +60,7 @@ def test_cases(spark):
     rows += [(8, None, "<p>no url</p>"), (9, "http://a.example/n", None), (None, "http://a.example/e", ""), (10, "nonsense", "plain"), (11, "http://u:p@A.EXAMPLE:80/z", f"{NAV}<p>{'long ' * 50000}</p>")]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' host", "'d' digests", "0 body")
     got = collections.Counter((r.page_id, r.host, r.deleted, r.text.strip()[:20]) for r in extracted(docs).collect())
+    assert got == collections.Counter((r.page_id, r.host, r.deleted, r.text.strip()[:20]) for r in extracted(docs, broadcast_bytes=0).collect())
     for i in range(6):
         assert got[(i, "a.example", 1, f"own {i}")] == 1
     # the same page nine times is one page of its host
