@@ -55,6 +55,11 @@ def counting_filter_log_len(n_bases: Column) -> Column:
     return F.when(n_bases > 0, F.greatest(F.lit(18), F.least(F.lit(32), size)).cast("int")).otherwise(F.lit(32))
 
 
+def deflation(log_2_len: Column, n_bases: Column) -> Column:
+    """Bits of a filter over the bits of its run at two a base; 0 for a run without bases."""
+    return F.when(n_bases > 0, F.pow(F.lit(2.0), log_2_len) / (2 * n_bases)).otherwise(F.lit(0.0))
+
+
 def filters_per_file(log_2_len: Column) -> Column:
     """How many filters of a length go into one file."""
     return F.least(F.lit(FILTERS_PER_FILE).cast("long"), (F.lit(float(FILE_BITS)) / F.pow(F.lit(2.0), log_2_len)).cast("long"))

@@ -1,4 +1,4 @@
-"""Columns over DNA strings: windows, strands and 2-bit codes.
+"""DNA strings: windows, strands and 2-bit codes, as columns and over bytes in numpy.
 
 A window is k letters of ACGT in either case; any other letter breaks the
 sequence, so no window spans it. The canonical form of a window is the smaller
@@ -7,6 +7,7 @@ of itself and its reverse complement, so that both strands count as one.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +45,48 @@ def encode(kmer: Column) -> Column:
 
 def decode(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), int(k), "0"), "0123", "ACGT")
+
+
+_CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate("ACGT"):
+    _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i
+_LETTER = np.frombuffer(b"ACGT", np.uint8)
+
+
+def window_codes(data: np.ndarray, offsets: np.ndarray, k: int, both_strands: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(code, row) of every window of the sequences in ``data``, in order; the canonical one if both strands count as one.
+
+    Windows double in length until they have k bases (31 at most).
+    """
+    base = _CODE[data]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    broken = np.zeros(len(base) + 1, np.int32)
+    np.cumsum(base == 4, out=broken[1:])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero((broken[k:] == broken[:-k]) & (row[:n] == row[k - 1 :]))
+    part = np.zeros(len(base) + k, np.uint64)
+    part[: len(base)] = base & 3
+    other = part ^ np.uint64(3)
+    code, back, done, size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), 0, 1
+    while True:
+        if k & size:
+            code = (code << np.uint64(2 * size)) | part[done : done + n]
+            back |= other[done : done + n] << np.uint64(2 * done)
+            done += size
+        if done == k:
+            break
+        part[:-size] = (part[:-size] << np.uint64(2 * size)) | part[size:]
+        other[:-size] |= other[size:] << np.uint64(2 * size)
+        size *= 2
+    code = np.minimum(code, back) if both_strands else code
+    return code[at].view(np.int64), row[at]
+
+
+def letters_of(codes: np.ndarray, k: int) -> np.ndarray:
+    """The windows of the codes as ASCII bytes (n x k)."""
+    out = np.empty((len(codes), k), np.uint8)
+    for i in range(k):
+        out[:, i] = _LETTER[(codes >> (2 * (k - 1 - i))) & 3]
+    return out

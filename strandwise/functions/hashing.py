@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from strandwise.functions.dna import letters_of
+
 _C1, _C2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
 
 
@@ -40,16 +42,18 @@ def murmur3(rows: np.ndarray, seeds: Sequence[int]) -> np.ndarray:
     return state ^ (state >> np.uint32(16))
 
 
-def with_hashes(df: DataFrame, column: str, length: int, seeds: Sequence[int], name: str = "hashes") -> DataFrame:
-    """``df`` with an array column ``name``: the hash of ``column`` (ASCII, ``length`` bytes, never null) for each seed."""
+def window_hashes(codes: np.ndarray, k: int, seeds: Sequence[int]) -> np.ndarray:
+    """Hashes (n x seeds) of the windows with these codes, spelt out in ASCII."""
+    return murmur3(letters_of(codes, k), seeds).astype(np.int64)
+
+
+def with_hashes(df: DataFrame, column: str, k: int, seeds: Sequence[int], name: str = "hashes") -> DataFrame:
+    """``df`` with an array column ``name``: the hash of the window ``column`` (a code, never null) for each seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(column).cast(pa.large_string())
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-            data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
-            values = murmur3(data.reshape(len(texts), length), seeds).astype(np.int64)
-            hashes = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(seeds), values.ravel())
+            values = window_hashes(batch.column(column).to_numpy(), k, seeds)
+            hashes = pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * len(seeds), values.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, hashes], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(LongType()))]))

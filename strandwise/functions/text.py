@@ -23,8 +23,12 @@ def split_line(line: Column, delimiter: str) -> Column:
 
 
 def parse_uint(text: Column) -> Column:
-    """A decimal number or a hexadecimal one with 0x; null for anything else."""
-    return F.when(text.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(text, 3, 16), 16, 10).cast("long")).when(text.rlike("^[0-9]{1,18}$"), text.try_cast("long"))
+    """A decimal number or a hexadecimal one with 0x, of 64 bits at most, as decimal(20,0); null for anything else."""
+    most = F.lit("18446744073709551615").cast("decimal(20,0)")
+    digits = F.regexp_replace(F.substring(text, 3, 1 << 20), "^0+(?=.)", "")
+    hexadecimal = F.when(text.rlike("^0[xX][0-9a-fA-F]+$") & (F.length(digits) <= 16), F.conv(digits, 16, 10).cast("decimal(20,0)"))
+    decimal = F.when(text.rlike("^0*[0-9]{1,20}$"), text.try_cast("decimal(38,0)"))
+    return F.coalesce(hexadecimal, F.when(decimal <= most, decimal.cast("decimal(20,0)")))
 
 
 def has_extension(path: Column, *extensions: str) -> Column:

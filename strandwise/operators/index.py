@@ -1,26 +1,39 @@
-"""The Bloom index: a filter for each run, kept as postings (one row a set bit).
+"""The Bloom index: a filter for each run, as blocks of bits, and transposed as slices.
 
-Filters are sized by the run's number of distinct windows. A posting carries
-the filter's parameters, so a search touches only the bits that its queries
-hash to; the dense form (bytes of a filter) and its checksum are made on
-demand.
+Filters are sized by the run's number of distinct windows. A filter is kept as
+blocks of BLOCK_BITS bits. A file of the index holds the filters of up to 2048
+runs of the same parameters, transposed: one slice a bit of the filter, a
+bitmap of the runs that have it. A search reads the slices of the bits that
+its windows hash to, and nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from strandwise.functions import bloom
-from strandwise.functions.hashing import masked, with_hashes
+from strandwise.functions.hashing import masked, window_hashes, with_hashes
 from strandwise.operators import kmers
 from strandwise.operators.common import small_side
-from strandwise.operators.search import finish
+from strandwise.operators.search import finish, needed
+from strandwise.session import materialize
 
 MIN_COUNT = 5
 SEEDS = range(5)
 BLOCK_BITS = 1 << 15
+BLOCK_BYTES = BLOCK_BITS // 8
+#: Filters up to this length (log 2) are filled run by run; the bits of longer ones are shuffled to their blocks.
+DENSE_LOG = 20
+#: Windows of a query that one task looks at for one file.
+SEARCH_WINDOWS = 4096
 PARAMS = ["kmer_len", "log_2_filter_len", "num_hash"]
+SLICES = "kmer_len int, log_2_filter_len int, num_hash int, file long, bit_pos long, slice binary"
 
 
 def run_params(counted: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], longest: int = bloom.LOG_LEN[1], p: float = bloom.FALSE_POSITIVE) -> DataFrame:
@@ -30,118 +43,280 @@ def run_params(counted: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], lon
     return fitted.select(F.col("id").alias("run_id"), F.lit(k).alias("kmer_len"), "log_2_filter_len", "num_hash", "n_kmers")
 
 
-def hashed(words: DataFrame, k: int) -> DataFrame:
-    """``words`` with an array ``hashes``: the hash of ``kmer`` for each seed."""
-    return with_hashes(words, "kmer", k, SEEDS)
+def _bits(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bit) of every bit that the windows of a batch set."""
+    length, hashes = batch.column("log_2_filter_len").to_numpy().astype(np.int64), batch.column("num_hash").to_numpy()
+    bits = window_hashes(batch.column("kmer").to_numpy(), k, SEEDS) & ((np.int64(1) << length) - 1)[:, None]
+    row, seed = np.nonzero(np.arange(len(SEEDS))[None, :] < hashes[:, None])
+    return row, bits[row, seed]
 
 
-def build(counted: DataFrame, params: DataFrame, k: int, once: bool = True) -> DataFrame:
-    """(run_id, kmer_len, log_2_filter_len, num_hash, bit_pos): the set bits of every filter, each once.
+def build(counted: DataFrame, params: DataFrame, k: int, dense_log: int = DENSE_LOG) -> DataFrame:
+    """(run_id, params, block, bits): the filters as blocks of bits, empty ones left out.
 
-    With ``once`` false a bit may come for each window that sets it, and
-    nothing is shuffled; a search gives the same on either.
+    A block may come in several rows, whose union it is (``merged`` makes one
+    of them). A run's windows are never needed in one task: those of a short
+    filter are few, and of a long one the bits are dealt to its blocks.
     """
-    rows = hashed(counted.select(F.col("id").alias("run_id"), "kmer"), k).join(small_side(params.drop("n_kmers")), "run_id")
-    seeds = F.slice("hashes", 1, F.col("num_hash"))
-    bits = rows.select("run_id", *PARAMS, F.explode(F.array_distinct(F.transform(seeds, lambda h: masked(h, F.col("log_2_filter_len"))))).alias("bit_pos"))
-    return bits.distinct() if once else bits
+    run_type = counted.schema["id"].dataType
+    rows = counted.select(F.col("id").alias("run_id"), "kmer").join(small_side(params.select("run_id", *PARAMS)), "run_id")
+    schema = StructType().add("run_id", run_type).add("kmer_len", IntegerType()).add("log_2_filter_len", IntegerType()).add("num_hash", IntegerType()).add("block", LongType())
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, bit = _bits(batch, k)
+            # rows come sorted by run; a run has one number of blocks at most
+            run = batch.column("run_id").dictionary_encode().indices.to_numpy()
+            key, at = np.unique(run[row].astype(np.int64) << 32 | bit // BLOCK_BITS, return_inverse=True)
+            first = np.zeros(int(run.max()) + 1, np.int64)
+            first[run[::-1]] = np.arange(len(run))[::-1]
+            order = np.argsort(at, kind="stable")
+            bounds = np.searchsorted(at[order], np.arange(len(key) + 1))
+            for lo in range(0, len(key), 1024):
+                hi = min(lo + 1024, len(key))
+                own = order[bounds[lo] : bounds[hi]]
+                filled = np.zeros((hi - lo) * BLOCK_BYTES, np.uint8)
+                inner = bit[own] % BLOCK_BITS
+                np.bitwise_or.at(filled, (at[own] - lo) * BLOCK_BYTES + inner // 8, (1 << (inner % 8)).astype(np.uint8))
+                own_rows = pa.array(first[key[lo:hi] >> 32])
+                bits = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(hi - lo + 1, dtype=np.int32) * BLOCK_BYTES), pa.py_buffer(filled)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own_rows) for c in ("run_id", *PARAMS)), pa.array(key[lo:hi] & 0xFFFFFFFF), bits], names=["run_id", *PARAMS, "block", "bits"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bit = _bits(batch, k)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("run_id", *PARAMS)), pa.array(bit // BLOCK_BITS), pa.array(bit % BLOCK_BITS)], names=["run_id", *PARAMS, "block", "bit"])
+
+    short = F.col("log_2_filter_len") <= dense_log
+    out = rows.where(short).repartition("run_id").sortWithinPartitions("run_id").mapInArrow(dense, StructType(list(schema.fields)).add("bits", BinaryType()))
+    if params.where(~short).isEmpty():
+        return out
+    bits = rows.where(~short).mapInArrow(dealt, StructType(list(schema.fields)).add("bit", LongType()))
+    return out.unionByName(bits.groupBy("run_id", *PARAMS, "block").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
+def merged(blocks: DataFrame) -> DataFrame:
+    """Each block in one row."""
+    return blocks.groupBy("run_id", *PARAMS, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
-def write(postings: DataFrame, path: str) -> None:
-    """Writes an index: a folder for each set of parameters, sorted by bit, so that a search reads the row groups it needs."""
-    postings.repartitionByRange(*PARAMS, "bit_pos").sortWithinPartitions(*PARAMS, "bit_pos").write.partitionBy(*PARAMS).mode("overwrite").parquet(path)
+def merge(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The filters of two indexes as one; runs that both have are one run."""
+    return merged(left.unionByName(right))
 
 
-def query_bits(queries: DataFrame, params: DataFrame, k: int) -> DataFrame:
-    """(query_id, kmer, num_kmers, log_2_filter_len, seed, bit_pos) for every filter length in use."""
-    own = kmers.distinct(queries, k).select(F.col("id").alias("query_id"), "kmer")
-    totals = own.groupBy("query_id").agg(F.count("*").cast("int").alias("num_kmers"))
-    lengths = params.select("log_2_filter_len").distinct()
-    rows = hashed(own, k).join(totals, "query_id").crossJoin(F.broadcast(lengths))
-    seeds = rows.select("query_id", "kmer", "num_kmers", "log_2_filter_len", F.posexplode("hashes").alias("seed", "hash"))
-    return seeds.select("query_id", "kmer", "num_kmers", "log_2_filter_len", "seed", masked(F.col("hash"), F.col("log_2_filter_len")).alias("bit_pos"))
+def folded(blocks: DataFrame, log_2_len: int) -> DataFrame:
+    """The filters as ones of 2**log_2_len bits (15 at least, and no longer than they are): a shorter filter is a longer one folded."""
+    return merged(blocks.select("run_id", "kmer_len", F.lit(log_2_len).alias("log_2_filter_len"), F.lit(0).alias("num_hash"), (F.col("block") % ((1 << log_2_len) // BLOCK_BITS)).alias("block"), "bits"))
+
+
+def postings(blocks: DataFrame) -> DataFrame:
+    """(run_id, params, bit_pos): the set bits of ``blocks``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(-1, BLOCK_BYTES)
+                row, bit = np.nonzero(np.unpackbits(bits, axis=1, bitorder="little"))
+                at = part.column("block").to_numpy()[row] * BLOCK_BITS + bit
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("run_id", *PARAMS)), pa.array(at)], names=["run_id", *PARAMS, "bit_pos"])
+
+    schema = StructType([blocks.schema["run_id"], *(blocks.schema[c] for c in PARAMS)]).add("bit_pos", LongType())
+    return blocks.select("run_id", *PARAMS, "block", "bits").mapInArrow(run, schema)
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with n, the number of set bits, and places, the sum of their positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(BLOCK_BITS, dtype=np.float64)
+        for batch in batches:
+            n, places = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            block = batch.column("block").to_numpy()
+            for i, bits in enumerate(batch.column("bits").to_pylist()):
+                own = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+                n[i] = own.sum()
+                places[i] = int(own @ place) + n[i] * block[i] * BLOCK_BITS
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(places)], names=[*batch.schema.names[:-1], "n", "places"])
+
+    others = [c for c in blocks.columns if c != "bits"]
+    return blocks.select(*others, "bits").mapInArrow(run, StructType([blocks.schema[c] for c in others]).add("n", LongType()).add("places", LongType()))
+
+
+def occupancy(blocks: DataFrame) -> DataFrame:
+    """(run_id, log_2_filter_len, n_set, share, places): how full every filter is, and the sum of the places of its bits."""
+    full = _counted(merged(blocks)).groupBy("run_id", "log_2_filter_len").agg(F.sum("n").alias("n_set"), F.sum("places").alias("places"))
+    return full.select("run_id", "log_2_filter_len", "n_set", (F.col("n_set") / F.pow(F.lit(2.0), "log_2_filter_len")).alias("share"), "places")
+
+
+def _of_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, params, block, bits, side) of the blocks of both runs of pairs (left_id, right_id) that have the same parameters."""
+    alike = blocks.select("run_id", *PARAMS).distinct()
+    pairs = pairs.join(alike.withColumnRenamed("run_id", "left_id"), "left_id").join(alike.withColumnRenamed("run_id", "right_id"), ["right_id", *PARAMS]).select("left_id", "right_id")
+    left = blocks.withColumnRenamed("run_id", "left_id").join(pairs, "left_id").withColumn("side", F.lit(1))
+    right = blocks.withColumnRenamed("run_id", "right_id").join(pairs, "right_id").withColumn("side", F.lit(2))
+    columns = ["left_id", "right_id", *PARAMS, "block", "bits", "side"]
+    return left.select(columns).union(right.select(columns))
 
 
-def search(postings: DataFrame, params: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(query_id, run_id, num_kmers, num_kmers_found) by the index.
+def combine_pairs(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, params, block, either, both): union and intersection of the filters of pairs of runs, block by block.
 
-    A filter holds a window if the bits of all of its seeds are set; two seeds
-    may share a bit, so seeds are counted, not bits.
+    ``blocks`` as of ``merged``; ``both`` is null where only one side has the
+    block. What is in the union and not in the intersection is the difference.
     """
-    wanted = query_bits(queries, params, k)
-    known = small_side(wanted, 128)
-    seeds = postings.join(known, ["log_2_filter_len", "bit_pos"]).where("seed < num_hash")
-    # seeds as bits of a number: partial sums stay one number a window and run
-    held = seeds.groupBy("query_id", "num_kmers", "kmer", "run_id", "num_hash").agg(F.bit_or(F.expr("shiftleft(1, seed)")).alias("seeds")).where("bit_count(seeds) = num_hash")
-    found = held.groupBy("query_id", "run_id", "num_kmers").agg(F.count("*").cast("int").alias("num_kmers_found"))
-    return finish(found, wanted.select("query_id", "num_kmers").distinct(), params.select("run_id"), threshold)
+    one = _of_pairs(blocks, pairs).groupBy("left_id", "right_id", *PARAMS, "block")
+    both = F.when(F.count("*") == 2, F.bitmap_and_agg("bits")).alias("both")
+    return one.agg(F.bitmap_or_agg("bits").alias("either"), both)
 
 
-def occupancy(postings: DataFrame) -> DataFrame:
-    """(run_id, log_2_filter_len, n_set, share): how full every filter is."""
-    return postings.groupBy("run_id", "log_2_filter_len").agg(F.count("*").alias("n_set")).withColumn("share", F.col("n_set") / F.pow(F.lit(2.0), "log_2_filter_len"))
+def combined_sizes(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, n_union, places_union, n_intersect, places_intersect, n_xor, places_xor) of pairs of runs."""
+    rows = combine_pairs(blocks, pairs)
+    parts = rows.select("left_id", "right_id", "block", F.lit("union").alias("part"), F.col("either").alias("bits")).union(rows.where("both is not null").select("left_id", "right_id", "block", F.lit("intersect"), "both"))
+    part = lambda name, c: F.coalesce(F.sum(F.when(F.col("part") == name, F.col(c))), F.lit(0).cast("long"))
+    sizes = _counted(parts).groupBy("left_id", "right_id").agg(*[part(name, c).alias(f"{c}_{name}") for name in ("union", "intersect") for c in ("n", "places")])
+    return sizes.withColumn("n_xor", F.col("n_union") - F.col("n_intersect")).withColumn("places_xor", F.col("places_union") - F.col("places_intersect"))
 
 
-def merge(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The set bits of two indexes as one; runs that both have are one run."""
-    return left.unionByName(right).distinct()
+def difference(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, n_left, n_right, n_both, n_differ) for pairs of runs with filters of the same parameters."""
+    own = blocks.groupBy("run_id").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    both = combine_pairs(blocks, pairs).groupBy("left_id", "right_id").agg(F.coalesce(F.sum(F.bitmap_count("both")), F.lit(0).cast("long")).alias("n_both"))
+    out = both.join(own.select(F.col("run_id").alias("left_id"), F.col("n").alias("n_left")), "left_id").join(own.select(F.col("run_id").alias("right_id"), F.col("n").alias("n_right")), "right_id")
+    return out.select("left_id", "right_id", "n_left", "n_right", "n_both", (F.col("n_left") + F.col("n_right") - 2 * F.col("n_both")).alias("n_differ"))
 
 
-def combine(postings: DataFrame, left: int, right: int, how: str) -> DataFrame:
+def combine(blocks: DataFrame, left: int, right: int, how: str) -> DataFrame:
     """(bit_pos) of two filters of the same parameters put together by "or", "and", "xor" or "minus"."""
-    a = postings.where(F.col("run_id") == left).select(*PARAMS, "bit_pos")
-    b = postings.where(F.col("run_id") == right).select(*PARAMS, "bit_pos")
+    bits = postings(blocks)
+    a = bits.where(F.col("run_id") == left).select(*PARAMS, "bit_pos")
+    b = bits.where(F.col("run_id") == right).select(*PARAMS, "bit_pos")
     ways = {"or": lambda: a.union(b).distinct(), "and": lambda: a.intersect(b), "minus": lambda: a.subtract(b), "xor": lambda: a.subtract(b).union(b.subtract(a))}
     return ways[how]()
 
 
-def combine_pairs(postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(left_id, right_id, bit_pos, in_left, in_right) of every bit that the left or right filter of a pair has.
+def checked(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the checksum of their bytes in crc32."""
+    return blocks.withColumn("crc32", F.crc32("bits"))
 
-    Both make the union, bits of one side alone the difference, bits of both the intersection.
+
+def damaged(blocks: DataFrame) -> DataFrame:
+    """Blocks whose bytes don't have the checksum that is stored with them."""
+    return blocks.where(F.crc32("bits") != F.col("crc32"))
+
+
+def slices(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(params, file, bit_pos, slice): the transposed layout, for each bit the bitmap of the runs of a file that have it.
+
+    ``ranks`` (run_id, file, place) comes from packing: a file has at most 2048
+    places. A task holds one block of one file, so 8 MB of bits.
     """
-    bits = postings.select("run_id", *PARAMS, "bit_pos")
-    left = pairs.join(bits.withColumnRenamed("run_id", "left_id"), "left_id").select("left_id", "right_id", *PARAMS, "bit_pos", F.lit(1).alias("side"))
-    right = pairs.join(bits.withColumnRenamed("run_id", "right_id"), "right_id").select("left_id", "right_id", *PARAMS, "bit_pos", F.lit(2).alias("side"))
-    sides = left.union(right).groupBy("left_id", "right_id", *PARAMS, "bit_pos").agg(F.bit_or("side").alias("sides"))
-    return sides.select("left_id", "right_id", *PARAMS, "bit_pos", (F.col("sides") != 2).alias("in_left"), (F.col("sides") != 1).alias("in_right"))
+    rows = blocks.join(small_side(ranks.select("run_id", "file", "place")), "run_id").select(*PARAMS, "file", "block", "place", "bits")
 
+    def transposed(key: tuple, table: pa.Table) -> pa.Table:
+        k, length, n_hash, file, block = (x.as_py() for x in key)
+        width = min(bloom.FILTERS_PER_FILE, bloom.FILE_BITS >> length)
+        filled = np.zeros((width, BLOCK_BYTES), np.uint8)
+        for place, bits in zip(table.column("place").to_pylist(), table.column("bits").to_pylist()):
+            filled[place] |= np.frombuffer(bits, np.uint8)
+        flags = np.unpackbits(filled, axis=1, bitorder="little")
+        out = np.packbits(flags.T, axis=1, bitorder="little")
+        at = np.flatnonzero(out.any(axis=1))
+        value = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * (width // 8)), pa.py_buffer(np.ascontiguousarray(out[at]))])
+        same = lambda v, t: pa.array(np.full(len(at), v), t)
+        return pa.table([same(k, pa.int32()), same(length, pa.int32()), same(n_hash, pa.int32()), same(file, pa.int64()), pa.array(at + block * BLOCK_BITS), value], names=[*PARAMS, "file", "bit_pos", "slice"])
 
-def difference(postings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(left_id, right_id, n_left, n_right, n_both, n_differ) for pairs of runs with filters of the same parameters."""
-    sizes = postings.groupBy("run_id", *PARAMS).agg(F.count("*").alias("n"))
-    a, b = sizes.select(F.col("run_id").alias("left_id"), *PARAMS, F.col("n").alias("n_left")), sizes.select(F.col("run_id").alias("right_id"), *PARAMS, F.col("n").alias("n_right"))
-    alike = pairs.join(a, "left_id").join(b, ["right_id", *PARAMS])
-    bits = postings.select("run_id", "bit_pos")
-    shared = alike.select("left_id", "right_id").join(bits.withColumnRenamed("run_id", "left_id"), "left_id").join(bits.withColumnRenamed("run_id", "right_id"), ["right_id", "bit_pos"]).groupBy("left_id", "right_id").agg(F.count("*").alias("n_both"))
-    out = alike.join(shared, ["left_id", "right_id"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0).cast("long")))
-    return out.select("left_id", "right_id", "n_left", "n_right", "n_both", (F.col("n_left") + F.col("n_right") - 2 * F.col("n_both")).alias("n_differ"))
+    return rows.groupBy(*PARAMS, "file", "block").applyInArrow(transposed, SLICES)
 
 
-def blocks(postings: DataFrame) -> DataFrame:
-    """(run_id, params, block, bits, crc32): filters as bytes, in blocks of 32768 bits, each with its checksum."""
-    block = F.floor(F.col("bit_pos") / BLOCK_BITS).cast("long")
-    dense = postings.groupBy("run_id", *PARAMS, block.alias("block")).agg(F.bitmap_construct_agg(F.col("bit_pos") % BLOCK_BITS).alias("bits"))
-    return dense.withColumn("crc32", F.crc32("bits"))
+def write_slices(slices_: DataFrame, path: str) -> None:
+    """Writes the slices of an index: a folder for each set of parameters, sorted by bit, so that a search reads the row groups it needs; each with its checksum."""
+    rows = slices_.withColumn("crc32", F.crc32("slice"))
+    rows.repartitionByRange(*PARAMS, "bit_pos").sortWithinPartitions(*PARAMS, "bit_pos").write.partitionBy(*PARAMS).mode("overwrite").parquet(path)
 
 
-def damaged(dense: DataFrame) -> DataFrame:
-    """Blocks whose bytes don't have the checksum that is stored with them."""
-    return dense.where(F.crc32("bits") != F.col("crc32"))
+def append_slices(slices_: DataFrame, path: str) -> None:
+    """Adds files to an index on disk; their numbers must be new."""
+    rows = slices_.withColumn("crc32", F.crc32("slice"))
+    rows.repartitionByRange(*PARAMS, "bit_pos").sortWithinPartitions(*PARAMS, "bit_pos").write.partitionBy(*PARAMS).mode("append").parquet(path)
+
+
+def read_slices(spark: SparkSession, *paths: str) -> DataFrame:
+    """The slices of the indexes at the paths, each searched deeply; files of several are told apart by their path."""
+    parts = []
+    for path in paths:
+        rows = spark.read.schema(SLICES + ", crc32 long").parquet(path)
+        parts.append(rows if len(paths) == 1 else rows.withColumn("index", F.lit(path)))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def sparse(dense: DataFrame) -> DataFrame:
-    """Postings of the blocks: the inverse of ``blocks``."""
-    byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.conv(F.hex(F.substring(F.col("bits"), i, F.lit(1))), 16, 10).cast("int"))).alias("at", "value")
-    bit = F.explode(F.filter(F.array(*[F.lit(i) for i in range(8)]), lambda i: F.getbit(F.col("value"), i) == 1)).alias("bit")
-    rows = dense.select("run_id", *PARAMS, "block", byte).where("value > 0")
-    return rows.select("run_id", *PARAMS, "block", "at", bit).select("run_id", *PARAMS, (F.col("block") * BLOCK_BITS + F.col("at") * 8 + F.col("bit")).alias("bit_pos"))
+def damaged_slices(stored: DataFrame) -> DataFrame:
+    """Slices whose bytes don't have the checksum that was written with them."""
+    return stored.where(F.crc32("slice") != F.col("crc32"))
 
 
-def slices(postings: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(params, file, bit_pos, slice, crc32): the transposed layout, one bitmap of filters for each bit of a file's filters.
+def dump_slices(slices_: DataFrame, first: int) -> DataFrame:
+    """(params, file, bit_pos, bits): the slices of the first bits, spelt out as 0 and 1, place by place."""
+    eight = F.transform(F.sequence(F.lit(1), F.length("slice")), lambda i: F.reverse(F.lpad(F.conv(F.hex(F.substring(F.col("slice"), i, F.lit(1))), 16, 2), 8, "0")))
+    return slices_.where(F.col("bit_pos") < first).select(*PARAMS, "file", "bit_pos", F.array_join(eight, "").alias("bits"))
 
-    ``ranks`` (run_id, file, place) comes from packing: a file has at most 2048 places.
+
+def query_bits(queries: DataFrame, params: DataFrame, k: int) -> DataFrame:
+    """(query_id, kmer, num_kmers, log_2_filter_len, num_hash, seed, bit_pos) for every filter length and number of hashes in use."""
+    own = kmers.distinct(queries, k).select(F.col("id").alias("query_id"), "kmer")
+    totals = own.groupBy("query_id").agg(F.count("*").cast("int").alias("num_kmers"))
+    kinds = params.select("log_2_filter_len", "num_hash").distinct()
+    # at most one row a length and number of hashes: 15 times 5
+    rows = with_hashes(own, "kmer", k, SEEDS).join(totals, "query_id").crossJoin(F.broadcast(kinds))
+    seeds = rows.select("query_id", "kmer", "num_kmers", "log_2_filter_len", "num_hash", F.posexplode("hashes").alias("seed", "hash")).where("seed < num_hash")
+    return seeds.select("query_id", "kmer", "num_kmers", "log_2_filter_len", "num_hash", "seed", masked(F.col("hash"), F.col("log_2_filter_len")).alias("bit_pos"))
+
+
+def search(slices_: DataFrame, ranks: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(query_id, run_id, num_kmers, num_kmers_found) by the slices of an index.
+
+    ``ranks`` (run_id, params, file, place) has the runs; they are looked up
+    last, for hits only. A filter holds a window if the bits of all of its
+    seeds are set: the slices of these bits are put together by "and", a file
+    at a time, and the windows that each place has are counted. Two seeds may
+    share a bit. A long query is cut into parts of about SEARCH_WINDOWS
+    windows, whose counts are added up.
     """
-    rows = postings.join(ranks.select("run_id", "file", "place"), "run_id")
-    return rows.groupBy(*PARAMS, "file", "bit_pos").agg(F.bitmap_construct_agg("place").alias("slice")).withColumn("crc32", F.crc32("slice"))
+    wanted = materialize(query_bits(queries, ranks, k))
+    parts = F.ceil(F.col("num_kmers") / SEARCH_WINDOWS).cast("int")
+    met = slices_.select(*PARAMS, "file", "bit_pos", "slice").join(small_side(wanted), ["log_2_filter_len", "num_hash", "bit_pos"])
+    met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("kmer"), F.col("parts")).cast("int"))
+    query_type = queries.schema["id"].dataType
+    schema = StructType().add("query_id", query_type).add("kmer_len", IntegerType()).add("log_2_filter_len", IntegerType()).add("num_hash", IntegerType()).add("file", LongType()).add("num_kmers", IntegerType()).add("place", IntegerType()).add("found", IntegerType())
+
+    def counted(key: tuple, table: pa.Table) -> pa.Table:
+        kmer = table.column("kmer").to_numpy()
+        order = np.argsort(kmer, kind="stable")
+        first = np.flatnonzero(np.diff(kmer[order], prepend=kmer[order[0]] ^ 1))
+        n_hash = key[3].as_py()
+        full = np.diff(first, append=len(kmer)) == n_hash  # a bit that no run has has no slice
+        bits = np.frombuffer(b"".join(table.column("slice").to_pylist()), np.uint8).reshape(len(kmer), -1)[order]
+        held = np.bitwise_and.reduceat(bits, first, axis=0)[full]
+        count = np.zeros(bits.shape[1] * 8, np.int64)
+        for at in range(0, len(held), 1024):
+            count += np.unpackbits(held[at : at + 1024], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total = table.column("num_kmers")[0].as_py()
+        # if the query is whole here, what misses the threshold goes at once
+        least = max(1, int(np.float32(threshold) * np.float32(total))) if table.column("parts")[0].as_py() == 1 else 1
+        place = np.flatnonzero(count >= least)
+        same = lambda v, t: pa.array([v.as_py() if isinstance(v, pa.Scalar) else v] * len(place), t)
+        types = pa.schema([("query_id", key[0].type)])
+        return pa.table([same(key[0], types.field(0).type), *(same(x, pa.int32()) for x in key[1:4]), same(key[4], pa.int64()), same(total, pa.int32()), pa.array(place.astype(np.int32)), pa.array(count[place].astype(np.int32))], names=[f.name for f in schema])
+
+    found = met.groupBy("query_id", *PARAMS, "file", "part").applyInArrow(counted, schema)
+    found = found.groupBy("query_id", *PARAMS, "file", "num_kmers", "place").agg(F.sum("found").cast("int").alias("num_kmers_found"))
+    totals = wanted.select("query_id", "num_kmers").distinct()
+    hits = found.where(F.col("num_kmers_found") >= needed(threshold, F.col("num_kmers"))).join(small_side(ranks.select("run_id", *PARAMS, "file", "place")), [*PARAMS, "file", "place"])
+    return finish(hits.select("query_id", "run_id", "num_kmers", "num_kmers_found"), totals, ranks.select("run_id"), threshold)

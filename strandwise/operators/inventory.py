@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.operators.common import small_side
@@ -134,3 +134,37 @@ def shown(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def attributes(rows: DataFrame) -> DataFrame:
     """(run_accession, tag, value) of the sample attributes."""
     return rows.select("run_accession", F.explode("sample_attributes").alias("tag", "value"))
+
+
+def attribute_keys(rows: DataFrame) -> DataFrame:
+    """(tag): the keys of all sample attributes, each once, in order."""
+    return rows.select(F.explode(F.map_keys("sample_attributes")).alias("tag")).distinct().orderBy("tag")
+
+
+def by_bases(runs: DataFrame) -> DataFrame:
+    """The runs with the fewest bases first; of equal ones the smaller accession."""
+    return runs.orderBy("number_of_bases", "run_accession")
+
+
+def worst(status: DataFrame, part: str) -> DataFrame:
+    """(part, status): the greatest code of every part, since any failure counts more than a success."""
+    return status.groupBy(part).agg(F.max("status").alias("status"))
+
+
+def pending(status: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` runs, by accession, that are still to be done."""
+    return status.where(F.col("status") == 1).orderBy("run_accession").limit(most)
+
+
+def write(runs: DataFrame, path: str) -> None:
+    """Writes an inventory sorted by accession, so that a lookup reads the row groups it needs."""
+    runs.repartitionByRange("run_accession").sortWithinPartitions("run_accession").write.mode("overwrite").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def lookup(stored: DataFrame, accessions: DataFrame) -> DataFrame:
+    """The runs of a stored inventory with the accessions (run_accession) of a list."""
+    return included(stored, accessions)

@@ -1,25 +1,58 @@
 """K-mer tables: windows, distinct sets, counts, profiles and read filters.
 
-Sequences come as (id, seq); null and short sequences have no windows.
+Sequences come as (id, seq); null and short sequences have no windows. A window
+is kept as its 2-bit code, a number, in all operators (``dna.decode`` spells it
+out), so that shuffles carry 8 bytes a window; codes sort as the strings do.
+Windows are cut in numpy, an Arrow batch at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from strandwise.functions import dna
+from strandwise.functions.arrow import cuts, pieces, raw
+
+LONGEST_WINDOW = 31
+
+
+def _check(k: int) -> None:
+    if not 1 <= k <= LONGEST_WINDOW:
+        raise ValueError(f"a window has 1 to {LONGEST_WINDOW} bases")
+
 
+def windows(seqs: DataFrame, k: int, canonical: bool = True, with_length: bool = False) -> DataFrame:
+    """(id, kmer) of every window.
 
-def windows(seqs: DataFrame, k: int, canonical: bool = True) -> DataFrame:
-    """(id, kmer) of every window."""
-    kmer = F.explode(dna.kmers(F.col("seq"), k)).alias("kmer")
-    rows = seqs.select("id", kmer)
-    return rows.select("id", dna.canonical(F.col("kmer")).alias("kmer")) if canonical else rows
+    With ``with_length``, (id, kmer, n) with n = 1, and for each sequence a row
+    with a null window and n = its number of letters.
+    """
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in cuts(batch.column("seq")):
+                data, offsets = raw(texts)
+                codes, row = dna.window_codes(data, offsets, k, canonical)
+                columns, names = [batch.column("id").take(pa.array(row + first)), pa.array(codes)], ["id", "kmer"]
+                if with_length:
+                    columns, names = [*columns, pa.array(np.ones(len(codes), np.int64))], [*names, "n"]
+                    own = batch.slice(first, len(texts)).column("id")
+                    yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), pa.int64()), pa.array(np.diff(offsets))], names=names)
+                yield from pieces(pa.RecordBatch.from_arrays(columns, names=names))
+
+    fields = [seqs.schema["id"], StructField("kmer", LongType()), *[StructField("n", LongType())] * with_length]
+    return seqs.select("id", "seq").mapInArrow(run, StructType(fields))
 
 
 def positions(seqs: DataFrame, k: int) -> DataFrame:
-    """(id, pos, kmer): every window with the place where it begins, from 0 on."""
+    """(id, pos, kmer): every window, spelt out, with the place where it begins, from 0 on."""
     rows = seqs.select("id", F.posexplode(dna.kmers_by_place(F.col("seq"), k)).alias("pos", "kmer"))
     return rows.where("kmer <> ''")
 
@@ -36,16 +69,10 @@ def abundant(seqs: DataFrame, k: int, least: int) -> DataFrame:
 
 def profile(seqs: DataFrame, k: int) -> DataFrame:
     """(id, n_bases, n_kmers, n_distinct, uniqueness): windows of each sequence; uniqueness is distinct windows a base."""
-    counts = windows(seqs, k).groupBy("id", "kmer").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"))
-    bases = seqs.groupBy("id").agg(F.sum(F.coalesce(F.length("seq"), F.lit(0))).alias("n_bases"))
-    zero = F.lit(0).cast("long")
-    return bases.join(counts, "id", "left").select(
-        "id",
-        "n_bases",
-        F.coalesce("n_kmers", zero).alias("n_kmers"),
-        F.coalesce("n_distinct", zero).alias("n_distinct"),
-        F.when(F.col("n_bases") > 0, F.coalesce("n_distinct", zero) / F.col("n_bases")).otherwise(F.lit(0.0)).alias("uniqueness"),
-    )
+    counts = windows(seqs, k, with_length=True).groupBy("id", "kmer").agg(F.sum("n").alias("n"))
+    some = F.col("kmer").isNotNull()
+    sums = counts.groupBy("id").agg(F.sum(F.when(~some, F.col("n"))).alias("n_bases"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0).cast("long")).alias("n_kmers"), F.count("kmer").alias("n_distinct"))
+    return sums.withColumn("uniqueness", F.when(F.col("n_bases") > 0, F.col("n_distinct") / F.col("n_bases")).otherwise(F.lit(0.0)))
 
 
 def within_limit(counted: DataFrame, most: int) -> DataFrame:
@@ -54,9 +81,24 @@ def within_limit(counted: DataFrame, most: int) -> DataFrame:
     return counted.join(many, "id", "left_anti")
 
 
-def distinct_kmers(seq: Column, k: int) -> Column:
-    """The canonical windows of one sequence, each once, as an array."""
-    return F.array_distinct(F.transform(dna.kmers(seq, k), dna.canonical))
+def with_windows(reads: DataFrame, k: int) -> DataFrame:
+    """``reads`` (with a column seq) with their distinct canonical windows in ``kmers`` and the number of all in ``n_total``."""
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in cuts(batch.column("seq")):
+                codes, row = dna.window_codes(*raw(texts), k)
+                order = np.lexsort((codes, row))
+                codes, row = codes[order], row[order]
+                fresh = np.ones(len(codes), bool)
+                fresh[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+                offsets = np.searchsorted(row[fresh], np.arange(len(texts) + 1)).astype(np.int32)
+                own = batch.slice(first, len(texts))
+                total = np.bincount(row, minlength=len(texts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(offsets, pa.array(codes[fresh])), pa.array(total)], names=[*own.schema.names, "kmers", "n_total"])
+
+    return reads.mapInArrow(run, StructType([*reads.schema.fields, StructField("kmers", ArrayType(LongType())), StructField("n_total", IntegerType())]))
 
 
 def filtered_reads(reads: DataFrame, k: int, min_length: int = 0, min_kmers: int = 1, min_complexity: float = 0.75) -> DataFrame:
@@ -64,7 +106,6 @@ def filtered_reads(reads: DataFrame, k: int, min_length: int = 0, min_kmers: int
 
     Complexity is distinct windows over all windows, in single precision; a read exactly at a limit stays.
     """
-    long = reads.where(F.length("seq") >= min_length).withColumn("all_kmers", F.transform(dna.kmers(F.col("seq"), k), dna.canonical))
-    seen = long.withColumn("kmers", F.array_distinct("all_kmers")).withColumn("n_total", F.size("all_kmers")).drop("all_kmers")
+    seen = with_windows(reads.where(F.length("seq") >= min_length), k)
     share = F.size("kmers").cast("float") / F.col("n_total").cast("float")
     return seen.where((F.col("n_total") >= max(1, min_kmers)) & (share.cast("float") >= F.lit(min_complexity).cast("float")))

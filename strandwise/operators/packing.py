@@ -30,7 +30,7 @@ def merge_plan(files: list[tuple[str, int]], most: int) -> list[tuple[str, str,
         plan.append((large, small, into, rest))
         if rest:
             todo.append((rest, small))
-        elif into < most or not rest:
+        elif into < most:
             todo.append((into, large))
         todo.sort()
     return plan

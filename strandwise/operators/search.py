@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwise.operators import kmers
 from strandwise.operators.common import small_side
+from strandwise.session import materialize
 
 
 def needed(threshold: float, n: Column) -> Column:
@@ -27,8 +28,13 @@ def finish(found: DataFrame, totals: DataFrame, runs: DataFrame, threshold: floa
     A query whose truncated threshold is 0 matches every run, also those of
     which it has no window: these pairs are added with a count of 0.
     """
+    totals = materialize(totals)
     hits = found.where(F.col("num_kmers_found") >= needed(threshold, F.col("num_kmers")))
     free = totals.where(needed(threshold, F.col("num_kmers")) == 0)
+    if free.isEmpty():
+        return hits
+    hits = materialize(hits)
+    # a free query pairs with all runs by what it means, in as many rows as its result has
     all_pairs = free.crossJoin(runs.select("run_id").distinct()).withColumn("num_kmers_found", F.lit(0))
     rest = all_pairs.join(hits.select("query_id", "run_id"), ["query_id", "run_id"], "left_anti")
     return hits.unionByName(rest)
@@ -42,7 +48,7 @@ def shared(runs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """
     words = small_side(wanted.select("kmer").distinct())
     common = kmers.windows(runs, k).join(words, "kmer", "left_semi").distinct()
-    return common.join(small_side(wanted, 96), "kmer").groupBy("query_id", F.col("id").alias("run_id"), "num_kmers").agg(F.count("*").cast("int").alias("num_kmers_found"))
+    return common.join(small_side(wanted), "kmer").groupBy("query_id", F.col("id").alias("run_id"), "num_kmers").agg(F.count("*").cast("int").alias("num_kmers_found"))
 
 
 def exact(runs: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:

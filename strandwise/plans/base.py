@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from strandwise.functions import dna
 from strandwise.session import table
 
-#: Windows of a query, the filter lengths in use and the least count of a window, for the queries of the catalog.
+#: Length of a window and filter lengths (log 2) in use, for the queries of the catalog.
 K = 11
-SHORTEST, LONGEST = 16, 32
+SHORTEST, LONGEST = 18, 32
 
 
 class Tables:

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import accession, bloom, dna, text
-from strandwise.functions.hashing import with_hashes
+from strandwise.functions.hashing import parse_hash_name, with_hashes
 from strandwise.operators import index, inventory, kmers, packing, search
 from strandwise.plans.base import K, LONGEST, RUNS_SQL, SHORTEST, Tables, murmur_sql, params_sql, seq_sql, windows_sql
 from strandwise.plans.registry import query
-from strandwise.session import materialize
+from strandwise.session import discard, materialize, shared_dir
 from strandwise.sinks import results
+from strandwise.sources import sequences
+from strandwise.streaming import ingest
 
 DOCS, ITEMS = f"({seq_sql('documents', 'doc_id')})", f"({seq_sql('benchmark', 'item_id')})"
 READS = f"({seq_sql('conversations', 'conv_id').replace(' AS id,', '::VARCHAR AS accession, turn AS read_index,')})"
 BROKEN = f"(SELECT conv_id::VARCHAR AS id, turn, translate(regexp_replace(lower(text), '[^a-z]+', 'N', 'g'), '{dna.LETTERS}', '{dna.BASES_OF_LETTERS}') AS seq FROM conversations WHERE text IS NOT NULL)"
 
 
+def spelt() -> Column:
+    """The window of a code as letters."""
+    return dna.decode(F.col("kmer"), K).alias("kmer")
+
+
 # Windows
 
 @query(f"""
@@ -33,17 +44,18 @@ def kmer_positions(t: Tables) -> DataFrame:
 @query(f"SELECT id, count(*) AS n, count(DISTINCT kmer) AS n_distinct, min(kmer) AS least, max(kmer) AS most FROM ({windows_sql(DOCS)}) GROUP BY id")
 def kmer_canonical(t: Tables) -> DataFrame:
     counts = kmers.windows(t.runs_seq, K).groupBy("id", "kmer").agg(F.count("*").alias("n"))
-    return counts.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.min("kmer").alias("least"), F.max("kmer").alias("most"))
+    sums = counts.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.min("kmer").alias("least"), F.max("kmer").alias("most"))
+    return sums.select("id", "n", "n_distinct", *[dna.decode(F.col(c), K).alias(c) for c in ("least", "most")])
 
 
 @query(f"SELECT DISTINCT id, kmer FROM ({windows_sql(ITEMS)})")
 def kmer_distinct(t: Tables) -> DataFrame:
-    return kmers.distinct(t.items, K)
+    return kmers.distinct(t.items, K).select("id", spelt())
 
 
 @query(f"SELECT id, kmer, count(*) AS n FROM ({windows_sql(DOCS)}) GROUP BY ALL HAVING n >= {index.MIN_COUNT}")
 def kmer_abundant(t: Tables) -> DataFrame:
-    return kmers.abundant(t.runs_seq, K, index.MIN_COUNT)
+    return kmers.abundant(t.runs_seq, K, index.MIN_COUNT).select("id", spelt(), "n")
 
 
 @query(f"""
@@ -66,8 +78,8 @@ def kmer_profile(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, kmer, list_reduce(list_transform(string_split(translate(kmer, 'ACGT', '0123'), ''), lambda c: c::BIGINT), lambda a, b: a * 4 + b) AS code, kmer AS back FROM (SELECT DISTINCT id, kmer FROM ({windows_sql(ITEMS)}))")
 def kmer_encode(t: Tables) -> DataFrame:
-    coded = kmers.distinct(t.items, K).withColumn("code", dna.encode(F.col("kmer")))
-    return coded.withColumn("back", dna.decode(F.col("code"), K))
+    rows = kmers.distinct(t.items, K).select("id", spelt())
+    return rows.withColumn("code", dna.encode(F.col("kmer"))).withColumn("back", dna.decode(F.col("code"), K))
 
 
 @query(f"""
@@ -79,21 +91,11 @@ def read_complexity(t: Tables) -> DataFrame:
     return kept.select("accession", "read_index", F.col("n_total").cast("long"), F.size("kmers").cast("long").alias("n_distinct"))
 
 
-@query(f"""
-WITH k AS (SELECT DISTINCT id, kmer FROM ({windows_sql(ITEMS)})),
-a AS (SELECT id, kmer FROM k WHERE id % 2 = 0), b AS (SELECT id + 1 AS id, kmer FROM k WHERE id % 2 = 0)
-SELECT p.id AS left_id, p.id + 1 AS right_id, count(q.kmer) AS n_both FROM a p LEFT JOIN k q ON q.id = p.id + 1 AND q.kmer = p.kmer GROUP BY p.id
-""")
-def kmer_set_pairs(t: Tables) -> DataFrame:
-    """Windows that an even item shares with the next one, as the SQL has it; kmer_set_pairs_all has every item."""
-    return kmer_set_pairs_all(t).where("left_id % 2 = 0")
-
-
 @query(f"""
 WITH k AS (SELECT DISTINCT id, kmer FROM ({windows_sql(ITEMS)}))
 SELECT p.id AS left_id, p.id + 1 AS right_id, count(q.kmer) AS n_both FROM k p LEFT JOIN k q ON q.id = p.id + 1 AND q.kmer = p.kmer GROUP BY p.id
 """)
-def kmer_set_pairs_all(t: Tables) -> DataFrame:
+def kmer_set_pairs(t: Tables) -> DataFrame:
     """Windows that every item shares with the next one."""
     sets = kmers.distinct(t.items, K)
     a = sets.select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"), "kmer")
@@ -149,7 +151,7 @@ def per_read_topn(t: Tables) -> DataFrame:
 @query(murmur_sql(f"(SELECT DISTINCT id, kmer FROM ({windows_sql(ITEMS)}))", K, 5, "id"))
 def murmur_hash(t: Tables) -> DataFrame:
     hashed = with_hashes(kmers.distinct(t.items, K), "kmer", K, range(5))
-    return hashed.select("id", "kmer", *[F.col("hashes")[i].alias(f"hash{i}") for i in range(5)])
+    return hashed.select("id", spelt(), *[F.col("hashes")[i].alias(f"hash{i}") for i in range(5)])
 
 
 COUNTED_SQL = f"(SELECT id, kmer, count(*) AS n FROM ({windows_sql(DOCS)}) GROUP BY ALL)"
@@ -178,23 +180,37 @@ bits AS MATERIALIZED (SELECT DISTINCT run_id, log_2_filter_len, num_hash, h & ((
  FROM (SELECT id, unnest([hash0, hash1, hash2, hash3, hash4]) AS h, unnest([0, 1, 2, 3, 4]) AS seed FROM hashed) x JOIN params ON run_id = id WHERE seed < num_hash)"""
 
 
-def _counted(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(windows, params) of all documents; the windows serve both, so they are written once."""
-    counted = materialize(kmers.distinct(t.runs_seq, K))
-    return counted, materialize(index.run_params(counted, K, SHORTEST, LONGEST))
+class Index(NamedTuple):
+    blocks: DataFrame  # each once
+    ranks: DataFrame  # runs with parameters, file and place
+    slices: DataFrame  # as stored, sorted by bit
+
 
+_stored: dict[tuple, Index] = {}
 
-def _built(t: Tables, once: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(postings, params) of all documents."""
-    counted, params = _counted(t)
-    return index.build(counted, params, K, once), params
+
+def stored_index(t: Tables) -> Index:
+    """The index of all documents, built once a session for the files of the table and then read from the shared folder."""
+    key = (t.spark.sparkContext.applicationId, *sorted(t.table("documents").inputFiles()))
+    if key not in _stored:
+        counted = materialize(kmers.distinct(t.runs_seq, K))
+        ranks = materialize(packing.packed(materialize(index.run_params(counted, K, SHORTEST, LONGEST))))
+        blocks = materialize(index.merged(index.build(counted, ranks, K)))
+        path = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        index.write_slices(index.slices(blocks, ranks), path)
+        discard(counted)
+        _stored[key] = Index(blocks, ranks, index.read_slices(t.spark, path))
+    return _stored[key]
 
 
 @query(f"WITH {BITS_SQL} SELECT run_id, log_2_filter_len, count(*) AS n_set, count(*)::DOUBLE / pow(2.0::DOUBLE, log_2_filter_len) AS share, sum(bit_pos)::BIGINT AS places FROM bits GROUP BY run_id, log_2_filter_len")
 def bloom_occupancy(t: Tables) -> DataFrame:
-    postings, _ = _built(t)
-    full = postings.groupBy("run_id", "log_2_filter_len").agg(F.count("*").alias("n_set"), F.sum("bit_pos").alias("places"))
-    return full.select("run_id", "log_2_filter_len", "n_set", (F.col("n_set") / F.pow(F.lit(2.0), "log_2_filter_len")).alias("share"), "places")
+    return index.occupancy(stored_index(t).blocks)
+
+
+def _searched(t: Tables, threshold: float) -> DataFrame:
+    found = stored_index(t)
+    return index.search(found.slices, found.ranks, t.items, K, threshold)
 
 
 def bloom_sql(threshold: float) -> str:
@@ -211,12 +227,12 @@ SELECT * FROM p WHERE num_kmers_found >= floor(({threshold}::REAL * num_kmers::R
 
 @query(bloom_sql(1.0))
 def bloom_search_full(t: Tables) -> DataFrame:
-    return index.search(*_built(t, once=False), t.items, K, 1.0)
+    return _searched(t, 1.0)
 
 
 @query(bloom_sql(0.2))
 def bloom_search_threshold(t: Tables) -> DataFrame:
-    return index.search(*_built(t, once=False), t.items, K, 0.2)
+    return _searched(t, 0.2)
 
 
 EXACT_FOUND = f"""
@@ -227,7 +243,7 @@ SELECT query_id, run_id, count(*) AS n_exact FROM q JOIN d USING (kmer) GROUP BY
 @query(f"SELECT b.query_id, b.run_id, num_kmers_found, coalesce(n_exact, 0)::INT AS n_exact, (num_kmers_found - coalesce(n_exact, 0))::INT AS n_false FROM ({bloom_sql(0.2)}) b LEFT JOIN ({EXACT_FOUND}) e USING (query_id, run_id)")
 def bloom_false_positives(t: Tables) -> DataFrame:
     """Hits by the index, with how many of their windows the run really has."""
-    hits = index.search(*_built(t, once=False), t.items, K, 0.2)
+    hits = _searched(t, 0.2)
     truth = search.shared(t.runs_seq, search.query_sets(t.items, K), K).select("query_id", "run_id", F.col("num_kmers_found").alias("n_exact"))
     return hits.join(truth, ["query_id", "run_id"], "left").select("query_id", "run_id", "num_kmers_found", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), (F.col("num_kmers_found") - F.coalesce("n_exact", F.lit(0))).alias("n_false"))
 
@@ -240,84 +256,76 @@ SELECT left_id, right_id, n_left, n_right, coalesce(n_both, 0) AS n_both, n_left
 """)
 def bloom_difference(t: Tables) -> DataFrame:
     """Bits in which the filter of each document differs from the next one's."""
-    postings, params = _built(t)
-    pairs = params.select(F.col("run_id").alias("left_id"), (F.col("run_id") + 1).alias("right_id"))
-    return index.difference(materialize(postings), pairs)
+    found = stored_index(t)
+    return index.difference(found.blocks, next_ones(found.ranks))
 
 
-def _folded(postings: DataFrame) -> DataFrame:
-    """Filters of two lengths meet at 16 bits: a shorter filter is a longer one folded."""
-    return materialize(postings.select("run_id", F.lit(K).alias("kmer_len"), F.lit(SHORTEST).alias("log_2_filter_len"), F.lit(0).alias("num_hash"), (F.col("bit_pos") % (1 << SHORTEST)).alias("bit_pos")).distinct())
+def next_ones(runs: DataFrame) -> DataFrame:
+    """(left_id, right_id) of every run and the next one."""
+    return runs.select(F.col("run_id").alias("left_id"), (F.col("run_id") + 1).alias("right_id"))
 
 
-def _combined(t: Tables, how: str) -> DataFrame:
-    """Documents 0 and 1, as the SQL has it; filter_pairs_combined has all."""
-    counted, params = _counted(t)
-    return index.combine(_folded(index.build(counted.where("id in (0, 1)"), params, K)), 0, 1, how).select("bit_pos")
+def _combined(t: Tables) -> DataFrame:
+    """The filters of every document and the next one, folded to one length, put together."""
+    found = stored_index(t)
+    return index.combined_sizes(index.folded(found.blocks, SHORTEST), next_ones(found.ranks))
 
 
-def combined_sql(how: str) -> str:
-    a, b = (f"(SELECT DISTINCT bit_pos % 65536 AS bit_pos FROM bits WHERE run_id = {i})" for i in (0, 1))
-    return f"WITH {BITS_SQL} " + {"or": f"SELECT bit_pos FROM {a} UNION SELECT bit_pos FROM {b}", "and": f"SELECT bit_pos FROM {a} INTERSECT SELECT bit_pos FROM {b}", "xor": f"(SELECT bit_pos FROM {a} EXCEPT SELECT bit_pos FROM {b}) UNION (SELECT bit_pos FROM {b} EXCEPT SELECT bit_pos FROM {a})"}[how]
+PAIRS_SQL = f"""
+WITH {BITS_SQL}, f AS MATERIALIZED (SELECT DISTINCT run_id, bit_pos % {1 << SHORTEST} AS bit_pos FROM bits),
+n AS (SELECT run_id, count(*) AS n, sum(bit_pos)::BIGINT AS places FROM f GROUP BY run_id),
+c AS (SELECT a.run_id AS left_id, count(*) AS n, sum(a.bit_pos)::BIGINT AS places FROM f a JOIN f b ON b.run_id = a.run_id + 1 AND a.bit_pos = b.bit_pos GROUP BY a.run_id),
+p AS (SELECT a.run_id AS left_id, b.run_id AS right_id, a.n + b.n - coalesce(c.n, 0) AS n_union, a.places + b.places - coalesce(c.places, 0) AS places_union, coalesce(c.n, 0) AS n_intersect, coalesce(c.places, 0) AS places_intersect,
+ a.n + b.n - 2 * coalesce(c.n, 0) AS n_xor, a.places + b.places - 2 * coalesce(c.places, 0) AS places_xor
+FROM n a JOIN n b ON b.run_id = a.run_id + 1 LEFT JOIN c ON c.left_id = a.run_id)
+SELECT left_id, right_id, """
 
 
-@query(combined_sql("or"))
+@query(PAIRS_SQL + "n_union, places_union FROM p")
 def filter_union(t: Tables) -> DataFrame:
-    """Bits of two documents' filters, folded to one length."""
-    return _combined(t, "or")
+    """Bits of each document's filter or the next one's: how many, and the sum of their places."""
+    return _combined(t).select("left_id", "right_id", "n_union", "places_union")
 
 
-@query(combined_sql("and"))
+@query(PAIRS_SQL + "n_intersect, places_intersect FROM p")
 def filter_intersect(t: Tables) -> DataFrame:
-    return _combined(t, "and")
+    """Bits of each document's filter and the next one's."""
+    return _combined(t).select("left_id", "right_id", "n_intersect", "places_intersect")
 
 
-@query(combined_sql("xor"))
+@query(PAIRS_SQL + "n_xor, places_xor FROM p")
 def filter_xor(t: Tables) -> DataFrame:
-    return _combined(t, "xor")
+    """Bits of one of the two filters only."""
+    return _combined(t).select("left_id", "right_id", "n_xor", "places_xor")
 
 
-@query(f"""
-WITH {BITS_SQL}, f AS MATERIALIZED (SELECT DISTINCT run_id, bit_pos % 65536 AS bit_pos FROM bits),
-n AS (SELECT run_id, count(*) AS n, sum(bit_pos)::BIGINT AS places FROM f GROUP BY run_id),
-c AS (SELECT a.run_id AS left_id, count(*) AS n, sum(a.bit_pos)::BIGINT AS places FROM f a JOIN f b ON b.run_id = a.run_id + 1 AND a.bit_pos = b.bit_pos GROUP BY a.run_id)
-SELECT a.run_id AS left_id, b.run_id AS right_id, a.n + b.n - coalesce(c.n, 0) AS n_union, a.places + b.places - coalesce(c.places, 0) AS places_union, coalesce(c.n, 0) AS n_intersect, coalesce(c.places, 0) AS places_intersect,
- a.n + b.n - 2 * coalesce(c.n, 0) AS n_xor, a.places + b.places - 2 * coalesce(c.places, 0) AS places_xor
-FROM n a JOIN n b ON b.run_id = a.run_id + 1 LEFT JOIN c ON c.left_id = a.run_id
-""")
-def filter_pairs_combined(t: Tables) -> DataFrame:
-    """Union, intersection and symmetric difference of each document's filter with the next one's, folded to one length: how many bits, and the sum of their places."""
-    postings, params = _built(t)
-    ids = params.select("run_id")
-    pairs = ids.select(F.col("run_id").alias("left_id"), (F.col("run_id") + 1).alias("right_id")).join(ids.withColumnRenamed("run_id", "right_id"), "right_id")
-    bits = index.combine_pairs(_folded(postings), pairs)
-    both, place = F.col("in_left") & F.col("in_right"), F.col("bit_pos")
-    return bits.groupBy("left_id", "right_id").agg(
-        F.count("*").alias("n_union"),
-        F.sum(place).alias("places_union"),
-        F.count_if(both).alias("n_intersect"),
-        F.sum(F.when(both, place).otherwise(0)).alias("places_intersect"),
-        F.count_if(~both).alias("n_xor"),
-        F.sum(F.when(~both, place).otherwise(0)).alias("places_xor"),
-    )
-
-
-@query()
+@query(f"WITH {BITS_SQL} SELECT run_id, log_2_filter_len, num_hash, bit_pos // {index.BLOCK_BITS} AS block, count(*) AS n_set FROM bits GROUP BY ALL")
 def filter_blocks(t: Tables) -> DataFrame:
-    """The dense form of every filter with its checksums; no SQL for the bitmaps, so the tests hold it against the postings."""
-    postings, _ = _built(t)
-    return index.blocks(postings).select("run_id", "log_2_filter_len", "num_hash", "block", F.bitmap_count("bits").alias("n_set"), "crc32")
+    """Set bits in every block of the filters whose checksum is right."""
+    blocks = index.checked(stored_index(t).blocks)
+    return blocks.where(F.crc32("bits") == F.col("crc32")).select("run_id", "log_2_filter_len", "num_hash", "block", F.bitmap_count("bits").alias("n_set"))
+
+
+PACKED_SQL = f"SELECT id AS run_id, log_2_filter_len, num_hash, (row_number() OVER w - 1) // least(2048, 549755813888 // (1::BIGINT << log_2_filter_len)) AS file, ((row_number() OVER w - 1) % least(2048, 549755813888 // (1::BIGINT << log_2_filter_len)))::INT AS place FROM ({params_sql(SIZES_SQL)}) WINDOW w AS (PARTITION BY log_2_filter_len, num_hash ORDER BY id)"
 
 
-@query()
+@query(f"""
+WITH {BITS_SQL}, packed AS ({PACKED_SQL}), s AS (SELECT p.log_2_filter_len, p.num_hash, p.file, b.bit_pos, count(*) AS n, sum(p.place)::BIGINT AS places FROM bits b JOIN packed p USING (run_id) GROUP BY ALL)
+SELECT log_2_filter_len, num_hash, file, count(*) AS n_slices, sum(n)::BIGINT AS n_set, max(n) AS fullest FROM s GROUP BY ALL
+""")
 def filter_slices(t: Tables) -> DataFrame:
-    """The transposed form: for each bit the bitmap of filters that have it, summed up a file."""
-    postings, params = _built(t)
-    slices = index.slices(postings, packing.packed(params))
-    return slices.groupBy("log_2_filter_len", "num_hash", "file").agg(F.count("*").alias("n_slices"), F.sum(F.bitmap_count("slice")).alias("n_set"), F.sum("crc32").alias("checksum"))
+    """The transposed form, as stored: for each bit the bitmap of filters that have it, summed up a file."""
+    rows = stored_index(t).slices.select("log_2_filter_len", "num_hash", "file", F.bitmap_count("slice").alias("n"))
+    return rows.groupBy("log_2_filter_len", "num_hash", "file").agg(F.count("*").alias("n_slices"), F.sum("n").alias("n_set"), F.max("n").alias("fullest"))
 
 
-PACKED_SQL = f"SELECT id AS run_id, log_2_filter_len, num_hash, (row_number() OVER w - 1) // least(2048, 549755813888 // (1::BIGINT << log_2_filter_len)) AS file, ((row_number() OVER w - 1) % least(2048, 549755813888 // (1::BIGINT << log_2_filter_len)))::INT AS place FROM ({params_sql(SIZES_SQL)}) WINDOW w AS (PARTITION BY log_2_filter_len, num_hash ORDER BY id)"
+@query(f"""
+WITH {BITS_SQL}, packed AS ({PACKED_SQL}), s AS (SELECT p.log_2_filter_len, p.num_hash, p.file, b.bit_pos, list(p.place ORDER BY p.place) AS places FROM bits b JOIN packed p USING (run_id) WHERE b.bit_pos < 64 GROUP BY ALL)
+SELECT log_2_filter_len, num_hash, file, bit_pos, array_to_string(list_transform(range(0, least(2048, 549755813888 // (1::BIGINT << log_2_filter_len))), lambda i: CASE WHEN list_contains(places, i::INT) THEN '1' ELSE '0' END), '') AS bits FROM s
+""")
+def slices_dump(t: Tables) -> DataFrame:
+    """The slices of the first 64 bits, spelt out."""
+    return index.dump_slices(stored_index(t).slices, 64).select("log_2_filter_len", "num_hash", "file", "bit_pos", "bits")
 
 
 @query(PACKED_SQL)
@@ -422,12 +430,12 @@ def dump_na_fill(t: Tables) -> DataFrame:
 # Scalar functions
 
 @query("""
-SELECT doc_id, accession, ((((ascii(accession) - 65) * 676 + (ascii(substring(accession, 2, 1)) - 65) * 26 + ascii(substring(accession, 3, 1)) - 65)::BIGINT * pow(10, length(accession) - 3)::BIGINT + substring(accession, 4)::BIGINT) << 4) + length(accession) - 4 AS packed, accession AS back
-FROM (SELECT doc_id, upper(lang) || 'R' || lpad(doc_id::VARCHAR, greatest(length(doc_id::VARCHAR), 1 + doc_id % 10)::INT, '0') AS accession FROM documents WHERE length(lang) = 2)
+SELECT doc_id, accession, CASE WHEN fits THEN ((((ascii(accession) - 65) * 676 + (ascii(substring(accession, 2, 1)) - 65) * 26 + ascii(substring(accession, 3, 1)) - 65)::BIGINT * pow(10, length(accession) - 3)::BIGINT + TRY_CAST(substring(accession, 4) AS BIGINT)) << 4) + length(accession) - 4 END AS packed, CASE WHEN fits THEN accession END AS back
+FROM (SELECT *, regexp_full_match(accession, '[A-Z]{3}[0-9]{1,10}') AS fits FROM (SELECT doc_id, upper(lang) || 'R' || lpad(doc_id::VARCHAR, greatest(length(doc_id::VARCHAR), 1 + doc_id % 10)::INT, '0') AS accession FROM documents))
 """)
 def accession_pack(t: Tables) -> DataFrame:
     width = F.greatest(F.length(F.col("doc_id").cast("string")), (F.lit(1) + F.col("doc_id") % 10).cast("int"))
-    rows = t.table("documents").where("length(lang) = 2").select("doc_id", F.concat(F.upper("lang"), F.lit("R"), F.lpad(F.col("doc_id").cast("string"), width, "0")).alias("accession"))
+    rows = t.table("documents").select("doc_id", F.concat(F.upper("lang"), F.lit("R"), F.lpad(F.col("doc_id").cast("string"), width, "0")).alias("accession"))
     packed = rows.withColumn("packed", accession.pack(F.col("accession")))
     return packed.withColumn("back", accession.unpack(F.col("packed")))
 
@@ -451,11 +459,11 @@ def xml_extract(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT page_id, string_split(url, '/') AS parts, regexp_extract(url, '^(.*)/', 1) AS directory, regexp_extract(url, '[^/]*$') AS file_name, regexp_matches(lower(url), '\\.(html|php)$') AS is_page, strpos(lower(url), 'page') - 1 AS at FROM pages WHERE url <> ''
-""".replace("string_split(url, '/') AS parts", "len(string_split(url, '/'))::INT AS n_parts").replace("\\\\", "\\"))
+SELECT page_id, string_split(url, '/') AS parts, regexp_extract(url, '^(.*)/', 1) AS directory, regexp_extract(url, '[^/]*$') AS file_name, regexp_matches(lower(url), '\\.(html|php)$') AS is_page, strpos(lower(url), 'page') - 1 AS at FROM pages
+""".replace("string_split(url, '/') AS parts", "CASE WHEN url = '' THEN 0 ELSE len(string_split(url, '/')) END::INT AS n_parts").replace("\\\\", "\\"))
 def path_parts(t: Tables) -> DataFrame:
     url = F.col("url")
-    return t.table("pages").where("url <> ''").select("page_id", F.size(text.split_line(url, "/")).alias("n_parts"), text.directory(url).alias("directory"), text.file_name(url).alias("file_name"), text.has_extension(url, ".html", ".php").alias("is_page"), text.find_ignoring_case(url, F.lit("PAGE")).cast("long").alias("at"))
+    return t.table("pages").select("page_id", F.size(text.split_line(url, "/")).alias("n_parts"), text.directory(url).alias("directory"), text.file_name(url).alias("file_name"), text.has_extension(url, ".html", ".php").alias("is_page"), text.find_ignoring_case(url, F.lit("PAGE")).cast("long").alias("at"))
 
 
 @query("SELECT p_partkey, p_partkey AS plain, p_partkey AS hexadecimal FROM part")
@@ -476,16 +484,126 @@ def result_csv(t: Tables) -> DataFrame:
     return results.csv_rows(_named(t)).withColumn("percent_kmers_found", F.round(F.col("percent_kmers_found").cast("double"), 3))
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT 'item ' || query_id AS query, num_kmers, num_kmers_found, 'DRR' || lpad((run_id + 1)::VARCHAR, 9, '0') AS run_accession FROM ({exact_sql(9, 0.5)}))
+SELECT query, 0.5::DOUBLE AS threshold, row_number() OVER (PARTITION BY query ORDER BY num_kmers_found DESC, run_accession) - 1 AS place, round(100.0::DOUBLE * num_kmers_found / num_kmers, 1) AS percent_kmers_found, num_kmers::BIGINT AS num_kmers, num_kmers_found::BIGINT AS num_kmers_found,
+ run_accession, nullif(experiment_library_source, '') AS library_source, nullif(number_of_bases, 0) AS number_of_bases, 'Center=' || center AS attributes, year(date_received) || '-' || month(date_received) || '-' || day(date_received) AS date_received
+FROM r JOIN ({RUNS_SQL}) USING (run_accession)
+""")
 def result_json(t: Tables) -> DataFrame:
-    """A JSON document for each item with hits."""
+    """The JSON documents of all items with hits, read again."""
     fields = ["run_accession", "experiment_library_source", "sample_taxa", "sample_attributes", "number_of_bases", "date_received"]
     rows = _named(t).join(t.runs, "run_accession").withColumn("info", F.struct(*fields))
-    return results.json_documents(rows, 0.5, fields)
+    meta = "struct<`run accession`: string, `experiment library source`: string, `number of bases`: bigint, `sample attributes`: array<struct<tag: string, value: string>>, `date received`: string>"
+    read = F.from_json("json", f"query string, threshold double, results array<struct<percent_kmers_found: double, num_kmers: bigint, num_kmers_found: bigint, sample_metadata: {meta}>>")
+    flat = results.json_documents(rows, 0.5, fields).select(read.alias("j")).select("j.query", "j.threshold", F.posexplode("j.results").alias("place", "r"))
+    pairs = F.array_join(F.transform("r.sample_metadata.sample attributes", lambda e: F.concat(e["tag"], F.lit("="), e["value"])), ";")
+    m = F.col("r.sample_metadata")
+    return flat.select("query", "threshold", F.col("place").cast("long").alias("place"), "r.percent_kmers_found", "r.num_kmers", "r.num_kmers_found", m["run accession"].alias("run_accession"), m["experiment library source"].alias("library_source"), m["number of bases"].alias("number_of_bases"), pairs.alias("attributes"), m["date received"].alias("date_received"))
 
 
-@query()
+@query(f"SELECT accession, read_index::VARCHAR AS number, score, seq, 'item ' || subject_id AS defline FROM ({reads_sql(0.02)}) JOIN {READS} USING (accession, read_index)")
 def read_tsv(t: Tables) -> DataFrame:
-    """The lines of a search in reads."""
+    """The lines of a search in reads, read again."""
     hits = search.reads(t.reads, t.items, 9, 0.02).join(t.reads, ["accession", "read_index", "read_subindex"])
-    return results.read_lines(hits.withColumn("defline", F.concat(F.lit("item "), F.col("subject_id").cast("string"))))
+    lines = results.read_lines(hits.withColumn("defline", F.concat(F.lit("item "), F.col("subject_id").cast("string"))))
+    part = F.split("line", "\t")
+    return lines.select(part[0].alias("accession"), part[1].alias("number"), F.round(part[2].cast("float").cast("double"), 6).alias("score"), part[3].alias("seq"), part[4].alias("defline"))
+
+
+# Runs, reads and states
+
+EVENT_OF = {"error": "fail", "signup": "download", "view": "bloom", "purchase": "database", "click": "other"}
+EVENT_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EVENT_OF.items()) + " END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id * 31 + day(ts) AS run_id, row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) AS nth, {EVENT_SQL} AS event FROM events),
+b AS (SELECT *, count(*) FILTER (event = 'fail') OVER w AS failed, count(*) FILTER (event = 'database') OVER w AS ended FROM e WINDOW w AS (PARTITION BY run_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, CASE event WHEN 'fail' THEN CASE WHEN failed = 2 THEN 'FAILED' ELSE 'INIT' END WHEN 'download' THEN 'DOWNLOAD_SUCCESS' WHEN 'bloom' THEN 'BLOOM_SUCCESS' WHEN 'database' THEN 'DATABASE_SUCCESS' END AS says FROM b WHERE failed < 3 AND ended = 0)
+SELECT run_id, coalesce(arg_max(says, nth) FILTER (says IS NOT NULL), 'INIT') AS state, (count(*) FILTER (event = 'fail'))::INT AS failures FROM c GROUP BY run_id
+""")
+def run_states(t: Tables) -> DataFrame:
+    """The state of a run (a user's day) after all of its events."""
+    e = t.table("events")
+    kind = F.create_map(*[F.lit(x) for pair in EVENT_OF.items() for x in pair])
+    return ingest.final_states(e.select((F.col("user_id") * 31 + F.dayofmonth("ts")).alias("run_id"), F.struct("ts", "event_id").alias("at"), kind[F.col("event_type")].alias("event")))
+
+
+@query("SELECT 'DRR' || lpad(o_orderkey::VARCHAR, 9, '0') AS run_accession, CASE WHEN o_orderstatus = 'F' THEN 17 ELSE o_orderkey % 30 + 1 END::INT AS status FROM orders")
+def status_marked(t: Tables) -> DataFrame:
+    """The states of runs (orders) with those on a list (finished orders) marked as built."""
+    listed = t.table("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("DRR"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("run_accession"))
+    return inventory.marked(t.status, listed, 17)
+
+
+@query("SELECT o_custkey AS part, max((o_orderkey % 30 + 1)::INT) AS status FROM orders GROUP BY o_custkey")
+def worst_status(t: Tables) -> DataFrame:
+    """The worst state in every part of a job."""
+    rows = t.table("orders").select(F.col("o_custkey").alias("part"), (F.col("o_orderkey") % 30 + 1).cast("int").alias("status"))
+    return inventory.worst(rows, "part")
+
+
+@query("""
+WITH m AS (SELECT max(o_orderkey) AS n FROM orders), p AS (SELECT part, n // 7 AS size, n % 7 AS rest, part * (n // 7) + greatest(0, part - (7 - n % 7)) AS first FROM m, range(7) r(part))
+SELECT part::INT AS part, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM p JOIN orders ON o_orderkey BETWEEN first + 1 AND first + size + (part >= 7 - rest)::INT GROUP BY part
+""")
+def read_ranges(t: Tables) -> DataFrame:
+    """Reads (orders by number) in seven contiguous ranges."""
+    reads = t.table("orders").select(F.col("o_orderkey").alias("read_index"))
+    parts = [sequences.read_range(reads, i, 7).agg(F.lit(i).alias("part"), F.count("*").alias("n"), F.min("read_index").alias("least"), F.max("read_index").alias("most")) for i in range(7)]
+    return reduce(DataFrame.unionByName, parts).where("n > 0")
+
+
+@query(f"SELECT accession, count(*) AS n_reads, sum(length(seq))::BIGINT AS n_bases FROM {READS} GROUP BY accession")
+def read_stats(t: Tables) -> DataFrame:
+    """Reads and bases of every run."""
+    return sequences.read_stats(t.reads)
+
+
+@query(f"SELECT run_accession, number_of_bases FROM ({RUNS_SQL}) ORDER BY number_of_bases, run_accession")
+def inventory_by_bases(t: Tables) -> DataFrame:
+    """The inventory, the smallest runs first."""
+    return inventory.by_bases(t.runs).select("run_accession", "number_of_bases")
+
+
+@query("SELECT DISTINCT unnest(CASE WHEN n_nationkey % 2 = 0 THEN ['Center', 'nation'] ELSE [] END) AS tag FROM nation UNION SELECT 'Center' FROM documents")
+def attribute_keys(t: Tables) -> DataFrame:
+    """The tags of all sample attributes."""
+    rows = t.samples.select("sample_attributes").union(t.runs.select("sample_attributes"))
+    return inventory.attribute_keys(rows)
+
+
+@query(f"SELECT run_accession, number_of_bases, experiment_library_source FROM ({RUNS_SQL}) WHERE run_accession IN {LISTED_SQL}")
+def inventory_lookup(t: Tables) -> DataFrame:
+    """Listed runs looked up in an inventory on disk."""
+    path = f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/inventory-{uuid.uuid4().hex}"
+    inventory.write(t.runs, path)
+    return inventory.lookup(inventory.read(t.spark, path), _listed(t)).select("run_accession", "number_of_bases", "experiment_library_source")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 < 2 THEN 'murmur32' END AS name FROM nation")
+def hash_names(t: Tables) -> DataFrame:
+    """Names of hash functions in several spellings, and names of none."""
+    given = F.element_at(F.array(F.lit("Murmur32"), F.lit(" MURMUR_HASH_32"), F.col("n_name")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return t.table("nation").select("n_nationkey", parse_hash_name(given).alias("name"))
+
+
+@query("""
+WITH g AS (SELECT * FROM (VALUES (0.25, 18, 32), (0.25, 8, 12), (0.1, 18, 20)) t(p, lo, hi)), w AS (SELECT g.*, j, bool_or(pow(1 - pow(1 - 1 / pow(2.0::DOUBLE, size), pow(2.0::DOUBLE, j) * h), h) <= p::REAL::DOUBLE) AS fits FROM g, range(1, 63) a(j), range(8, 33) b(size), range(1, 6) c(h) WHERE size BETWEEN lo AND hi GROUP BY ALL)
+SELECT p::DOUBLE AS p, lo::INT AS lo, hi::INT AS hi, min(1::BIGINT << j) AS most FROM w WHERE NOT fits GROUP BY ALL
+""")
+def most_kmers(t: Tables) -> DataFrame:
+    """How many windows are too many for filters of a false-positive rate and range of lengths."""
+    return t.spark.createDataFrame([(p, lo, hi, bloom.most_kmers(p, lo, hi)) for p, lo, hi in ((0.25, 18, 32), (0.25, 8, 12), (0.1, 18, 20))], "p double, lo int, hi int, most long")
+
+
+@query(f"""
+WITH c AS (SELECT id, count(DISTINCT kmer) AS n FROM ({windows_sql(DOCS)}) GROUP BY id), b AS (SELECT id, sum(length(seq))::BIGINT AS n_bases FROM {DOCS} GROUP BY id)
+SELECT p.id AS run_id, pow(2.0::DOUBLE, p.log_2_filter_len) / (2 * b.n_bases) AS deflation, p.n_kmers::DOUBLE / b.n_bases AS uniqueness FROM ({params_sql("(SELECT id, n AS n_kmers FROM c)")}) p JOIN b USING (id)
+""")
+def build_metrics(t: Tables) -> DataFrame:
+    """Bits of a filter for two bits a base of its run, and distinct windows a base."""
+    profile = kmers.profile(t.runs_seq, K).where("n_distinct > 0")
+    sized = bloom.bloom_params(profile, "n_distinct", shortest=SHORTEST, longest=LONGEST).where("num_hash is not null")
+    return sized.select(F.col("id").alias("run_id"), bloom.deflation(F.col("log_2_filter_len"), F.col("n_bases")).alias("deflation"), "uniqueness")

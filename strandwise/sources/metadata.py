@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import re
 import tarfile
 from collections.abc import Iterator
@@ -12,25 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.text import parse_date
+from strandwise.sources.files import file_names, open_stream
 
-TSV_COLUMNS = ["Accession", "Status", "Type", "Visibility", "Received", "Center", "Experiment", "Sample", "Study", "Spots", "Bases"]
+TSV_COLUMNS = ["Accession", "Status", "Updated", "Published", "Type", "Visibility", "Received", "Center", "Experiment", "Sample", "Study", "Spots", "Bases"]
 HIDDEN = ["suppressed", "controlled_access", "unpublished"]
 
 
 def tar_members(spark: SparkSession, *paths: str) -> DataFrame:
-    """(archive, member, text) of the files in tar and tar.gz archives."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    """(archive, member, text) of the files in tar and tar.gz archives, which are read as streams, a member at a time."""
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+            for path in frame["path"]:
+                with open_stream(path) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
                     for entry in archive:
                         if entry.isfile():
                             text = archive.extractfile(entry).read().decode("utf-8", "replace").replace("\r", "")
                             yield pd.DataFrame([(path, entry.name, text)], columns=["archive", "member", "text"])
 
-    return files.mapInPandas(members, "archive string, member string, text string")
+    return file_names(spark, *paths).mapInPandas(members, "archive string, member string, text string")
 
 
 def runs_from_tsv(spark: SparkSession, *paths: str) -> DataFrame:
@@ -38,12 +37,21 @@ def runs_from_tsv(spark: SparkSession, *paths: str) -> DataFrame:
 
     (run_accession, experiment_accession, sample_accession, study_accession,
     sample_attributes, number_of_spots, number_of_bases, date_received); the
-    center goes to the attributes, and the sample "Multiplex" is none.
+    center goes to the attributes, and the sample "Multiplex" is none. Columns
+    are found by their names in the header; a missing one is an error, and so
+    is a line of more or fewer fields than the header.
     """
-    rows = spark.read.csv(list(paths), sep="\t", header=True, nullValue="-", quote="")
-    missing = [c for c in TSV_COLUMNS if c not in rows.columns]
+    lines = spark.read.text(list(paths)).where("value <> ''").select(F.regexp_replace("value", "\r$", "").alias("line"))
+    head = lines.first()
+    names = head[0].split("\t") if head else []
+    missing = [c for c in TSV_COLUMNS if c not in names]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
+    fields = F.split("line", "\t", -1)
+    n = len(names)
+    whole = F.when(F.size(fields) == n, fields).otherwise(F.raise_error(F.concat(F.lit(f"a line has not {n} fields: "), F.substring("line", 1, 200))).cast("array<string>"))
+    body = lines.where(F.col("line") != F.lit(head[0])).select(whole.alias("f"))
+    rows = body.select(*[F.nullif(F.col("f")[names.index(c)], F.lit("-")).alias(c) for c in TSV_COLUMNS])
     seen = (F.col("Type") == "RUN") & ~F.coalesce(F.col("Status").isin(HIDDEN), F.lit(False)) & ~F.coalesce(F.col("Visibility").isin(HIDDEN[:2]), F.lit(False))
     number = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0).cast("long"))
     center = F.when(F.col("Center").isNotNull(), F.create_map(F.lit("Center"), F.col("Center"))).otherwise(F.create_map().cast("map<string,string>"))

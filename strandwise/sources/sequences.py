@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.text import has_extension
+from strandwise.sources.files import file_names, open_stream
 
 EXTENSIONS = {"fasta": (".fna", ".fasta", ".fa"), "fastq": (".fastq", ".fq")}
 SCHEMA = "source string, seq_id long, defline string, seq string"
@@ -58,39 +60,48 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     """The records of all sequence files at the paths (files or folders, searched deeply); other files are passed over.
 
     A file is one task's work, since records have no fixed bounds in a gzip
-    stream; it is read line by line, so records may be of any number.
+    stream; it is read as a stream, so files may be of any size and hold any
+    number of records.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
-    files = files.where(kind_column(F.col("path")).isNotNull())
+    files = file_names(spark, *paths).where(kind_column(F.col("path")).isNotNull())
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                raw = io.BytesIO(content)
-                stream = gzip.open(raw) if path.lower().endswith(".gz") else raw
-                lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
-                parser = parse_fasta if file_kind(path) == "fasta" else parse_fastq
-                rows, at = [], 0
-                for name, seq in parser(lines):
-                    rows.append((path, at, name, seq))
-                    at += 1
-                    if len(rows) == 10_000:
+            for path in frame["path"]:
+                with open_stream(path) as raw:
+                    stream = gzip.open(raw) if path.lower().endswith(".gz") else raw
+                    lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
+                    parser = parse_fasta if file_kind(path) == "fasta" else parse_fastq
+                    rows, size = [], 0
+                    for at, (name, seq) in enumerate(parser(lines)):
+                        rows.append((path, at, name, seq))
+                        size += len(seq)
+                        if len(rows) == 10_000 or size > 1 << 24:
+                            yield pd.DataFrame(rows, columns=["source", "seq_id", "defline", "seq"])
+                            rows, size = [], 0
+                    if rows:
                         yield pd.DataFrame(rows, columns=["source", "seq_id", "defline", "seq"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["source", "seq_id", "defline", "seq"])
 
     return files.mapInPandas(parse, SCHEMA)
 
 
 def fasta_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(source, defline, seq) of plain FASTA files by the text reader alone, which splits large files at the records."""
-    rows = spark.read.option("lineSep", ">").text(list(paths)).select(F.input_file_name().alias("source"), "value").where("trim(value) <> ''")
-    defline = F.regexp_extract("value", "^ *([^\r\n]*)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", "^[^\r\n]*", ""), r"\s", ""))
-    return rows.select("source", defline.alias("defline"), seq.alias("seq")).where("seq <> ''")
+    """(source, defline, seq) of plain FASTA files by the text reader alone, which splits large files at the records.
+
+    As for ``parse_fasta``, a line that holds ">" is a defline, wherever it
+    stands; only a ">" that begins a line is where a file is split.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(list(paths)).select(F.input_file_name().alias("source"), F.regexp_replace("value", "\r", "").alias("value"))
+    # a piece begins with a defline, or with what stands before the first one of its file; other deflines may follow
+    lines = F.split(F.concat(F.when(F.col("value").startswith(">"), F.lit("")).otherwise(F.lit(">")), F.col("value")), "\n")
+    step = lambda parts, line: F.when(line.contains(">"), F.concat(parts, F.array(F.struct(F.regexp_replace(line, "^[> ]+", "").alias("defline"), F.lit("").alias("seq"))))).otherwise(F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.struct(F.element_at(parts, -1)["defline"].alias("defline"), F.concat(F.element_at(parts, -1)["seq"], F.upper(F.regexp_replace(line, r"\s", ""))).alias("seq")))))
+    records = F.aggregate(lines, F.array().cast("array<struct<defline: string, seq: string>>"), step)
+    return rows.select("source", F.explode(records).alias("r")).select("source", "r.defline", "r.seq").where("seq <> ''")
+
+
+def read_stats(reads: DataFrame) -> DataFrame:
+    """(accession, n_reads, n_bases) of the reads of every run."""
+    return reads.groupBy("accession").agg(F.count("*").alias("n_reads"), F.sum(F.coalesce(F.length("seq"), F.lit(0)).cast("long")).alias("n_bases"))
 
 
 def read_range(reads: DataFrame, part: int, of: int) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise.functions import dna
 from strandwise.operators import index, inventory, kmers, packing, search
 
 SEQ = "id long, seq string"
@@ -50,44 +53,107 @@ def test_threshold_of_zero_matches_all(spark, data):
     assert {r.run_id for r in got} == set(runs)
 
 
-def test_index_has_no_false_negative_and_few_false_hits(data):
+def bits_of(rows):
+    """{run: set of bits} of postings."""
+    out = {}
+    for r in rows:
+        assert r.bit_pos not in out.setdefault(r.run_id, set())
+        out[r.run_id].add(r.bit_pos)
+    return out
+
+
+def plain_filters(runs, params, k):
+    from strandwise.functions.hashing import murmur3
+
+    out = {}
+    for p in params:
+        words = sorted(sets(runs[p.run_id], k))
+        rows = np.array([list(w.encode()) for w in words], np.uint8)
+        out[p.run_id] = set((murmur3(rows, range(p.num_hash)).astype(np.int64) & ((1 << p.log_2_filter_len) - 1)).ravel().tolist())
+    return out
+
+
+@pytest.mark.parametrize("dense_log", [20, 8])
+def test_index_in_all_its_forms(spark, data, dense_log):
+    """Filters filled run by run and bit by bit, against plain sets; blocks, slices, pairs, checksums."""
+    runs, queries, a, b = data
+    k = 7
+    counted = kmers.distinct(a, k)
+    params = index.run_params(counted, k, 15, 20)
+    rows = params.collect()
+    want = plain_filters(runs, rows, k)
+    built = index.build(counted, params, k, dense_log)
+    blocks = index.merged(built).cache()
+    assert bits_of(index.postings(blocks).collect()) == want
+    both = index.merge(built.where("run_id < 15"), built.where("run_id >= 10"))
+    assert bits_of(index.postings(both).collect()) == want
+    stored = index.checked(blocks)
+    assert index.damaged(stored).count() == 0 and index.damaged(stored.withColumn("crc32", F.col("crc32") + 1)).count() == blocks.count()
+    assert all(zlib.crc32(r.bits) == r.crc32 for r in stored.collect())
+    for r in index.occupancy(built).collect():
+        assert (r.n_set, r.places, r.share) == (len(want[r.run_id]), sum(want[r.run_id]), len(want[r.run_id]) / 2**r.log_2_filter_len)
+    ranks = packing.packed(params)
+    place = {(r.kmer_len, r.log_2_filter_len, r.num_hash, r.file, r.place): r.run_id for r in ranks.collect()}
+    got = {i: set() for i in want}
+    for r in index.slices(built, ranks).collect():
+        assert len(r.slice) == 256 and any(r.slice)
+        for p in range(2048):
+            if r.slice[p // 8] >> (p % 8) & 1:
+                got[place[r.kmer_len, r.log_2_filter_len, r.num_hash, r.file, p]].add(r.bit_pos)
+    assert got == want
+    kind = {p.run_id: (p.log_2_filter_len, p.num_hash) for p in rows}
+    pairs = spark.createDataFrame([(i, j) for i in kind for j in kind if i < 4], "left_id long, right_id long")
+    alike = {(i, j) for i in kind for j in kind if i < 4 and kind[i] == kind[j]}
+    assert {(r.left_id, r.right_id): (r.n_left, r.n_right, r.n_both, r.n_differ) for r in index.difference(blocks, pairs).collect()} == {(i, j): (len(want[i]), len(want[j]), len(want[i] & want[j]), len(want[i] ^ want[j])) for i, j in alike}
+    sizes = {(r.left_id, r.right_id): tuple(r)[2:] for r in index.combined_sizes(index.folded(blocks, 15), pairs).collect()}
+    fold = {i: {x % (1 << 15) for x in s} for i, s in want.items()}
+    flat = lambda s: (len(s), sum(s))
+    assert sizes == {(i, j): (*flat(fold[i] | fold[j]), *flat(fold[i] & fold[j]), *flat(fold[i] ^ fold[j])) for i in kind if i < 4 for j in kind}
+
+
+def brute_search(runs, filters, kind, queries, k, t):
+    from strandwise.functions.hashing import murmur3
+
+    out = set()
+    for q, seq in queries.items():
+        own = sorted(sets(seq, k))
+        if not own:
+            continue
+        hashes = murmur3(np.array([list(w.encode()) for w in own], np.uint8), range(5)).astype(np.int64)
+        for r, bits in filters.items():
+            length, h = kind[r]
+            n = sum(all(int(x) in bits for x in row[:h] & ((1 << length) - 1)) for row in hashes)
+            if n >= int(np.float32(t) * np.float32(len(own))):
+                out.add((q, r, len(own), n))
+    return out
+
+
+@pytest.mark.parametrize("part", [4096, 3])
+def test_search_over_slices(spark, data, tmp_path, monkeypatch, part):
     runs, queries, a, b = data
-    counted = kmers.distinct(a, 7)
-    params = index.run_params(counted, 7, 8, 20)
-    postings = index.build(counted, params, 7).cache()
-    got = {(r.query_id, r.run_id): r.num_kmers_found for r in index.search(postings, params, b, 7, 0.4).collect()}
-    want = brute(runs, queries, 7, 0.4)
-    assert all(got[q, r] >= n for q, r, _, n in want if sets(runs[r], 7))
-    both = index.merge(postings.where("run_id < 10"), postings.where("run_id >= 10"))
-    assert both.exceptAll(postings).count() == 0 and postings.exceptAll(both).count() == 0
-    dense = index.blocks(postings).cache()
-    assert index.damaged(dense).count() == 0
-    assert index.damaged(dense.withColumn("crc32", F.col("crc32") + 1)).count() == dense.count()
-    back = index.sparse(dense)
-    assert back.exceptAll(postings.select(back.columns)).count() == 0 and dense.agg(F.sum(F.bitmap_count("bits"))).first()[0] == back.count()
-    slices = index.slices(postings, packing.packed(params))
-    assert slices.agg(F.sum(F.bitmap_count("slice"))).first()[0] == postings.count()
-    pairs = params.alias("l").crossJoin(params.select(F.col("run_id").alias("right_id"))).select(F.col("run_id").alias("left_id"), "right_id")
-    for r in index.difference(postings, pairs).where("left_id < 3").collect():
-        bits = [{x.bit_pos for x in postings.where(F.col("run_id") == i).collect()} for i in (r.left_id, r.right_id)]
-        assert r.n_differ == len(bits[0] ^ bits[1])
-        if r.right_id > 4:
-            break
-
-
-def test_index_on_disk(spark, data, tmp_path):
-    _, _, a, b = data
-    counted = kmers.distinct(a, 7)
-    params = index.run_params(counted, 7, 8, 20)
-    postings = index.build(counted, params, 7)
-    index.write(postings, str(tmp_path / "index"))
-    read = spark.read.parquet(str(tmp_path / "index"))
-    assert {tuple(r) for r in index.search(read, params, b, 7, 0.5).collect()} == {tuple(r) for r in index.search(postings, params, b, 7, 0.5).collect()}
+    k = 7
+    monkeypatch.setattr(index, "SEARCH_WINDOWS", part)
+    counted = kmers.distinct(a, k)
+    params = index.run_params(counted, k, 15, 20)
+    rows = params.collect()
+    filters, kind = plain_filters(runs, rows, k), {p.run_id: (p.log_2_filter_len, p.num_hash) for p in rows}
+    ranks = packing.packed(params).cache()
+    slices = index.slices(index.build(counted, params, k), ranks)
+    index.write_slices(slices, str(tmp_path / "index"))
+    stored = index.read_slices(spark, str(tmp_path / "index"))
+    assert index.damaged_slices(stored).count() == 0 and stored.count() == slices.count()
+    dumped = {(r.log_2_filter_len, r.num_hash, r.bit_pos): r.bits for r in index.dump_slices(stored, 2000).collect()}
+    for r in stored.where("bit_pos < 2000").collect():
+        assert dumped[r.log_2_filter_len, r.num_hash, r.bit_pos] == "".join(str(r.slice[p // 8] >> (p % 8) & 1) for p in range(2048))
+    for t in (1.0, 0.4, 0.05):
+        got = {tuple(r) for r in index.search(stored, ranks, b, k, t).collect()}
+        assert got == brute_search(runs, filters, kind, queries, k, t)
+        assert {(q, r) for q, r, _, n in brute(runs, queries, k, t) if r in kind} <= {(q, r) for q, r, _, _ in got}
 
 
 def test_least_counts_and_limits(spark):
     seqs = spark.createDataFrame([(1, "ACGACGACG"), (2, None), (3, "ACG"), (4, "")], SEQ)
-    assert {(r.id, r.kmer, r.n) for r in kmers.abundant(seqs, 3, 3).collect()} == {(1, "ACG", 3)}
+    assert {(r.id, r.kmer, r.n) for r in kmers.abundant(seqs, 3, 3).withColumn("kmer", dna.decode(F.col("kmer"), 3)).collect()} == {(1, "ACG", 3)}
     assert {r.id for r in kmers.within_limit(kmers.distinct(seqs, 3), 1).collect()} == {3}
     assert {r.id: (r.n_kmers, r.n_distinct) for r in kmers.profile(seqs, 3).collect()} == {1: (7, 3), 2: (0, 0), 3: (1, 1), 4: (0, 0)}
 
@@ -110,6 +176,8 @@ def test_packing(spark):
     files = {(r.log_2_filter_len, r.file): r["count"] for r in packing.packed(params).groupBy("log_2_filter_len", "file").count().collect()}
     assert files == {(32, 0): 128, (32, 1): 128, (32, 2): 44, (18, 0): 2048, (18, 1): 152}
     assert packing.merge_plan([("a", 3), ("b", 5), ("c", 9)], 10) == [("b", "a", 8, 0), ("c", "b", 10, 7)]
+    # a file that is filled exactly is done
+    assert packing.merge_plan([("a", 3), ("b", 7), ("c", 9)], 10) == [("b", "a", 10, 0)]
 
 
 def test_inventory_edges(spark):
@@ -126,3 +194,25 @@ def test_inventory_edges(spark):
     with pytest.raises(ValueError):
         inventory.marked(status, b, 17)
     assert {tuple(r) for r in inventory.retried(status).collect()} == {("A", 1), ("B", 1)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 11, 16, 31])
+def test_window_codes(k):
+    rng = random.Random(k)
+    seqs = ["".join(rng.choices("ACGTacgtNu", [9] * 4 + [2] * 4 + [1, 1], k=rng.randint(0, 120))) for _ in range(40)] + ["", "A" * k, "ACGT" * 20]
+    data = np.frombuffer("".join(seqs).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+    for both in (True, False):
+        codes, row = dna.window_codes(data, offsets, k, both)
+        want = [(r, min(w, revcomp(w)) if both else w) for r, s in enumerate(seqs) for i in range(len(s) - k + 1) if set(w := s[i : i + k].upper()) <= set("ACGT")]
+        assert list(zip(row.tolist(), (x.tobytes().decode() for x in dna.letters_of(codes, k)))) == want
+
+
+def test_inventory_on_disk(spark, tmp_path):
+    runs = spark.createDataFrame([(f"R{i}", 5 - i % 3) for i in range(40)], "run_accession string, number_of_bases long")
+    inventory.write(runs, str(tmp_path / "i"))
+    listed = spark.createDataFrame([("R7",), ("R7",), ("X",)], "run_accession string")
+    assert [r.run_accession for r in inventory.lookup(inventory.read(spark, str(tmp_path / "i")), listed).collect()] == ["R7"]
+    assert [r.run_accession for r in inventory.by_bases(runs).limit(2).collect()] == ["R11", "R14"]
+    status = spark.createDataFrame([("C", 1), ("A", 1), ("B", 14), ("D", 1)], "run_accession string, status int")
+    assert [r.run_accession for r in inventory.pending(status, 2).collect()] == ["A", "C"]

@@ -2,7 +2,6 @@
 
 import duckdb
 
-from strandwise.operators import index
 from strandwise.plans import registry
 from strandwise.plans.base import K, seq_sql
 
@@ -20,18 +19,10 @@ def test_every_item_meets_the_next_one(spark):
     sets = windows()
     want = {(i, i + 1, len(own & sets.get(i + 1, set()))) for i, own in sets.items() if own}
     assert any(i % 2 for i, _, _ in want)
-    assert {tuple(r) for r in registry.QUERIES["kmer_set_pairs_all"](spark, DATA).select("left_id", "right_id", "n_both").collect()} == want
-
-
-def test_filters_of_every_pair_are_combined(spark):
-    filters = {1: {0, 3, 9}, 2: {3, 4}, 3: {3, 4}, 4: {7}, 9: {0}}
-    postings = spark.createDataFrame([(i, 11, 18, 3, b) for i, bits in filters.items() for b in bits], "run_id long, kmer_len int, log_2_filter_len int, num_hash int, bit_pos long")
-    pairs = spark.createDataFrame([(i, i + 1) for i in (1, 2, 3)], "left_id long, right_id long")
-    got = {(r.left_id, r.bit_pos): (r.in_left, r.in_right) for r in index.combine_pairs(postings, pairs).collect()}
-    assert got == {(i, b): (b in filters[i], b in filters[i + 1]) for i in (1, 2, 3) for b in filters[i] | filters[i + 1]}
+    assert {tuple(r) for r in registry.QUERIES["kmer_set_pairs"](spark, DATA).select("left_id", "right_id", "n_both").collect()} == want
 
 
 def test_no_document_is_left_out(spark):
     ids = {i for (i,) in duckdb.connect().execute(f"SELECT DISTINCT id FROM ({seq_sql(f"'{DATA}/documents.parquet'", 'doc_id')}) WHERE length(seq) >= {K}").fetchall()}
-    got = registry.QUERIES["filter_pairs_combined"](spark, DATA).select("left_id").collect()
+    got = registry.QUERIES["filter_union"](spark, DATA).select("left_id").collect()
     assert sorted(r.left_id for r in got) == sorted(i for i in ids if i + 1 in ids) and len(got) > 100

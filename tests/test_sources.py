@@ -1,8 +1,10 @@
 import gzip
 import io
 import json
+import random
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandwise.operators import index, inventory, kmers
@@ -19,8 +21,11 @@ def test_sequence_files(spark, tmp_path):
     got = {(r.defline, r.seq) for r in sequences.read(spark, str(tmp_path)).collect()}
     # a line that holds > is a defline, wherever it stands; an empty read ends its file
     assert got == {("one", "ACGTGG"), ("TT>three", "AC"), ("r1", "ACGT"), ("r2", "GG")}
-    (tmp_path / "d.fa").write_text(">one\nacg\n t \nGG\n>empty\n> two x\nTT\n")
-    assert {(r.defline, r.seq) for r in sequences.fasta_lines(spark, str(tmp_path / "d.fa")).collect()} == {("one", "ACGTGG"), ("two x", "TT")}
+    # the reader that splits files says the same of plain FASTA
+    (tmp_path / "d.fa").write_text("AC\n>one\nacg\n t \r\nGG\n>empty\n> two x\nTT\n>three\nAC>x\nGT\nG")
+    for name in ("a.FA", "d.fa"):
+        path = str(tmp_path / name)
+        assert {(r.defline, r.seq) for r in sequences.fasta_lines(spark, path).collect()} == {(r.defline, r.seq) for r in sequences.read(spark, path).collect()}
 
 
 def test_read_ranges(spark):
@@ -42,9 +47,16 @@ def test_inventory_from_archive(spark, tmp_path):
             entry = tarfile.TarInfo(name)
             entry.size = len(text)
             tar.addfile(entry, io.BytesIO(text.encode()))
-    head = "Accession\tStatus\tType\tVisibility\tReceived\tCenter\tExperiment\tSample\tStudy\tSpots\tBases"
+    head = "Accession\tStatus\tUpdated\tPublished\tType\tVisibility\tReceived\tCenter\tExperiment\tSample\tStudy\tSpots\tBases"
     rows = ["R1\tlive\tRUN\tpublic\t2010-03-24T03:10:22Z\tC1\tE1\tS1\tT1\t10\t1000", "R2\tlive\tRUN\tpublic\t-\t-\tE2\tMultiplex\tT1\t-\t-", "R3\tsuppressed\tRUN\tpublic\t-\t-\tE1\tS1\tT1\t1\t1", "R4\tlive\tRUN\tcontrolled_access\t-\t-\tE1\tS1\tT1\t1\t1", "X\tlive\tSTUDY\tpublic\t-\t-\t-\t-\t-\t-\t-", "R5\tlive\tRUN\tpublic\t2011-01-01\t-\tE9\tMultiplex\tT1\t-\t-"]
+    rows = [r.replace("\tRUN\t", "\t-\t-\tRUN\t").replace("\tSTUDY\t", "\t-\t-\tSTUDY\t") for r in rows]
     (tmp_path / "runs.tsv").write_text("\n".join([head, *rows]) + "\n")
+    (tmp_path / "ragged.tsv").write_text("\n".join([head, *rows, "R9\tlive"]) + "\n")
+    with pytest.raises(Exception, match="13 fields"):
+        metadata.runs_from_tsv(spark, str(tmp_path / "ragged.tsv")).collect()
+    (tmp_path / "short.tsv").write_text(head.replace("Published\t", "") + "\n")
+    with pytest.raises(ValueError, match="Published"):
+        metadata.runs_from_tsv(spark, str(tmp_path / "short.tsv"))
     members = metadata.tar_members(spark, str(tmp_path / "m.tar.gz"))
     runs = metadata.runs_from_tsv(spark, str(tmp_path / "runs.tsv"))
     for c in [*inventory.EXPERIMENT, "sample_taxa", "study_title", "study_abstract"]:
@@ -82,7 +94,7 @@ def test_ingest_goes_on_where_it_was(spark, tmp_path):
         spark.createDataFrame(rows, ingest.READS).coalesce(1).write.mode("append").parquet(folder)
 
     def run():
-        ingest.ingest(spark, folder, root, k=5, min_count=1, shortest=8, longest=20).awaitTermination()
+        ingest.ingest(spark, folder, root, k=5, min_count=1, shortest=15, longest=20).awaitTermination()
 
     add([(1, "ACGTTGCAAC"), (1, "GGGTTTACG"), (2, "AC")])
     run()
@@ -90,18 +102,39 @@ def test_ingest_goes_on_where_it_was(spark, tmp_path):
     run()
     run()
     assert {(r.run_id, r.status) for r in ingest.states_of(spark, root).collect()} == {(1, 14), (2, 16), (3, 14)}
-    seqs = spark.createDataFrame([(1, "ACGTTGCAAC"), (1, "GGGTTTACG"), (3, "TTTTTGCA")], "id long, seq string")
-    counted = kmers.abundant(seqs, 5, 1)
-    want = index.build(counted, index.run_params(counted, 5, 8, 20), 5)
-    postings, params = ingest.index_of(spark, root)
-    assert params.count() == 2 and postings.count() == want.count() and postings.exceptAll(want.select(postings.columns)).count() == 0
+    # run 1 has the reads of both batches
+    check_index(spark, root, [(1, "ACGTTGCAAC"), (1, "GGGTTTACG"), (3, "TTTTTGCA"), (1, "AAAAAAAAAA")], 1)
     assert ingest.files_of(spark, root).agg(F.count_distinct("file")).first()[0] == 1
 
 
+def check_index(spark, root, reads, min_count):
+    counted = kmers.abundant(spark.createDataFrame(reads, "id long, seq string"), 5, min_count)
+    params = index.run_params(counted, 5, 15, 20)
+    want = index.postings(index.merged(index.build(counted, params, 5)))
+    blocks, got = ingest.index_of(spark, root)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(got) == rows(params) and rows(index.postings(blocks)) == rows(want.select(index.postings(blocks).columns))
+
+
+@pytest.mark.parametrize("files_per_batch", [None, 1, 2])
+def test_index_does_not_depend_on_batches(spark, tmp_path, files_per_batch):
+    """Reads of the same runs in four files; windows reach their least count over batches only."""
+    rng = random.Random(3)
+    files = [[(rng.randint(1, 3), "".join(rng.choices("ACGT", k=rng.choice([3, 40, 90])))) for _ in range(8)] + [(9, "AC")] for _ in range(4)]
+    for rows in files:
+        spark.createDataFrame(rows, ingest.READS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), k=5, min_count=2, shortest=15, longest=20, files_per_batch=files_per_batch).awaitTermination()
+    check_index(spark, str(tmp_path / "out"), [r for rows in files for r in rows], 2)
+    assert {(r.run_id, r.status) for r in ingest.states_of(spark, str(tmp_path / "out")).collect()} == {(1, 14), (2, 14), (3, 14), (9, 16)}
+
+
 def test_run_states_over_a_stream(spark, tmp_path):
     events = [(1, "download"), (1, "bloom"), (1, "database"), (2, "fail"), (2, "fail"), (2, "download"), (3, "fail"), (3, "fail"), (3, "fail"), (3, "bloom")]
     spark.createDataFrame(events, "run_id long, event string").coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema("run_id long, event string").parquet(str(tmp_path / "e"))
     q = ingest.run_events(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {tuple(r) for r in spark.table("states").collect()} == {(1, "DATABASE_SUCCESS", 0), (2, "DOWNLOAD_SUCCESS", 2), (3, "FAILED", 3)}
+    want = {(1, "DATABASE_SUCCESS", 0), (2, "DOWNLOAD_SUCCESS", 2), (3, "FAILED", 3)}
+    assert {tuple(r) for r in spark.table("states").collect()} == want
+    table = spark.createDataFrame([(r, i, e) for i, (r, e) in enumerate(events)] + [(4, 99, "other")], "run_id long, at int, event string")
+    assert {tuple(r) for r in ingest.final_states(table).collect()} == want | {(4, "INIT", 0)}
