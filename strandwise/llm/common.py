@@ -10,10 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.operators.common import BROADCAST_BYTES, small_side  # noqa: F401
 from strandwise.session import discard, materialize, table  # noqa: F401
 
-#: A side is broadcast only if its rows times their width stay below this.
-BROADCAST_BYTES = 64 << 20
 #: Texts are worked on in slices of about this many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
 
@@ -171,11 +170,6 @@ def lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
 
-def small_side(df: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """``df`` marked for broadcast if its counted size allows it, else unmarked (a shuffled join)."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``ids``; rows without a key stay."""
     return docs.join(small_side(ids.select(key)), key, "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -315,7 +315,7 @@ def _dealt(keyed: DataFrame, radius: int, hot_points: int) -> tuple[DataFrame, D
     members = materialize(keyed.join(small_side(hot), "key"))
     middle = members.groupBy("key").agg(F.min_by(F.struct("id", *_FIELDS), "id").alias("middle"))
     far = sum((F.bit_count(F.col(f).bitwiseXOR(F.col("middle")[f])) for f in _FIELDS), F.lit(0))
-    members = materialize(members.join(small_side(middle, 96), "key").withColumn("near", far <= radius))
+    members = materialize(members.join(small_side(middle), "key").withColumn("near", far <= radius))
     star = members.where("near and id <> middle.id").select(F.col("id").alias("u"), F.col("middle.id").alias("v"))
     outside = members.where("not near").groupBy("key").agg(F.ceil(F.count("*") / hot_points).cast("int").alias("rest_blocks"))
     members = members.join(small_side(outside), "key").withColumn("blocks", F.ceil(F.col("n") / hot_points).cast("int"))

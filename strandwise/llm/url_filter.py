@@ -10,15 +10,23 @@ that the fewest URLs of the corpus have (counted over all of them); a URL
 looks up its tokens and runs the regular expressions of those rules only.
 Rules without a safe token are tried on every URL.
 
-All of this is joins and built-in expressions. A null URL matches nothing, an
-empty one only what an empty string matches; repeated rows are reported once,
-and ids may be null.
+All of this is joins and built-in expressions. Rules are a list or a table with
+a column ``rule``; RULES stands for a list of the usual kind.
+
+Defined cases: a null URL matches nothing, an empty one only what an empty
+string matches; an empty table of pages or of rules matches nothing. Pages are
+told apart by page_id, and rows without one by nothing, so of repeated rows,
+and of rows without page_id, each rule is reported once. Of equally rare tokens
+the longest, then the first one in the alphabet files a rule. URLs of any
+length are read whole, and further columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -88,19 +96,27 @@ def safe_tokens(rule: str) -> list[str]:
     return sorted(set(found))
 
 
-def matches(pages: DataFrame, rules: list[str] | None = None) -> DataFrame:
+def _compiled_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rules = batch.column("rule").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(rules, pa.string()), pa.array([compiled(r) for r in rules], pa.string()), pa.array([safe_tokens(r) for r in rules], pa.list_(pa.string()))], names=["rule", "pattern", "tokens"])
+
+
+def matches(pages: DataFrame, rules: list[str] | DataFrame | None = None) -> DataFrame:
     """(page_id, rule) of every page whose URL a rule matches."""
     spark = pages.sparkSession
     rules = RULES if rules is None else rules
-    known = spark.createDataFrame([(r, compiled(r), safe_tokens(r)) for r in dict.fromkeys(rules)], "rule string, pattern string, tokens array<string>")
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r,) for r in rules], "rule string")
+    known = rules.select("rule").where("rule is not null").distinct().mapInArrow(_compiled_rules, "rule string, pattern string, tokens array<string>")
     urls = pages.where(F.col("url").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.lower("url").alias("url"))
     tokens = urls.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("url", F.lit("[a-z0-9]+"), F.lit(0)))))
     by_token = known.select("rule", "pattern", F.explode("tokens").alias("token"))
     counts = tokens.join(small_side(by_token.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("rule").orderBy(F.coalesce("n", F.lit(0)), F.desc(F.length("token")), "token")
     index = by_token.join(counts, "token", "left").withColumn("place", F.row_number().over(rarest)).where("place = 1").select("token", "rule", "pattern")
-    filed = tokens.join(small_side(index, 256), "token")
-    loose = urls.crossJoin(small_side(known.where(F.size("tokens") == 0).select("rule", "pattern"), 256))
+    filed = tokens.join(small_side(index), "token")
+    loose = urls.crossJoin(small_side(known.where(F.size("tokens") == 0).select("rule", "pattern")))
     hit = F.expr("rlike(url, pattern)")
     return filed.where(hit).select("page_id", "rule").unionByName(loose.where(hit).select("page_id", "rule")).distinct()
 
