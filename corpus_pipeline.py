@@ -3,6 +3,12 @@
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and
 returns what it keeps, which is written as Parquet and read again as the docs
 of the next one. All but the last return the columns of documents.
+
+Defined cases are those of the stages: a document without characters is
+rejected by the first one, ids and other columns may be null or repeated, rows
+without a doc_id have no near copies, further columns travel with their row,
+texts of any length are read whole, ties go to the smallest doc_id, and empty
+tables give no bins.
 """
 
 from __future__ import annotations
