@@ -143,8 +143,12 @@ def _spliced(texts: list[str], good: list[int], seed: int = 7) -> tuple[list[str
 def train(texts: list[str], good: list[int]) -> Field:
     """The field fitted on labelled documents and on stretches of them put together."""
     more, states = _spliced(texts, good)
-    features, _, offsets = line_features(pa.array([*texts, *more], pa.large_string()))
-    whole = np.diff(offsets)[: len(texts)]
+    rows = pa.record_batch([pa.array([*texts, *more], pa.large_string())], names=["body"])
+    # some texts at a time, to bound the memory
+    parts = [line_features(cut) for _, cut in slices(rows, "body", 1 << 19)]
+    features = np.concatenate([f for f, _, _ in parts])
+    counts = np.concatenate([np.diff(o) for _, _, o in parts])
+    offsets, whole = np.concatenate([[0], np.cumsum(counts)]), counts[: len(texts)]
     truth = np.concatenate([np.repeat(np.array(good), whole), *states])
     weights, transitions = fit(lambda w: features @ w, lambda g: features.T @ g, (features.shape[1], 2), truth, offsets)
     return Field(weights, transitions)
