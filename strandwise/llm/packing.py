@@ -4,7 +4,8 @@ Documents are cut into pieces of at most CAPACITY tokens and the pieces are
 packed, longest first, each into the tightest bin that has room and holds
 neither its source nor its duplicate cluster. A token is a run of characters
 other than white space, and texts of the same tokens, whatever their case, are
-one cluster, unless the caller brings columns for either.
+one cluster, unless the caller brings columns for either. Groups of near copies
+may be given as further clusters, and the query over all documents does so.
 
 Bins are ordered by residual capacity. Each carries a bitmap of those of its
 sources that are among the HOT_SOURCES most frequent of the corpus, and a set
@@ -44,7 +45,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import NOT_SPACE, buffers, lower, materialize, mix, powers, slices, span_hashes, spans, table
+from strandwise.llm.common import NOT_SPACE, buffers, lower, materialize, mix, powers, slices, small_side, span_hashes, spans, table
+from strandwise.llm.simhash import near_groups
 
 CAPACITY = 2048
 SHARD_PIECES = 1_000_000
@@ -215,10 +217,11 @@ def _measured_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([cut.column("doc"), cut.column("source"), pa.array(count), pa.array(key.view(np.int64))], names=["doc", "source", "tokens", "key"])
 
 
-def pieces_of(docs: DataFrame, capacity: int, tokens: Column | None = None, cluster: Column | None = None) -> DataFrame:
+def pieces_of(docs: DataFrame, capacity: int, tokens: Column | None = None, cluster: Column | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(row, doc, piece, n, source, hot, keys) of every piece, written to the shared folder.
 
-    ``hot`` is the number of a frequent source, else null; ``keys`` has what else no bin may hold twice.
+    ``hot`` is the number of a frequent source, else null; ``keys`` has what
+    else no bin may hold twice. ``groups`` (id, root) has further clusters.
     """
     doc, source = F.col("doc_id").cast("long").alias("doc"), F.col("source").cast("string").alias("source")
     if (tokens is None) != (cluster is None):
@@ -237,7 +240,11 @@ def pieces_of(docs: DataFrame, capacity: int, tokens: Column | None = None, clus
     numbers = docs.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(hot)], "source string, hot int")
     of_cluster = F.when(F.col("several"), F.col("key")).when(F.col("key").isNull() & (F.col("pieces") > 1), alone)
     of_source = F.when(F.col("hot").isNull() & F.col("source").isNotNull(), F.xxhash64(F.lit("source"), "source"))
-    cut = rows.join(several, "key", "left").join(F.broadcast(numbers), "source", "left").withColumn("keys", F.array_compact(F.array(of_cluster, of_source)))
+    of_group = F.lit(None).cast("long")
+    if groups is not None:
+        rows = rows.join(small_side(groups.select(F.col("id").alias("doc"), "root")), "doc", "left")
+        of_group = F.when(F.col("root").isNotNull(), F.xxhash64(F.lit("group"), "root"))
+    cut = rows.join(several, "key", "left").join(F.broadcast(numbers), "source", "left").withColumn("keys", F.array_compact(F.array(of_cluster, of_group, of_source)))
     cut = cut.select("row", "doc", "tokens", "source", "hot", "keys", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     return materialize(cut.select("row", "doc", "piece", F.least(F.lit(capacity), F.col("tokens") - F.col("piece").cast("long") * capacity).cast("int").alias("n"), "source", "hot", "keys"))
 
@@ -270,9 +277,9 @@ def _packed(rows: DataFrame, shards: int, capacity: int, order: list) -> DataFra
     return dealt.sortWithinPartitions("shard", *order).select("shard", "id", "n", "hots", "keys").mapInArrow(_placed(capacity), f"shard int, id {kind}, bin long")
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None, cluster: Column | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = None, cluster: Column | None = None, groups: DataFrame | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(bin_id, doc_id, piece, first_token, n_tokens) of every piece of ``docs``."""
-    pieces = pieces_of(docs, capacity, tokens, cluster)
+    pieces = pieces_of(docs, capacity, tokens, cluster, groups)
     shards = max(1, -(-pieces.count() // shard_pieces))
     at = F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int").alias("shard")
     what = F.struct("doc", "piece", "n", "hot", "keys").alias("id")
@@ -314,5 +321,6 @@ def _joined(placed: DataFrame, capacity: int, most: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bins of all documents."""
-    return best_fit(table(spark, sf_dir, "documents"))
+    """The bins of all documents; near copies are one cluster, too."""
+    docs = table(spark, sf_dir, "documents")
+    return best_fit(docs, groups=near_groups(docs))

@@ -128,3 +128,25 @@ def plain_by_residual(pieces, capacity):
             bisect.insort(at[r - n], b)
         out.append(b)
     return out
+
+
+def test_near_copies_share_no_bin(spark):
+    from strandwise.llm.simhash import near_groups
+
+    rng = random.Random(6)
+    rows = []
+    for g in range(30):
+        words = [f"{rng.choice('bcdf')}{rng.randint(0, 99999)}" for _ in range(60)]
+        rows += [(g * 10 + c, " ".join(w if c == 0 or rng.random() > 0.03 else "x" + w for w in words), f"s{g}-{c}") for c in range(4)]
+    docs = packing.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    groups = near_groups(docs)
+    root = {r.id: r.root for r in groups.collect()}
+    assert len(root) == 120
+    bins = {}
+    for r in best_fit(docs, groups=groups).collect():
+        bins.setdefault(r.bin_id, []).append(root[r.doc_id])
+    assert all(len(set(b)) == len(b) for b in bins.values()) and len(bins) == 4
+    alone = {}
+    for r in best_fit(docs).collect():
+        alone.setdefault(r.bin_id, []).append(root[r.doc_id])
+    assert any(len(set(b)) < len(b) for b in alone.values())
