@@ -246,11 +246,8 @@ def append_slices(slices_: DataFrame, path: str) -> None:
 
 
 def read_slices(spark: SparkSession, *paths: str) -> DataFrame:
-    """The slices of the indexes at the paths, each searched deeply; files of several are told apart by their path."""
-    parts = []
-    for path in paths:
-        rows = spark.read.schema(SLICES + ", crc32 long").parquet(path)
-        parts.append(rows if len(paths) == 1 else rows.withColumn("index", F.lit(path)))
+    """The slices of the indexes at the paths, each searched deeply; the numbers of their files must differ."""
+    parts = [spark.read.schema(SLICES + ", crc32 long").parquet(path) for path in paths]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -216,3 +216,22 @@ def test_inventory_on_disk(spark, tmp_path):
     assert [r.run_accession for r in inventory.by_bases(runs).limit(2).collect()] == ["R11", "R14"]
     status = spark.createDataFrame([("C", 1), ("A", 1), ("B", 14), ("D", 1)], "run_accession string, status int")
     assert [r.run_accession for r in inventory.pending(status, 2).collect()] == ["A", "C"]
+
+
+def test_an_index_grows_by_files_and_is_found_under_several_paths(spark, data, tmp_path):
+    _, _, a, b = data
+    k = 7
+    counted = kmers.distinct(a, k)
+    params = index.run_params(counted, k, 15, 20)
+    ranks = packing.packed(params)
+    blocks = index.merged(index.build(counted, params, k)).cache()
+    want = {tuple(r) for r in index.search(index.slices(blocks, ranks), ranks, b, k, 0.4).collect()}
+    # the runs in two halves, each packed by itself, the files of the second numbered on
+    low, high = packing.packed(params.where("run_id < 12")), packing.packed(params.where("run_id >= 12")).withColumn("file", F.col("file") + 100)
+    index.write_slices(index.slices(blocks, low), str(tmp_path / "one"))
+    index.append_slices(index.slices(blocks, high), str(tmp_path / "one"))
+    index.write_slices(index.slices(blocks, low), str(tmp_path / "parts" / "a"))
+    index.write_slices(index.slices(blocks, high), str(tmp_path / "parts" / "b"))
+    both = low.unionByName(high)
+    for stored in (index.read_slices(spark, str(tmp_path / "one")), index.read_slices(spark, str(tmp_path / "parts" / "a"), str(tmp_path / "parts" / "b"))):
+        assert {tuple(r) for r in index.search(stored, both, b, k, 0.4).collect()} == want and want
