@@ -23,3 +23,42 @@ def test_matches_equal_every_rule_on_every_url(spark):
     want = {(i, r) for i, u in pages if u is not None for r in rules if re.search(compiled(r), u.lower())}
     assert got == want and len(want) > 500
     assert matches(docs.limit(0), rules).count() == 0 and matches(docs, []).count() == 0
+
+
+def by_hand(rule, url):
+    """Whether a rule matches, without regular expressions."""
+    rule, url = rule.lower(), url.lower()
+
+    def fits(p, u, end):
+        if p == "":
+            return u == "" if end else True
+        if p[0] == "*":
+            return any(fits(p[1:], u[i:], end) for i in range(len(u) + 1))
+        if p[0] == "^":
+            separates = u and not (u[0].isascii() and u[0].isalnum() or u[0] in "_.%-")
+            return bool(separates) and fits(p[1:], u[1:], end) or u == "" and fits(p[1:], "", end)
+        return u[:1] == p[0] and fits(p[1:], u[1:], end)
+
+    if rule.startswith("||"):
+        body, scheme = rule[2:], url.split("://", 1)
+        if len(scheme) < 2 or not scheme[0] or not scheme[0][0].isalpha() or any(not (c.isascii() and (c.isalnum() or c in "+.-")) for c in scheme[0]):
+            return False
+        host = re.split("[/?#]", scheme[1])[0]
+        starts = [len(scheme[0]) + 3 + i for i in range(len(host) + 1) if i == 0 or host[i - 1] == "."]
+    elif rule.startswith("|"):
+        body, starts = rule[1:], [0]
+    else:
+        body, starts = rule, range(len(url) + 1)
+    end = body.endswith("|")
+    return any(fits(body[:-1] if end else body, url[i:], end) for i in starts)
+
+
+def test_rules_mean_what_they_say(spark):
+    rng = random.Random(11)
+    parts = ["ads", "track", "m", "x", "de", "7", ".", "/", "?", "=", "&", "-", "_", "%", "a.b", "://", "http://", "+"]
+    urls = ["".join(rng.choices(parts, k=rng.randint(0, 7))) for _ in range(120)] + ["http://" + "".join(rng.choices(parts[:14], k=rng.randint(0, 6))) for _ in range(120)]
+    rules = list({rng.choice(["", "", "||", "|"]) + "".join(rng.choices([*parts, "*", "^", "^"], k=rng.randint(1, 4))) + rng.choice(["", "", "|"]) for _ in range(150)})
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.page_id, r.rule) for r in matches(pages, spark.createDataFrame([(r,) for r in [*rules, None]], "rule string")).collect()}
+    want = {(i, r) for i, u in enumerate(urls) for r in rules if by_hand(r, u)}
+    assert got == want and len(want) > 300, (list(got - want)[:5], list(want - got)[:5], [urls[i] for i, _ in list(got ^ want)[:5]])
