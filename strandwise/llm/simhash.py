@@ -252,8 +252,8 @@ def _edge_batches(radius: int):
 
 
 def tables_for(n: int, design: int = DESIGN_DISTANCE, recall: float = DESIGN_RECALL) -> tuple[int, int]:
-    """(bits sampled for a key, number of tables) for n fingerprints; buckets of random ones hold 32 to 64."""
-    sample = max(8, math.ceil(math.log2(max(n, 2))) - 6)
+    """(bits sampled for a key, number of tables) for n fingerprints; buckets of random ones hold 128 to 256."""
+    sample = max(8, math.ceil(math.log2(max(n, 2))) - 8)
     # the bits of a sample differ from each other, so none of the design bits that differ may be drawn
     hit = math.comb(BITS - design, sample) / math.comb(BITS, sample)
     return sample, math.ceil(math.log(1 - recall) / math.log(1 - hit))
