@@ -38,7 +38,16 @@ SLICES = "kmer_len int, log_2_filter_len int, num_hash int, file long, bit_pos l
 
 def run_params(counted: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], longest: int = bloom.LOG_LEN[1], p: float = bloom.FALSE_POSITIVE) -> DataFrame:
     """(run_id, kmer_len, log_2_filter_len, num_hash, n_kmers) of the runs of (id, kmer, n) that have a filter."""
-    sizes = counted.groupBy("id").agg(F.count("*").alias("n_kmers"))
+    return sized(counted.groupBy("id").agg(F.count("*").alias("n_kmers")), k, shortest, longest, p)
+
+
+def params_of(seqs: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], longest: int = bloom.LOG_LEN[1], p: float = bloom.FALSE_POSITIVE) -> DataFrame:
+    """``run_params`` of sequences (id, seq); their windows are counted where they are read."""
+    return sized(kmers.summary(seqs, k).select("id", F.col("n_distinct").alias("n_kmers")), k, shortest, longest, p)
+
+
+def sized(sizes: DataFrame, k: int, shortest: int, longest: int, p: float) -> DataFrame:
+    """``run_params`` of (id, n_kmers)."""
     fitted = bloom.bloom_params(sizes, "n_kmers", p, shortest, longest).where("num_hash is not null")
     return fitted.select(F.col("id").alias("run_id"), F.lit(k).alias("kmer_len"), "log_2_filter_len", "num_hash", "n_kmers")
 

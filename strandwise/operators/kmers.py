@@ -12,14 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from strandwise.functions import dna
 from strandwise.functions.arrow import cuts, pieces, raw
+from strandwise.operators.common import small_side
 
 LONGEST_WINDOW = 31
+#: The rows of a sequence that comes in several are joined if they have this many letters at most; those of a longer one never meet in a task.
+JOINED_LETTERS = 1 << 22
+SUMMARY = ["n_bases", "n_kmers", "n_distinct", "least", "most"]
 
 
 def _check(k: int) -> None:
@@ -57,21 +62,106 @@ def positions(seqs: DataFrame, k: int) -> DataFrame:
     return rows.where("kmer <> ''")
 
 
+def one_row_each(seqs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, seq, joins) with each sequence in one row, and the rows (id, seq) of those too long for that, or None.
+
+    What belongs to one row is worked out where the row is read, and no window
+    is shuffled. Rows of one id are joined by line ends, which break windows;
+    ``joins`` counts them.
+    """
+    seqs = seqs.select("id", "seq")
+    many = seqs.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("many"))
+    whole = seqs.withColumn("joins", F.lit(0).cast("long"))
+    if many.isEmpty():
+        return whole, None
+    own = F.col("id").eqNullSafe(F.col("many"))
+    many = small_side(many)
+    alone, again = whole.join(many, own, "left_anti"), seqs.join(many, own, "left_semi")
+    letters = F.coalesce(F.sum(F.length("seq").cast("long")), F.lit(0).cast("long"))
+    long = again.groupBy("id").agg(letters.alias("letters")).where(F.col("letters") > JOINED_LETTERS).select(F.col("id").alias("many"))
+    parts = None
+    if not long.isEmpty():
+        long = small_side(long)
+        again, parts = again.join(long, own, "left_anti"), again.join(long, own, "left_semi")
+    joined = again.groupBy("id").agg(F.array_join(F.collect_list("seq"), "\n").alias("seq"), F.greatest(F.count("seq") - 1, F.lit(0).cast("long")).alias("joins"))
+    return alone.unionByName(joined), parts
+
+
+def own_windows(texts: pa.Array, k: int, canonical: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of each window of every text once, sorted by row and code."""
+    codes, row = dna.window_codes(*raw(texts), k, canonical)
+    if 2 * k + len(texts).bit_length() <= 63:
+        key = row << (2 * k) | codes
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        row, codes = key[first] >> (2 * k), key[first] & ((1 << (2 * k)) - 1)
+        return row, codes, np.diff(first, append=len(key))
+    order = np.lexsort((codes, row))
+    codes, row = codes[order], row[order]
+    fresh = np.ones(len(codes), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(fresh)
+    return row[first], codes[first], np.diff(first, append=len(codes))
+
+
+def counted(seqs: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """(id, kmer, n): each canonical window that a sequence has at least ``least`` times."""
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in cuts(batch.column("seq")):
+                row, codes, n = own_windows(texts, k)
+                kept = n >= least
+                yield from pieces(pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[kept] + first)), pa.array(codes[kept]), pa.array(n[kept])], names=["id", "kmer", "n"]))
+
+    whole, parts = one_row_each(seqs)
+    out = whole.select("id", "seq").mapInArrow(run, StructType([seqs.schema["id"], StructField("kmer", LongType()), StructField("n", LongType())]))
+    if parts is None:
+        return out
+    return out.unionByName(windows(parts, k).groupBy("id", "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+
+
 def distinct(seqs: DataFrame, k: int) -> DataFrame:
     """(id, kmer) of each canonical window once."""
-    return windows(seqs, k).distinct()
+    return counted(seqs, k).select("id", "kmer")
 
 
 def abundant(seqs: DataFrame, k: int, least: int) -> DataFrame:
     """(id, kmer, n) of the canonical windows that a sequence has at least ``least`` times."""
-    return windows(seqs, k).groupBy("id", "kmer").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counted(seqs, k, least)
+
+
+def summary(seqs: DataFrame, k: int) -> DataFrame:
+    """(id, n_bases, n_kmers, n_distinct, least, most): letters of each sequence, its windows, and its first and last window in order, null if it has none."""
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in cuts(batch.column("seq")):
+                row, codes, n = own_windows(texts, k)
+                bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+                held = np.diff(bounds)
+                total = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds])
+                none = held == 0
+                ends = [np.where(none, 0, codes[np.minimum(at, len(codes) - 1)]) if len(codes) else np.zeros(len(texts), np.int64) for at in (bounds[:-1], bounds[1:] - 1)]
+                own = batch.slice(first, len(texts))
+                letters = pc.utf8_length(texts).to_numpy().astype(np.int64) - own.column("joins").to_numpy()
+                yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(letters), pa.array(total.astype(np.int64)), pa.array(held.astype(np.int64)), *(pa.array(e, mask=none) for e in ends)], names=["id", *SUMMARY])
+
+    whole, parts = one_row_each(seqs)
+    out = whole.mapInArrow(run, StructType([seqs.schema["id"], *(StructField(c, LongType()) for c in SUMMARY)]))
+    if parts is None:
+        return out
+    counts = windows(parts, k, with_length=True).groupBy("id", "kmer").agg(F.sum("n").alias("n"))
+    some = F.col("kmer").isNotNull()
+    sums = [F.sum(F.when(~some, F.col("n"))), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0).cast("long")), F.count("kmer"), F.min("kmer"), F.max("kmer")]
+    return out.unionByName(counts.groupBy("id").agg(*[c.alias(name) for c, name in zip(sums, SUMMARY)]))
 
 
 def profile(seqs: DataFrame, k: int) -> DataFrame:
     """(id, n_bases, n_kmers, n_distinct, uniqueness): windows of each sequence; uniqueness is distinct windows a base."""
-    counts = windows(seqs, k, with_length=True).groupBy("id", "kmer").agg(F.sum("n").alias("n"))
-    some = F.col("kmer").isNotNull()
-    sums = counts.groupBy("id").agg(F.sum(F.when(~some, F.col("n"))).alias("n_bases"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0).cast("long")).alias("n_kmers"), F.count("kmer").alias("n_distinct"))
+    sums = summary(seqs, k).select("id", "n_bases", "n_kmers", "n_distinct")
     return sums.withColumn("uniqueness", F.when(F.col("n_bases") > 0, F.col("n_distinct") / F.col("n_bases")).otherwise(F.lit(0.0)))
 
 
