@@ -54,3 +54,23 @@ def test_sequences_in_several_rows(spark, monkeypatch, joined, k):
         letters[i] += len(seq or "")
     sums = kmers.summary(seqs, k).withColumns({c: dna.decode(F.col(c), k) for c in ("least", "most")}).collect()
     assert {r.id: tuple(r)[1:] for r in sums} == {i: (letters[i], sum(c.values()), len(c), min(c, default=None), max(c, default=None)) for i, c in want.items()} and len(sums) == len(want)
+
+
+@pytest.mark.parametrize("held", [search.HELD_WINDOWS, 3])
+@pytest.mark.parametrize("joined", [kmers.JOINED_LETTERS, 0])
+@pytest.mark.parametrize("k", [5, 13])
+def test_exact_search(spark, monkeypatch, held, joined, k):
+    monkeypatch.setattr(kmers, "JOINED_LETTERS", joined)
+    monkeypatch.setattr(search, "HELD_WINDOWS", held)
+    rows, asked = some_rows(30, list(range(9)) + list(range(100, 120))), some_rows(9, list(range(40, 46)), 6)
+    rows += [(200, asked[0][1]), (201, asked[1][1] + "N" + asked[2][1])]
+    a, b = counts_of(rows, k), {i: c for i, c in counts_of([r for r in asked if r[0] is not None and r[0] > 0], k).items() if c}
+    got = search.exact(spark.createDataFrame(rows, SEQ).where("id is not null"), spark.createDataFrame(asked, SEQ).where("id > 0"), k, 0.3).collect()
+    want = {(q, r, len(own), len(own.keys() & c.keys())) for q, own in b.items() for r, c in a.items() if r is not None and len(own.keys() & c.keys()) >= int(len(own) * 0.3)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_windows_are_looked_up_where_a_run_is_read(spark):
+    runs = spark.createDataFrame([(i, "ACGTAC" * i) for i in range(1, 9)], SEQ)
+    wanted = search.query_sets(runs, 5)
+    assert exchanges(search.shared(runs, wanted, 5, 0.5)) == 0
