@@ -5,11 +5,16 @@ blocks of BLOCK_BITS bits. A file of the index holds the filters of up to 2048
 runs of the same parameters, transposed: one slice a bit of the filter, a
 bitmap of the runs that have it. A search reads the slices of the bits that
 its windows hash to, and nothing else.
+
+The filter of a short run is many times its text. What is worked out over the
+filters of runs (id, seq) without keeping them (``blocks_of``, ``differences``,
+``pair_sizes``, ``slices_of``, ``search_runs``) therefore moves the texts, and
+fills the filters in the task that uses them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
-from strandwise.functions import bloom
-from strandwise.functions.hashing import masked, window_hashes, with_hashes
+from strandwise.functions import bloom, dna
+from strandwise.functions.arrow import cuts, raw
+from strandwise.functions.hashing import masked, murmur3, window_hashes, with_hashes
 from strandwise.operators import kmers
 from strandwise.operators.common import small_side
-from strandwise.operators.search import finish, needed
+from strandwise.operators.search import finish, held_queries, needed, query_sets
 from strandwise.session import materialize
 
 MIN_COUNT = 5
@@ -30,6 +36,10 @@ BLOCK_BITS = 1 << 15
 BLOCK_BYTES = BLOCK_BITS // 8
 #: Filters up to this length (log 2) are filled run by run; the bits of longer ones are shuffled to their blocks.
 DENSE_LOG = 20
+#: The transposed bits of a file of filters up to this length (log 2) fit into one task (64 MB); files of longer ones are made block by block.
+FILE_LOG = 18
+#: So many windows of queries are held by every task of a search; with more, the slices are dealt to the windows.
+QUERY_WINDOWS = 1 << 20
 #: Windows of a query that one task looks at for one file.
 SEARCH_WINDOWS = 4096
 PARAMS = ["kmer_len", "log_2_filter_len", "num_hash"]
@@ -112,6 +122,72 @@ def merged(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("run_id", *PARAMS, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def fitted(whole: DataFrame, k: int, shortest: int, longest: int, p: float) -> DataFrame:
+    """(run_id, params, seq) of the rows of ``kmers.one_row_each`` that have a filter."""
+    rows = bloom.bloom_params(kmers.with_sizes(whole, k), "n_kmers", p, shortest, longest)
+    return rows.where("num_hash is not null and id is not null").select(F.col("id").alias("run_id"), F.lit(k).alias("kmer_len"), "log_2_filter_len", "num_hash", "seq")
+
+
+def _texts_bits(texts: pa.Array, length: np.ndarray, n_hash: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The bits that each text sets in its filter, in no order and with repeats."""
+    codes, row = dna.window_codes(*raw(texts), k)
+    hashes = np.empty((len(codes), int(n_hash.max(initial=1))), np.uint32)
+    for at in range(0, len(codes), 1 << 15):
+        hashes[at : at + (1 << 15)] = murmur3(dna.letters_of(codes[at : at + (1 << 15)], k), SEEDS[: hashes.shape[1]])
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    for i, (size, n) in enumerate(zip(length.tolist(), n_hash.tolist())):
+        yield hashes[bounds[i] : bounds[i + 1], :n].ravel() & np.uint32((1 << size) - 1)
+
+
+def _filled_blocks(bits: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, n x BLOCK_BYTES) of the blocks of a filter that aren't empty."""
+    if length <= DENSE_LOG:
+        flags = np.zeros(max(1 << length, BLOCK_BITS), np.uint8)
+        flags[bits] = 1
+        flags = flags.reshape(-1, BLOCK_BITS)
+        at = np.flatnonzero(flags.any(axis=1))
+        yield at, np.packbits(flags[at], axis=1, bitorder="little")
+        return
+    bits = np.unique(bits)
+    block = bits // BLOCK_BITS
+    own = np.unique(block)
+    for lo in range(0, len(own), 256):
+        some = bits[np.searchsorted(block, own[lo]) : np.searchsorted(block, own[min(lo + 256, len(own)) - 1], "right")]
+        flags = np.zeros((len(own[lo : lo + 256]), BLOCK_BITS), np.uint8)
+        flags[np.searchsorted(own[lo : lo + 256], some // BLOCK_BITS), some % BLOCK_BITS] = 1
+        yield own[lo : lo + 256].astype(np.int64), np.packbits(flags, axis=1, bitorder="little")
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as binary values."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def blocks_of(seqs: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], longest: int = bloom.LOG_LEN[1], p: float = bloom.FALSE_POSITIVE) -> DataFrame:
+    """(run_id, params, block, bits) of runs (id, seq): the filters as blocks of bits, each in one row and made where the run is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in cuts(batch.column("seq")):
+                own = batch.slice(first, len(texts))
+                length, n_hash = (own.column(c).to_numpy() for c in PARAMS[1:])
+                for i, bits in enumerate(_texts_bits(texts, length, n_hash, k)):
+                    for at, filled in _filled_blocks(bits, int(length[i])):
+                        yield pa.RecordBatch.from_arrays([*(own.column(c).take(pa.array(np.full(len(at), i))) for c in ("run_id", *PARAMS)), pa.array(at), _fixed(filled)], names=["run_id", *PARAMS, "block", "bits"])
+
+    whole, parts = kmers.one_row_each(seqs)
+    rows = fitted(whole, k, shortest, longest, p)
+    out = rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name != "seq"]).add("block", LongType()).add("bits", BinaryType()))
+    return out if parts is None else out.unionByName(_parts_blocks(parts, k, shortest, longest, p))
+
+
+def _parts_blocks(parts: DataFrame, k: int, shortest: int, longest: int, p: float) -> DataFrame:
+    """``blocks_of`` runs that are too long for one task."""
+    counted = materialize(kmers.distinct(parts, k))
+    return merged(build(counted, materialize(run_params(counted, k, shortest, longest, p)), k))
+
+
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:
     """The filters of two indexes as one; runs that both have are one run."""
     return merged(left.unionByName(right))
@@ -157,7 +233,12 @@ def _counted(blocks: DataFrame) -> DataFrame:
 
 def occupancy(blocks: DataFrame) -> DataFrame:
     """(run_id, log_2_filter_len, n_set, share, places): how full every filter is, and the sum of the places of its bits."""
-    full = _counted(merged(blocks)).groupBy("run_id", "log_2_filter_len").agg(F.sum("n").alias("n_set"), F.sum("places").alias("places"))
+    return occupied(merged(blocks))
+
+
+def occupied(blocks: DataFrame) -> DataFrame:
+    """``occupancy`` of blocks that come in one row each."""
+    full = _counted(blocks).groupBy("run_id", "log_2_filter_len").agg(F.sum("n").alias("n_set"), F.sum("places").alias("places"))
     return full.select("run_id", "log_2_filter_len", "n_set", (F.col("n_set") / F.pow(F.lit(2.0), "log_2_filter_len")).alias("share"), "places")
 
 
@@ -199,6 +280,72 @@ def difference(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("left_id", "right_id", "n_left", "n_right", "n_both", (F.col("n_left") + F.col("n_right") - 2 * F.col("n_both")).alias("n_differ"))
 
 
+def _compared(seqs: DataFrame, pairs: DataFrame, k: int, shortest: int, longest: int, p: float, log_2_len: int | None) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(left_id, right_id, n_left, n_right, n_both, places_left, places_right, places_both) of pairs of runs, and (blocks, pairs) of those with a run too long for one task.
+
+    The texts of both runs meet, and their filters are filled there: folded to
+    2**log_2_len bits, or as they are, for pairs of the same parameters.
+    """
+    whole, parts = kmers.one_row_each(seqs)
+    rows = fitted(whole, k, shortest, longest, p)
+    side = lambda name: rows.select(*[F.col(c).alias(f"{name}_{c.removeprefix('run_')}") for c in ("run_id", "log_2_filter_len", "num_hash", "seq")])
+    met = pairs.select("left_id", "right_id").join(side("left"), "left_id").join(side("right"), "right_id")
+    if log_2_len is None:
+        met = met.where("left_log_2_filter_len = right_log_2_filter_len and left_num_hash = right_num_hash")
+    sums = ["n_left", "n_right", "n_both", "places_left", "places_right", "places_both"]
+
+    def sets(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+        for first, texts in cuts(batch.column(f"{name}_seq")):
+            length, n_hash = (batch.column(f"{name}_{c}").to_numpy()[first : first + len(texts)] for c in PARAMS[1:])
+            for size, bits in zip(length.tolist(), _texts_bits(texts, length, n_hash, k)):
+                size, bits = (size, bits) if log_2_len is None else (log_2_len, bits & np.uint32((1 << log_2_len) - 1))
+                if size > DENSE_LOG:
+                    yield np.unique(bits).astype(np.int64)
+                else:
+                    flags = np.zeros(1 << size, bool)
+                    flags[bits] = True
+                    yield np.flatnonzero(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((len(sums), batch.num_rows), np.int64)
+            for i, (a, b) in enumerate(zip(sets(batch, "left"), sets(batch, "right"))):
+                both = np.intersect1d(a, b, assume_unique=True)
+                out[:, i] = len(a), len(b), len(both), a.sum(), b.sum(), both.sum()
+            yield pa.RecordBatch.from_arrays([batch.column("left_id"), batch.column("right_id"), *map(pa.array, out)], names=["left_id", "right_id", *sums])
+
+    schema = StructType([met.schema["left_id"], met.schema["right_id"]])
+    for name in sums:
+        schema.add(name, LongType())
+    out = met.mapInArrow(run, schema)
+    if parts is None:
+        return out, None
+    long = materialize(parts.select("id").distinct())
+    left, right = (small_side(long.select(F.col("id").alias(c))) for c in ("left_id", "right_id"))
+    rest = materialize(pairs.select("left_id", "right_id").join(left, "left_id", "left_semi").union(pairs.select("left_id", "right_id").join(right, "right_id", "left_semi")).distinct())
+    own = rest.select(F.col("left_id").alias("id")).union(rest.select("right_id")).distinct()
+    return out, (materialize(blocks_of(seqs.join(small_side(own), "id", "left_semi"), k, shortest, longest, p)), rest)
+
+
+def differences(seqs: DataFrame, pairs: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], longest: int = bloom.LOG_LEN[1], p: float = bloom.FALSE_POSITIVE) -> DataFrame:
+    """``difference`` of the filters of pairs of runs (id, seq), from their texts."""
+    met, rest = _compared(seqs, pairs, k, shortest, longest, p, None)
+    out = met.select("left_id", "right_id", "n_left", "n_right", "n_both", (F.col("n_left") + F.col("n_right") - 2 * F.col("n_both")).alias("n_differ"))
+    return out if rest is None else out.unionByName(difference(*rest))
+
+
+def pair_sizes(seqs: DataFrame, pairs: DataFrame, k: int, log_2_len: int, shortest: int = bloom.LOG_LEN[0], longest: int = bloom.LOG_LEN[1], p: float = bloom.FALSE_POSITIVE) -> DataFrame:
+    """``combined_sizes`` of the filters of pairs of runs (id, seq), folded to 2**log_2_len bits, from their texts."""
+    met, rest = _compared(seqs, pairs, k, shortest, longest, p, log_2_len)
+    both = lambda c, times: F.col(f"{c}_left") + F.col(f"{c}_right") - times * F.col(f"{c}_both")
+    ways = {"union": lambda c: both(c, 1), "intersect": lambda c: F.col(f"{c}_both"), "xor": lambda c: both(c, 2)}
+    out = met.select("left_id", "right_id", *[way(c).alias(f"{c}_{name}") for name, way in ways.items() for c in ("n", "places")])
+    if rest is None:
+        return out
+    blocks, pairs = rest
+    return out.unionByName(combined_sizes(folded(blocks, log_2_len), pairs))
+
+
 def combine(blocks: DataFrame, left: int, right: int, how: str) -> DataFrame:
     """(bit_pos) of two filters of the same parameters put together by "or", "and", "xor" or "minus"."""
     bits = postings(blocks)
@@ -242,6 +389,75 @@ def slices(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.groupBy(*PARAMS, "file", "block").applyInArrow(transposed, SLICES)
 
 
+def _files(seqs: DataFrame, ranks: DataFrame, k: int, use: Callable[[tuple[int, int, int, int], np.ndarray], Iterator[pa.RecordBatch]], schema: StructType | str) -> tuple[DataFrame, DataFrame | None]:
+    """What ``use`` yields for (params, file) and the transposed bits (n x bytes of a slice) of every file of short filters, and the slices of the files of longer ones, or None.
+
+    The texts of a file's runs go to one task, one after the other.
+    """
+    whole, parts = kmers.one_row_each(seqs)
+    at = ranks.select(F.col("run_id").alias("id"), *PARAMS, "file", "place")
+    short = F.col("log_2_filter_len") <= FILE_LOG
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    rows = whole.join(small_side(at.where(short)), "id").select(*PARAMS, "file", "place", "seq", none("block", "long"), none("bits", "binary"))
+    if parts is not None:
+        counted = materialize(kmers.distinct(parts, k))
+        blocks = merged(build(counted, materialize(ranks.select("run_id", *PARAMS).join(small_side(parts.select(F.col("id").alias("run_id")).distinct()), "run_id", "left_semi")), k))
+        blocks = blocks.where(short).select(F.col("run_id").alias("id"), "block", "bits")
+        rows = rows.unionByName(blocks.join(small_side(at.where(short)), "id").select(*PARAMS, "file", "place", none("seq", "string"), "block", "bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, filled = None, np.zeros((0, 0), np.uint8)
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (*PARAMS, "file")], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if batch.num_rows else []
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                if key != tuple(keys[lo].tolist()):
+                    if key is not None:
+                        yield from use(key, filled)
+                    key = tuple(keys[lo].tolist())
+                    shape = (1 << key[1], min(bloom.FILTERS_PER_FILE, bloom.FILE_BITS >> key[1]) // 8)
+                    if filled.shape == shape:
+                        filled[:] = 0
+                    else:
+                        filled = np.zeros(shape, np.uint8)
+                part, flat = batch.slice(lo, hi - lo), filled.reshape(-1)
+                place = part.column("place").to_numpy()
+
+                def add(i: int, bits: np.ndarray) -> None:
+                    flat[bits.astype(np.int64) * filled.shape[1] + (int(place[i]) >> 3)] |= np.uint8(1 << (int(place[i]) & 7))
+
+                for first, texts in cuts(part.column("seq")):
+                    for i, bits in enumerate(_texts_bits(texts, np.full(len(texts), key[1]), np.full(len(texts), key[2]), k)):
+                        add(first + i, bits)
+                for i in np.flatnonzero(part.column("bits").is_valid().to_numpy(zero_copy_only=False)):
+                    own = np.frombuffer(part.column("bits")[int(i)].as_py(), np.uint8)
+                    add(i, np.flatnonzero(np.unpackbits(own, bitorder="little")) + part.column("block")[int(i)].as_py() * BLOCK_BITS)
+        if key is not None:
+            yield from use(key, filled)
+
+    out = rows.repartition(*PARAMS, "file").sortWithinPartitions(*PARAMS, "file").mapInArrow(run, schema)
+    long = ranks.where(~short)
+    if long.isEmpty():
+        return out, None
+    own = seqs.join(small_side(long.select(F.col("run_id").alias("id"))), "id", "left_semi")
+    return out, slices(merged(build(materialize(kmers.distinct(own, k)), long, k)), long)
+
+
+def slices_of(seqs: DataFrame, ranks: DataFrame, k: int, below: int | None = None) -> DataFrame:
+    """``slices`` of runs (id, seq), of the bits below a limit if there is one."""
+
+    def use(key: tuple[int, int, int, int], filled: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(filled[:below].any(axis=1))
+        for some in (at[lo : lo + 8192] for lo in range(0, len(at), 8192)):
+            same = [pa.array(np.full(len(some), v), t) for v, t in zip(key, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(some), _fixed(filled[some])], names=[*PARAMS, "file", "bit_pos", "slice"])
+
+    out, long = _files(seqs, ranks, k, use, SLICES)
+    if long is not None:
+        out = out.unionByName(long)
+    return out if below is None else out.where(F.col("bit_pos") < below)
+
+
 def write_slices(slices_: DataFrame, path: str) -> None:
     """Writes the slices of an index: a folder for each set of parameters, sorted by bit, so that a search reads the row groups it needs; each with its checksum."""
     rows = slices_.withColumn("crc32", F.crc32("slice"))
@@ -295,6 +511,12 @@ def search(slices_: DataFrame, ranks: DataFrame, queries: DataFrame, k: int, thr
     share a bit. A long query is cut into parts of about SEARCH_WINDOWS
     windows, whose counts are added up.
     """
+    hits, totals = _hits(slices_, ranks, queries, k, threshold)
+    return finish(hits, totals, ranks.select("run_id"), threshold)
+
+
+def _hits(slices_: DataFrame, ranks: DataFrame, queries: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The hits of ``search`` and (query_id, num_kmers)."""
     wanted = materialize(query_bits(queries, ranks, k))
     parts = F.ceil(F.col("num_kmers") / SEARCH_WINDOWS).cast("int")
     met = slices_.select(*PARAMS, "file", "bit_pos", "slice").join(small_side(wanted), ["log_2_filter_len", "num_hash", "bit_pos"])
@@ -324,5 +546,45 @@ def search(slices_: DataFrame, ranks: DataFrame, queries: DataFrame, k: int, thr
     found = met.groupBy("query_id", *PARAMS, "file", "part").applyInArrow(counted, schema)
     found = found.groupBy("query_id", *PARAMS, "file", "num_kmers", "place").agg(F.sum("found").cast("int").alias("num_kmers_found"))
     totals = wanted.select("query_id", "num_kmers").distinct()
+    return _placed(found, ranks, threshold), totals
+
+
+def _placed(found: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
+    """The runs of (query_id, params, file, place, num_kmers, num_kmers_found) that hold enough."""
     hits = found.where(F.col("num_kmers_found") >= needed(threshold, F.col("num_kmers"))).join(small_side(ranks.select("run_id", *PARAMS, "file", "place")), [*PARAMS, "file", "place"])
-    return finish(hits.select("query_id", "run_id", "num_kmers", "num_kmers_found"), totals, ranks.select("run_id"), threshold)
+    return hits.select("query_id", "run_id", "num_kmers", "num_kmers_found")
+
+
+def search_runs(seqs: DataFrame, ranks: DataFrame, queries: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``search`` in the filters of runs (id, seq) whose index isn't stored: each file is searched in the task that fills it."""
+    own = query_sets(queries, k)
+    table = held_queries(own, QUERY_WINDOWS)
+    if table is None:
+        return search(slices_of(seqs, ranks, k), ranks, queries, k, threshold)
+    names = ["query_id", *PARAMS, "file", "num_kmers", "place", "num_kmers_found"]
+    hashes = window_hashes(table.codes, k, SEEDS)
+
+    def use(key: tuple[int, int, int, int], filled: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits, width = hashes[:, : key[2]] & ((1 << key[1]) - 1), filled.shape[1] * 8
+        window, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(bits), 4096):
+            held = filled[bits[lo : lo + 4096, 0]]
+            for seed in range(1, key[2]):
+                held &= filled[bits[lo : lo + 4096, seed]]
+            row, byte = np.nonzero(held)
+            at, inner = np.nonzero(np.unpackbits(held[row, byte][:, None], axis=1, bitorder="little"))
+            window.append(row[at] + lo)
+            place.append(byte[at] * 8 + inner)
+        query, at, found = table.counts(np.concatenate(window), np.concatenate(place), width)
+        total = table.totals[query]
+        kept = found >= np.maximum(1, np.floor(np.float32(threshold) * total.astype(np.float32)).astype(np.int64))
+        query, at, found, total = query[kept], at[kept], found[kept], total[kept]
+        same = [pa.array(np.full(len(at), v), t) for v, t in zip(key, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([table.ids.take(pa.array(query)), *same, pa.array(total, pa.int32()), pa.array(at, pa.int32()), pa.array(found, pa.int32())], names=names)
+
+    schema = StructType().add("query_id", queries.schema["id"].dataType).add("kmer_len", IntegerType()).add("log_2_filter_len", IntegerType()).add("num_hash", IntegerType()).add("file", LongType()).add("num_kmers", IntegerType()).add("place", IntegerType()).add("num_kmers_found", IntegerType())
+    found, long = _files(seqs, ranks, k, use, schema)
+    hits = _placed(found, ranks, threshold)
+    if long is not None:
+        hits = hits.unionByName(_hits(materialize(long), ranks, queries, k, threshold)[0])
+    return finish(hits, own.select("query_id", "num_kmers").distinct(), ranks.select("run_id"), threshold)

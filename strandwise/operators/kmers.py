@@ -159,6 +159,19 @@ def summary(seqs: DataFrame, k: int) -> DataFrame:
     return out.unionByName(counts.groupBy("id").agg(*[c.alias(name) for c, name in zip(sums, SUMMARY)]))
 
 
+def with_sizes(whole: DataFrame, k: int) -> DataFrame:
+    """``whole`` (of ``one_row_each``) with the number of distinct windows of each row in n_kmers."""
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in cuts(batch.column("seq")):
+                row, _, _ = own_windows(texts, k)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(np.bincount(row, minlength=len(texts)))], names=[*batch.schema.names, "n_kmers"])
+
+    return whole.mapInArrow(run, StructType([*whole.schema.fields, StructField("n_kmers", LongType())]))
+
+
 def profile(seqs: DataFrame, k: int) -> DataFrame:
     """(id, n_bases, n_kmers, n_distinct, uniqueness): windows of each sequence; uniqueness is distinct windows a base."""
     sums = summary(seqs, k).select("id", "n_bases", "n_kmers", "n_distinct")

@@ -74,3 +74,36 @@ def test_windows_are_looked_up_where_a_run_is_read(spark):
     runs = spark.createDataFrame([(i, "ACGTAC" * i) for i in range(1, 9)], SEQ)
     wanted = search.query_sets(runs, 5)
     assert exchanges(search.shared(runs, wanted, 5, 0.5)) == 0
+
+
+@pytest.mark.parametrize("joined", [kmers.JOINED_LETTERS, 0])
+@pytest.mark.parametrize("file_log", [index.FILE_LOG, 15, 14])
+def test_filters_from_texts_are_the_stored_ones(spark, monkeypatch, joined, file_log):
+    from strandwise.operators import packing
+
+    monkeypatch.setattr(kmers, "JOINED_LETTERS", joined)
+    monkeypatch.setattr(index, "FILE_LOG", file_log)
+    rng, k, limits = random.Random(3), 11, (15, 17)
+    rows = some_rows(30, list(range(9)) + list(range(100, 120)))
+    rows += [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in ((10, 9000), (11, 9000), (12, 20000), (12, 9000))]
+    seqs, queries = spark.createDataFrame(rows, SEQ), spark.createDataFrame([(1, rows[-1][1][:80]), (2, rows[-2][1][:300]), (3, rows[5][1]), (4, "ACG")], SEQ)
+    params = index.run_params(kmers.windows(seqs, k).distinct(), k, *limits)
+    assert {tuple(r) for r in index.params_of(seqs, k, *limits).collect()} == {tuple(r) for r in params.collect()}
+    ranks = packing.packed(params).cache()
+    stored = index.merged(index.build(kmers.windows(seqs, k).distinct(), ranks, k)).cache()
+    assert stored.select("log_2_filter_len").distinct().count() > 1
+    plain = lambda df, columns=None: sorted(map(tuple, df.select(columns or df.columns).collect()))
+    columns = ["run_id", *index.PARAMS, "block", "bits"]
+    own = index.blocks_of(seqs, k, *limits)
+    assert plain(own, columns) == plain(stored, columns)
+    assert plain(index.occupied(own)) == plain(index.occupancy(stored))
+    pairs = spark.createDataFrame([(i, j) for i in (0, 1, 10, 11, 12, 100) for j in (1, 2, 11, 12, 999)], "left_id long, right_id long")
+    assert plain(index.differences(seqs, pairs, k, *limits)) == plain(index.difference(stored, pairs))
+    want = index.combined_sizes(index.folded(stored, 15), pairs)
+    assert plain(index.pair_sizes(seqs, pairs, k, 15, *limits), want.columns) == plain(want)
+    slices = index.slices(stored, ranks)
+    assert plain(index.slices_of(seqs, ranks, k)) == plain(slices) and plain(index.slices_of(seqs, ranks, k, 99)) == plain(slices.where("bit_pos < 99"))
+    for most in (index.QUERY_WINDOWS, 5):
+        monkeypatch.setattr(index, "QUERY_WINDOWS", most)
+        for threshold in (0.3, 1.0):
+            assert plain(index.search_runs(seqs, ranks, queries, k, threshold)) == plain(index.search(slices, ranks, queries, k, threshold))
