@@ -24,7 +24,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from strandwise.functions import bloom, dna
 from strandwise.functions.arrow import cuts, raw
-from strandwise.functions.hashing import masked, murmur3, window_hashes, with_hashes
+from strandwise.functions.hashing import masked, murmur3_windows, window_hashes, with_hashes
 from strandwise.operators import kmers
 from strandwise.operators.common import small_side
 from strandwise.operators.search import finish, held_queries, needed, query_sets
@@ -131,9 +131,7 @@ def fitted(whole: DataFrame, k: int, shortest: int, longest: int, p: float) -> D
 def _texts_bits(texts: pa.Array, length: np.ndarray, n_hash: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The bits that each text sets in its filter, in no order and with repeats."""
     codes, row = dna.window_codes(*raw(texts), k)
-    hashes = np.empty((len(codes), int(n_hash.max(initial=1))), np.uint32)
-    for at in range(0, len(codes), 1 << 15):
-        hashes[at : at + (1 << 15)] = murmur3(dna.letters_of(codes[at : at + (1 << 15)], k), SEEDS[: hashes.shape[1]])
+    hashes = murmur3_windows(codes, k, SEEDS[: int(n_hash.max(initial=1))])
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
     for i, (size, n) in enumerate(zip(length.tolist(), n_hash.tolist())):
         yield hashes[bounds[i] : bounds[i + 1], :n].ravel() & np.uint32((1 << size) - 1)
@@ -172,9 +170,20 @@ def blocks_of(seqs: DataFrame, k: int, shortest: int = bloom.LOG_LEN[0], longest
             for first, texts in cuts(batch.column("seq")):
                 own = batch.slice(first, len(texts))
                 length, n_hash = (own.column(c).to_numpy() for c in PARAMS[1:])
+                held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+                def done() -> pa.RecordBatch:
+                    row, at, filled = map(np.concatenate, zip(*held))
+                    held.clear()
+                    return pa.RecordBatch.from_arrays([*(own.column(c).take(pa.array(row)) for c in ("run_id", *PARAMS)), pa.array(at), _fixed(filled)], names=["run_id", *PARAMS, "block", "bits"])
+
                 for i, bits in enumerate(_texts_bits(texts, length, n_hash, k)):
                     for at, filled in _filled_blocks(bits, int(length[i])):
-                        yield pa.RecordBatch.from_arrays([*(own.column(c).take(pa.array(np.full(len(at), i))) for c in ("run_id", *PARAMS)), pa.array(at), _fixed(filled)], names=["run_id", *PARAMS, "block", "bits"])
+                        held.append((np.full(len(at), i), at, filled))
+                        if sum(len(x) for x, _, _ in held) >= 512:
+                            yield done()
+                if held:
+                    yield done()
 
     whole, parts = kmers.one_row_each(seqs)
     rows = fitted(whole, k, shortest, longest, p)
@@ -297,21 +306,19 @@ def _compared(seqs: DataFrame, pairs: DataFrame, k: int, shortest: int, longest:
     def sets(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
         for first, texts in cuts(batch.column(f"{name}_seq")):
             length, n_hash = (batch.column(f"{name}_{c}").to_numpy()[first : first + len(texts)] for c in PARAMS[1:])
-            for size, bits in zip(length.tolist(), _texts_bits(texts, length, n_hash, k)):
-                size, bits = (size, bits) if log_2_len is None else (log_2_len, bits & np.uint32((1 << log_2_len) - 1))
-                if size > DENSE_LOG:
-                    yield np.unique(bits).astype(np.int64)
-                else:
-                    flags = np.zeros(1 << size, bool)
-                    flags[bits] = True
-                    yield np.flatnonzero(flags)
+            for bits in _texts_bits(texts, length, n_hash, k):
+                bits = np.sort(bits if log_2_len is None else bits & np.uint32((1 << log_2_len) - 1))
+                fresh = np.ones(len(bits), bool)
+                fresh[1:] = bits[1:] != bits[:-1]
+                yield bits[fresh]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((len(sums), batch.num_rows), np.int64)
             for i, (a, b) in enumerate(zip(sets(batch, "left"), sets(batch, "right"))):
-                both = np.intersect1d(a, b, assume_unique=True)
-                out[:, i] = len(a), len(b), len(both), a.sum(), b.sum(), both.sum()
+                both = np.sort(np.concatenate([a, b]))
+                both = both[1:][both[1:] == both[:-1]]
+                out[:, i] = len(a), len(b), len(both), *(x.sum(dtype=np.int64) for x in (a, b, both))
             yield pa.RecordBatch.from_arrays([batch.column("left_id"), batch.column("right_id"), *map(pa.array, out)], names=["left_id", "right_id", *sums])
 
     schema = StructType([met.schema["left_id"], met.schema["right_id"]])
@@ -322,7 +329,7 @@ def _compared(seqs: DataFrame, pairs: DataFrame, k: int, shortest: int, longest:
         return out, None
     long = materialize(parts.select("id").distinct())
     left, right = (small_side(long.select(F.col("id").alias(c))) for c in ("left_id", "right_id"))
-    rest = materialize(pairs.select("left_id", "right_id").join(left, "left_id", "left_semi").union(pairs.select("left_id", "right_id").join(right, "right_id", "left_semi")).distinct())
+    rest = materialize(pairs.select("left_id", "right_id").join(left, "left_id", "left_semi").unionByName(pairs.select("left_id", "right_id").join(right, "right_id", "left_semi")).distinct())
     own = rest.select(F.col("left_id").alias("id")).union(rest.select("right_id")).distinct()
     return out, (materialize(blocks_of(seqs.join(small_side(own), "id", "left_semi"), k, shortest, longest, p)), rest)
 

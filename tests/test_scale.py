@@ -107,3 +107,13 @@ def test_filters_from_texts_are_the_stored_ones(spark, monkeypatch, joined, file
         monkeypatch.setattr(index, "QUERY_WINDOWS", most)
         for threshold in (0.3, 1.0):
             assert plain(index.search_runs(seqs, ranks, queries, k, threshold)) == plain(index.search(slices, ranks, queries, k, threshold))
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 5, 8, 11, 13, 31])
+def test_hashes_of_windows_by_table(k):
+    import numpy as np
+
+    from strandwise.functions import hashing
+
+    codes = np.random.default_rng(k).integers(0, 4**k, 500)
+    assert (hashing.murmur3_windows(codes, k, range(5), 77) == hashing.murmur3(dna.letters_of(codes, k), range(5))).all()
